@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweft.llm import chat, decontaminate, html_text, shards
+from netweft.llm import chat, decontaminate, exact, html_text, shards, toxicity
 from netweft.llm.common import table
 
 
+def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.shuffle_to_shards(table(spark, sf_dir, "documents")))
 
@@ -31,6 +39,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact": op2_exact,
+    "op3_toxicity": op3_toxicity,
     "op4_shards": op4_shards,
     "op5_decontaminate": op5_decontaminate,
     "op8_chat": op8_chat,
@@ -38,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_exact": exact.ORACLE,
     "op5_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
