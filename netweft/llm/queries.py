@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweft.llm import chat, decontaminate, exact, html_text, shards, toxicity
+from netweft.llm import chat, decontaminate, exact, html_text, quality, shards, toxicity
 from netweft.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(docs, items, carry=["doc_id"]))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_shards": op4_shards,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
     "op8_chat": op8_chat,
     "op10_html": op10_html,
 }
