@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweft.llm import chat, decontaminate, exact, html_text, ngram_join, pieces, quality, shards, toxicity
+from netweft.llm import chat, decontaminate, exact, html_text, ngram_join, pieces, pii, quality, shards, toxicity
 from netweft.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_exact": op2_exact,
     "op3_toxicity": op3_toxicity,
     "op4_shards": op4_shards,
@@ -60,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_pieces": op9_pieces,
     "op10_html": op10_html,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
