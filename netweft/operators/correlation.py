@@ -1,7 +1,7 @@
 """Correlations of gene vectors inside datasets, leave-one-out minima and the graphs they make.
 
 Pairs of genes are formed block by block: genes of a dataset are hashed to ``blocks`` groups, every pair of groups meets in
-one group of rows, so no task sees all pairs and the equi-key (dataset, block pair) deals them evenly.
+one group of rows, so no task sees all pairs and the key (dataset, block pair) deals them evenly.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,46 +47,76 @@ def pearson(a: Column, b: Column) -> Column:
     return _pearson(s["n"], s["sx"], s["sy"], s["sxx"], s["syy"], s["sxy"])
 
 
-def loo_minimum(pairs: DataFrame, a: str = "v1", b: str = "v2", at_least: int = JK_CUT_OFF) -> DataFrame:
-    """``pairs`` with min_cor and df: of the correlations without one position, the one of smallest size.
+def pair_statistics(x: np.ndarray, y: np.ndarray, at_least: int = JK_CUT_OFF) -> dict[str, np.ndarray]:
+    """Statistics of every row of x with every row of y (NaN: missing), over the positions that both have.
 
-    The sums of all complete pairs less one pair give each correlation in constant time. The first position wins ties; a
-    position where a value is missing removes nothing; null where fewer than ``at_least`` pairs would be left.
+    n, cor; min_cor and df: of the correlations without one position, the one of smallest size (first position on ties; NaN
+    where fewer than ``at_least`` pairs would be left); distance, mean and variance of the differences. All sums are
+    products of matrices; leaving a position out subtracts one outer product.
     """
-    x, y = F.col(a), F.col(b)
-    out = pairs.withColumn("__s", sums(x, y)).withColumns({"__ma": arrays.mean(x), "__mb": arrays.mean(y)})
-    s = F.col("__s")
-
-    def without(p: Column, i: Column) -> Column:
-        gone = p["x"].isNull() | p["y"].isNull()
-        dx, dy = F.when(gone, 0.0).otherwise(p["x"] - F.col("__ma")), F.when(gone, 0.0).otherwise(p["y"] - F.col("__mb"))
-        n = s["n"] - F.when(gone, 0).otherwise(1)
-        r = _pearson(n, s["sx"] - dx, s["sy"] - dy, s["sxx"] - dx * dx, s["syy"] - dy * dy, s["sxy"] - dx * dy)
-        return F.struct(F.round(F.abs(r), 12).alias("size"), i.alias("i"), r.alias("r"), (n - 2).alias("df"), n.alias("n"))
-
-    each = F.transform(F.zip_with(x, y, lambda p, q: F.struct(p.alias("x"), q.alias("y"))), without)
-    best = F.array_min(F.filter(each, lambda e: e["n"] >= at_least))
-    return out.withColumn("__b", best).withColumns({"min_cor": F.col("__b.r"), "df": F.col("__b.df")}).drop("__s", "__ma", "__mb", "__b")
-
-
-def gene_pairs(expression: DataFrame, blocks: int = 16) -> DataFrame:
-    """dataset_no, g1 < g2, v1, v2: all gene pairs of each dataset, by block pairs."""
-    g = expression.select("dataset_no", "gene_no", "v", F.pmod(F.xxhash64("gene_no"), F.lit(blocks)).cast("int").alias("b"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    key = lambda mine: F.struct(F.least(mine, F.col("o")).alias("lo"), F.greatest(mine, F.col("o")).alias("hi"))
-    sent = g.select("*", F.explode(others).alias("o")).select("dataset_no", key(F.col("b")).alias("k"), "gene_no", "v", "b")
-    x = sent.select("dataset_no", "k", F.col("gene_no").alias("g1"), F.col("v").alias("v1"), F.col("b").alias("b1"))
-    y = sent.select("dataset_no", "k", F.col("gene_no").alias("g2"), F.col("v").alias("v2"), F.col("b").alias("b2"))
-    # a pair of one block meets in that block's own key only
-    return x.join(y, ["dataset_no", "k"]).where("g1 < g2 AND ((b1 <> b2) OR (k.lo = k.hi))").select("dataset_no", "g1", "g2", "v1", "v2")
-
-
-def top_correlations(expression: DataFrame, share: float = 0.01, blocks: int = 16) -> DataFrame:
+    mx, my = (~np.isnan(v) for v in (x, y))
+    px, py = mx.astype(float), my.astype(float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        # centred by each row's own mean, to avoid cancellation
+        cx, cy = (np.where(m, v - np.where(m, v, 0).sum(1, keepdims=True) / np.maximum(m.sum(1, keepdims=True), 1), 0.0) for v, m in ((x, mx), (y, my)))
+        n, sx, sy, sxx, syy, sxy = px @ py.T, cx @ py.T, px @ cy.T, cx**2 @ py.T, px @ (cy**2).T, cx @ cy.T
+
+        def pearson(n, sx, sy, sxx, syy, sxy):
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            return np.where((n < 1) | (vx <= 1e-12) | (vy <= 1e-12), UNDEFINED, (sxy - sx * sy / n) / np.sqrt(vx * vy))
+
+        least, min_cor, df = np.full(n.shape, np.inf), np.full(n.shape, np.nan), np.full(n.shape, np.nan)
+        for i in range(x.shape[1]):
+            a, b = np.outer(cx[:, i], py[:, i]), np.outer(px[:, i], cy[:, i])
+            left = n - np.outer(px[:, i], py[:, i])
+            r = pearson(left, sx - a, sy - b, sxx - a * a, syy - b * b, sxy - a * b)
+            size = np.round(np.abs(r), 12)
+            better = (left >= at_least) & (size < least)
+            least, min_cor, df = np.where(better, size, least), np.where(better, r, min_cor), np.where(better, left - 2, df)
+        rx, ry = np.where(mx, x, 0.0), np.where(my, y, 0.0)
+        squares = np.maximum(rx**2 @ py.T + px @ (ry**2).T - 2 * rx @ ry.T, 0)
+        mean = (rx @ py.T - px @ ry.T) / n
+        return {"n": n, "cor": pearson(n, sx, sy, sxx, syy, sxy), "min_cor": min_cor, "df": df, "distance": np.sqrt(squares), "mean": mean, "variance": (squares - n * mean**2) / (n - 1)}
+
+
+def gene_pairs(expression: DataFrame, blocks: int | None = None, block_genes: int = 256) -> DataFrame:
+    """dataset_no, g1 < g2 and their ``pair_statistics``: all gene pairs of each dataset, by pairs of gene blocks.
+
+    A task holds two blocks of about ``block_genes`` vectors and their matrix, whatever the number of genes.
+    """
+    if blocks is None:
+        most = expression.groupBy("dataset_no").count().agg(F.max("count").alias("n")).first()["n"] or 0
+        blocks = max(1, -(-most // block_genes))
+    g = expression.select("dataset_no", F.col("gene_no").cast("long").alias("gene_no"), "v", F.pmod(F.xxhash64("gene_no"), F.lit(blocks)).cast("int").alias("b"))
+    sent = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select("dataset_no", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "gene_no", "v")
+
+    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("gene_no")
+        m = np.full((len(rows), max(map(len, rows["v"]))), np.nan)
+        for i, v in enumerate(rows["v"]):
+            m[i, : len(v)] = v
+        left, right = (rows["b"] == k for k in key[1:])
+        ids = rows["gene_no"].to_numpy()
+        a, b = ids[left][:, None], ids[right][None, :]
+        found = pair_statistics(m[left], m[right])
+        # a block with itself: each pair once
+        i, j = np.nonzero(a < b if key[1] == key[2] else a != b)
+        x, y = ids[left][i], ids[right][j]
+        out = {"dataset_no": key[0], "g1": np.minimum(x, y), "g2": np.maximum(x, y)} | {k: v[i, j] for k, v in found.items()}
+        out["mean"] = np.where(x < y, out["mean"], -out["mean"])
+        return pd.DataFrame(out)
+
+    schema = "dataset_no int, g1 long, g2 long, n double, cor double, min_cor double, df double, distance double, mean double, variance double"
+    out = sent.groupBy("dataset_no", "lo", "hi").applyInPandas(kernel, schema)
+    return out.withColumns({"n": F.col("n").cast("int"), "min_cor": F.nanvl("min_cor", F.lit(None)), "df": F.nanvl("df", F.lit(None)).cast("int")})
+
+
+def top_correlations(expression: DataFrame, share: float = 0.01, blocks: int | None = None) -> DataFrame:
     """dataset_no, g1, g2, cor: of each dataset the int(n^2 * share) pairs with the largest leave-one-out correlation."""
-    c = loo_minimum(gene_pairs(expression, blocks)).where(F.col("min_cor") <= 1).select("dataset_no", "g1", "g2", F.round("min_cor", 9).alias("cor"))
+    c = gene_pairs(expression, blocks).where(F.col("min_cor") <= 1).select("dataset_no", "g1", "g2", F.round("min_cor", 9).alias("cor"))
     sizes = expression.groupBy("dataset_no").agg(F.floor(F.count("*") * F.count("*") * share).alias("top"))
     w = Window.partitionBy("dataset_no").orderBy(F.desc("cor"), "g1", "g2")
-    return c.withColumn("r", F.row_number().over(w)).join(F.broadcast(sizes), "dataset_no").where("r <= top").select("dataset_no", "g1", "g2", "cor")
+    return c.withColumn("r", F.row_number().over(w)).join(sizes, "dataset_no").where("r <= top").select("dataset_no", "g1", "g2", "cor")
 
 
 def significant(pairs: DataFrame, cut_offs: DataFrame) -> DataFrame:

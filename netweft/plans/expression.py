@@ -11,41 +11,33 @@ from netweft.operators import ranking
 from netweft.plans import adapters as A
 from netweft.plans.registry import query
 
-SMALL = "ex AS (SELECT * FROM expr WHERE gene_no < 120)"
+PAIR = f"{A.EXPRESSION}, pr AS (SELECT a.dataset_no, a.gene_no AS g1, b.gene_no AS g2, a.v AS v1, b.v AS v2 FROM expr a JOIN expr b ON a.dataset_no = b.dataset_no AND a.gene_no < b.gene_no)"
 
 
-def small(spark: SparkSession, d: str) -> DataFrame:
-    """The adapter's expression matrices, first 120 genes: what the pairwise oracles can form in full."""
-    return A.expression(spark, d).where("gene_no < 120")
-
-
-PAIR = f"{A.EXPRESSION}, {SMALL}, pr AS (SELECT a.dataset_no, a.gene_no AS g1, b.gene_no AS g2, a.v AS v1, b.v AS v2 FROM ex a JOIN ex b ON a.dataset_no = b.dataset_no AND a.gene_no < b.gene_no)"
-
-
-@query("c1_pearson", f"WITH {PAIR}, l AS (SELECT dataset_no, g1, g2, unnest(v1) AS x, unnest(v2) AS y FROM pr) SELECT dataset_no, g1, g2, round(corr(x, y), 6) AS cor FROM l GROUP BY dataset_no, g1, g2")
+@query("c1_pearson", f"WITH {PAIR}, l AS (SELECT dataset_no, g1, g2, unnest(v1) AS x, unnest(v2) AS y FROM pr) SELECT dataset_no, g1, g2, round(corr(x, y), 6) AS cor FROM l GROUP BY dataset_no, g1, g2 HAVING abs(round(corr(x, y), 6)) >= 0.9")
 def pearson(spark: SparkSession, d: str) -> DataFrame:
-    return C.gene_pairs(small(spark, d), 4).select("dataset_no", "g1", "g2", F.round(C.pearson(F.col("v1"), F.col("v2")), 6).alias("cor"))
+    return C.gene_pairs(A.expression(spark, d)).select("dataset_no", "g1", "g2", F.round("cor", 6).alias("cor")).where("abs(cor) >= 0.9")
 
 
 LOO = f"""{PAIR}, k AS (SELECT dataset_no, g1, g2, v1, v2, unnest(range(1, 9)) AS k FROM pr), l AS (SELECT dataset_no, g1, g2, k, unnest(v1) AS x, unnest(v2) AS y, unnest(range(1, 9)) AS i FROM k),
 c AS (SELECT dataset_no, g1, g2, k, corr(x, y) AS r FROM l WHERE i <> k GROUP BY ALL), m AS (SELECT dataset_no, g1, g2, arg_min(r, struct_pack(s := round(abs(r), 12), k := k)) AS r FROM c GROUP BY ALL)"""
 
 
-@query("c2_leave_one_out", f"WITH {LOO} SELECT dataset_no, g1, g2, round(r, 6) AS min_cor, 5 AS df FROM m")
+@query("c2_leave_one_out", f"WITH {LOO} SELECT dataset_no, g1, g2, round(r, 6) AS min_cor, 5 AS df FROM m WHERE round(r, 6) >= 0.8")
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
-    return C.loo_minimum(C.gene_pairs(small(spark, d), 4)).select("dataset_no", "g1", "g2", F.round("min_cor", 6).alias("min_cor"), "df")
+    return C.gene_pairs(A.expression(spark, d)).select("dataset_no", "g1", "g2", F.round("min_cor", 6).alias("min_cor"), "df").where("min_cor >= 0.8")
 
 
-@query("c6_correlation_graph", f"WITH {LOO} SELECT dataset_no, g1, g2, round(round(r, 9), 6) AS cor FROM (SELECT *, row_number() OVER (PARTITION BY dataset_no ORDER BY round(r, 9) DESC, g1, g2) AS q FROM m) WHERE q <= 144")
+@query("c6_correlation_graph", f"WITH {LOO} SELECT dataset_no, g1, g2, round(round(r, 9), 6) AS cor FROM (SELECT *, row_number() OVER (PARTITION BY dataset_no ORDER BY round(r, 9) DESC, g1, g2) AS q FROM m) WHERE q <= (SELECT CAST(floor(count(*) * count(*) * 0.01) AS INT) FROM embeddings)")
 def correlation_graph(spark: SparkSession, d: str) -> DataFrame:
-    return C.top_correlations(small(spark, d), 0.01, 4).withColumn("cor", F.round("cor", 6))
+    return C.top_correlations(A.expression(spark, d), 0.01).withColumn("cor", F.round("cor", 6))
 
 
-@query("c6_recurrent_correlations", f"WITH {LOO}, t AS (SELECT dataset_no, g1, g2 FROM (SELECT *, row_number() OVER (PARTITION BY dataset_no ORDER BY round(r, 9) DESC, g1, g2) AS q FROM m) WHERE q <= 144) SELECT g1, g2, count(*) AS recurrence FROM t GROUP BY g1, g2 HAVING count(*) >= 2")
+@query("c6_recurrent_correlations", f"WITH {LOO}, t AS (SELECT dataset_no, g1, g2 FROM (SELECT *, row_number() OVER (PARTITION BY dataset_no ORDER BY round(r, 9) DESC, g1, g2) AS q FROM m) WHERE q <= (SELECT CAST(floor(count(*) * count(*) * 0.01) AS INT) FROM embeddings)) SELECT g1, g2, count(*) AS recurrence FROM t GROUP BY g1, g2 HAVING count(*) >= 2")
 def recurrent_correlations(spark: SparkSession, d: str) -> DataFrame:
     from netweft.operators.graphs import overlay
 
-    return overlay(C.top_correlations(small(spark, d), 0.01, 4), 2)
+    return overlay(C.top_correlations(A.expression(spark, d), 0.01), 2)
 
 
 CUT5 = C.correlation_cut_off(0.01, 5)
@@ -53,7 +45,7 @@ CUT5 = C.correlation_cut_off(0.01, 5)
 
 @query("c8_edge_significance", f"WITH {LOO} SELECT dataset_no, count(*) FILTER (r >= {CUT5!r} AND r <= 1) AS significant, count(*) AS pairs FROM m GROUP BY dataset_no")
 def edge_significance(spark: SparkSession, d: str) -> DataFrame:
-    pairs = C.loo_minimum(C.gene_pairs(small(spark, d), 4))
+    pairs = C.gene_pairs(A.expression(spark, d))
     return C.significant(pairs, C.cut_off_table(spark, 0.01, 30)).groupBy("dataset_no").agg(F.count_if(F.col("sig") == 1).alias("significant"), F.count("*").alias("pairs"))
 
 
@@ -67,16 +59,16 @@ def complete_vectors(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("g1", "g2").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dataset_no", milli.alias("m")))), lambda e: e["m"]), " ").alias("cor_milli"))
 
 
-@query("c4_euclidean", f"WITH {PAIR} SELECT dataset_no, g1, g2, round(list_distance(v1, v2), 6) AS distance FROM pr WHERE dataset_no = 0")
+@query("c4_euclidean", f"WITH {PAIR}, x AS (SELECT dataset_no, list_distance(v1, v2) AS d FROM pr) SELECT dataset_no, count(*) AS pairs, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM x GROUP BY dataset_no")
 def euclidean(spark: SparkSession, d: str) -> DataFrame:
-    return C.gene_pairs(small(spark, d).where("dataset_no = 0"), 4).select("dataset_no", "g1", "g2", F.round(arrays.euclid(F.col("v1"), F.col("v2")), 6).alias("distance"))
+    p = C.gene_pairs(A.expression(spark, d)).groupBy("dataset_no")
+    return p.agg(F.count("*").alias("pairs"), F.round(F.avg("distance"), 6).alias("mean"), F.round(F.max("distance"), 6).alias("largest"))
 
 
-@query("c5_difference_spread", f"WITH {PAIR}, l AS (SELECT g1, g2, unnest(v1) - unnest(v2) AS x FROM pr WHERE dataset_no = 1) SELECT g1, g2, round(var_samp(x), 6) AS variance, round(avg(x), 6) AS mean FROM l GROUP BY g1, g2")
+@query("c5_difference_spread", f"WITH {PAIR}, l AS (SELECT dataset_no, g1, g2, unnest(v1) - unnest(v2) AS x FROM pr), s AS (SELECT dataset_no, var_samp(x) AS v, avg(x) AS m FROM l GROUP BY dataset_no, g1, g2) SELECT dataset_no, round(avg(v), 6) AS variance, round(max(m), 6) AS largest_mean FROM s GROUP BY dataset_no")
 def difference_spread(spark: SparkSession, d: str) -> DataFrame:
-    diff = F.zip_with("v1", "v2", lambda x, y: x - y)
-    p = C.gene_pairs(small(spark, d).where("dataset_no = 1"), 4).withColumn("x", diff)
-    return p.select("g1", "g2", F.round(F.pow(arrays.std(F.col("x")), 2), 6).alias("variance"), F.round(arrays.mean(F.col("x")), 6).alias("mean"))
+    p = C.gene_pairs(A.expression(spark, d)).groupBy("dataset_no")
+    return p.agg(F.round(F.avg("variance"), 6).alias("variance"), F.round(F.max("mean"), 6).alias("largest_mean"))
 
 
 @query("p2_variance_filter", f"WITH {A.EXPRESSION}, s AS (SELECT dataset_no, gene_no, round(stddev_samp(x), 9) AS spread FROM (SELECT dataset_no, gene_no, unnest(v) AS x FROM expr) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_no ORDER BY spread DESC, gene_no DESC) AS r, count(*) OVER (PARTITION BY dataset_no) AS n FROM s) SELECT dataset_no, count(*) AS genes, CAST(sum(gene_no) AS BIGINT) AS ids FROM r WHERE r <= CAST(floor(n * 0.9) AS INT) GROUP BY dataset_no")
@@ -126,5 +118,5 @@ def spread_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t21_correlation_histogram", f"WITH {PAIR}, l AS (SELECT dataset_no, g1, g2, unnest(v1) AS x, unnest(v2) AS y FROM pr), c AS (SELECT round(corr(x, y), 9) AS r FROM l GROUP BY dataset_no, g1, g2) SELECT CAST(floor(r * 10) AS INT) AS bin, count(*) AS pairs FROM c GROUP BY 1")
 def correlation_histogram(spark: SparkSession, d: str) -> DataFrame:
-    c = C.gene_pairs(small(spark, d), 4).select(F.round(C.pearson(F.col("v1"), F.col("v2")), 9).alias("r"))
+    c = C.gene_pairs(A.expression(spark, d)).select(F.round("cor", 9).alias("r"))
     return c.groupBy(F.floor(F.col("r") * 10).cast("int").alias("bin")).agg(F.count("*").alias("pairs"))
