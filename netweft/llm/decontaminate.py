@@ -8,7 +8,7 @@ code points of the original text.
 
 The work is a narrow map over the documents: no shuffle, no key, so hot sources and copies cost nothing extra. The
 automaton is broadcast only while its patterns stay below ``max_chars`` characters (checked by a Spark aggregate); a larger
-benchmark is cut into blocks of that size by item, and the documents pass through one automaton after the other, which
+benchmark is cut into blocks of that size by item row, and the documents pass through one automaton after the other, which
 gives the same result.
 
 Defined results: null or wordless text has n_words 0, n_hit 0 and no items; null item text gives no window; repeated rows
@@ -164,7 +164,7 @@ def decontaminate(
     blocks = max(1, -(-total * window // max_chars))
     out = docs.select(*[c for c in carry if c != text], text)
     for b in range(blocks):
-        rows = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
+        rows = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
         shared = spark.sparkContext.broadcast(patterns(rows, window))
         last = b == blocks - 1
         fields = [f for f in out.schema if f.name not in ("__runs", "__items")]

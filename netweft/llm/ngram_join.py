@@ -451,7 +451,8 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 85, most: int = 20_00
     joined = first.join(roots, "rid", "left").select("key", F.coalesce("root", "rid").alias("root"))
     whole = sets.select("rid", "doc_id", "n", "key", "rep").join(joined, "key", "left").withColumn("root", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.coalesce("root", "rep")))
     whole = materialise(whole.select("doc_id", F.col("n").alias("n_shingles"), "root"), "ngram-roots")
-    names = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below can split a root with very many rows
+    names = materialise(whole.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-names")
     return whole.join(names, "root").select("doc_id", "n_shingles", "component_id")
 
 
