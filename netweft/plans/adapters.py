@@ -62,7 +62,7 @@ def term_edges(spark: SparkSession) -> DataFrame:
     """parent, child of the divisibility DAG on 1..50."""
     n = spark.range(2, 51).select(F.col("id").cast("int").alias("child"))
     primes = F.filter(F.sequence(F.lit(2), F.col("child")), lambda p: (F.col("child") % p == 0) & ~F.exists(F.sequence(F.lit(2), F.greatest(p - 1, F.lit(2))), lambda q: (q < p) & (p % q == 0)))
-    return n.select((F.col("child") / F.explode(primes)).cast("int").alias("parent"), "child")
+    return n.select("child", F.explode(primes).alias("p")).select((F.col("child") / F.col("p")).cast("int").alias("parent"), "child")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
