@@ -1,6 +1,6 @@
 """All queries of the library; importing a module registers its queries."""
 
-from netweft.plans import annotation, expression, network, ontology  # noqa: F401
+from netweft.plans import annotation, expression, mining, network, ontology  # noqa: F401
 from netweft.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
