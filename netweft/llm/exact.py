@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -116,8 +117,15 @@ class PatriciaTrie:
             return
         size, c = max(sizes)
         kid = top.kids[c]
-        file = tempfile.TemporaryFile(dir=os.environ.get("TMPDIR"))
-        for x in self._walk(kid):
+        nodes = list(self._walk(kid))
+        # files of stubs below the subtree go on in the new one: the smaller are appended to the largest
+        files = sorted((x.spill for x in nodes if x.spill is not None), key=lambda f: f.tell())
+        file = files.pop() if files else tempfile.TemporaryFile(dir=os.environ.get("TMPDIR"))
+        for nested in files:
+            nested.seek(0)
+            shutil.copyfileobj(nested, file, 1 << 20)
+            nested.close()
+        for x in nodes:
             if x.rec is not None:
                 pickle.dump((x.key, x.rec), file)
         stub = Node(kid.key[: kid.end], kid.end)
@@ -209,8 +217,9 @@ def _owners(budget: int):
         return (*best[:3], old[3] + new[3], old[4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PatriciaTrie(merge, budget)
+        trie, came, left = PatriciaTrie(merge, budget), 0, 0
         for batch in batches:
+            came += batch.num_rows
             lids, n, cp, ids = (batch.column(i).to_pylist() for i in range(1, 5))
             norms = batch.column(0)
             for k in range(batch.num_rows):
@@ -218,11 +227,14 @@ def _owners(budget: int):
         out: list[list] = [[], [], [], []]
         names = ["lid", "keep_lid", "keep_id", "group_size"]
         for _, (_, keep_lid, keep_id, n, lids) in trie.items():
+            left += len(lids)
             for column, value in zip(out, (lids, [keep_lid] * len(lids), [keep_id] * len(lids), [n] * len(lids))):
                 column.extend(value)
             if len(out[0]) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
                 out = [[], [], [], []]
+        if left != came:
+            raise RuntimeError(f"{came} local groups came in, {left} were answered")
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
     return run

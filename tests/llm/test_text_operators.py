@@ -119,6 +119,20 @@ def test_trie_spills_and_gives_every_string_once():
     assert len(found) == len(want) and dict(found) == want
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_trie_keeps_what_was_spilled_below_a_later_branch(seed):
+    rng = np.random.default_rng(seed)
+    strings = [b"A" * 3000 + bytes(rng.integers(97, 100, 6)) for _ in range(60)]
+    strings += [b"A" * int(n) + b"B" + bytes(rng.integers(97, 100, 4)) for n in np.sort(rng.integers(0, 3000, 60))[::-1]]
+    strings += [strings[i] for i in rng.integers(0, len(strings), 40)]
+    trie, want = exact.PatriciaTrie(lambda a, b: a + b, budget=20_000), defaultdict(int)
+    for s in strings:
+        trie.insert(s, 1)
+        want[s] += 1
+    found = list(trie.items())
+    assert len(found) == len(want) and dict(found) == want
+
+
 # 3 and 6
 
 
