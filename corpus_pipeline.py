@@ -30,8 +30,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every class of near duplicates."""
-    return _keep(docs, ngram_join.classes(docs).where("doc_id = component_id"))
+    """The document with the smallest id of every class of near duplicates: five words, similarity 0.8 or more."""
+    return _keep(docs, ngram_join.classes(docs, size=5, percent=80).where("doc_id = component_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,37 @@ def clean(spark, sf, docs, before, after):
 
 def encoded(spark, sf, docs, before, after):
     assert after == set(before)
+
+
+def five_word_classes(texts):
+    """Smallest id of every class of texts that five-word sets with similarity of 0.8 or more link."""
+    words = {k: t.lower().split() for k, t in texts.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for k, w in words.items()}
+    least = {k: k for k in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if b < a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+                x, y = sorted((least[a], least[b]))
+                least = {k: x if v == y else v for k, v in least.items()}
+    return set(least.values())
+
+
+def test_near_stage_takes_five_words_and_80_percent(spark):
+    w = [f"w{i}" for i in range(100)]
+    texts = {
+        1: w,
+        2: w + [f"x{i}" for i in range(20)],  # added at the end: 96 of 116
+        3: w[:45] + [f"y{i}" for i in range(6)] + w[51:],  # replaced inside: 86 of 106
+        4: w + [f"z{i}" for i in range(24)],  # 96 of 120, just 0.8
+        5: w + [f"v{i}" for i in range(25)],  # 96 of 121
+    }
+    texts = {k: " ".join(v) for k, v in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert five_word_classes(texts) == {1, 5}
+    assert {r["doc_id"] for r in c.near_stage(spark, docs, "").collect()} == {1, 5}
+
+
+def test_near_stage_against_brute_force(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert {r["doc_id"] for r in c.near_stage(spark, docs, sf).collect()} == five_word_classes(texts)
