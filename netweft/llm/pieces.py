@@ -4,18 +4,20 @@ Encoding. The text, with spaces as U+2581, is cut before every run of spaces and
 vocabulary crosses such a cut (checked when the model is loaded), so encoding the units one by one with the library, each
 distinct unit once, gives the ids that the library gives for the whole text.
 
-Lattice. Every piece of that segmentation may be replaced by any sequence of vocabulary pieces that spells it; the lattice
-of the text is the chain of these small lattices. A piece of rank r has weight (r + 1)^-alpha, a segmentation the product
-of its weights, and the weights of the segmentations of the text are normalised to probabilities.
+Lattice. Of a unit: every vocabulary piece that matches at a position is an edge; a character without a piece has one edge,
+its bytes. The lattice of the text is the chain of its units' lattices, which hold every segmentation of the text, as no
+piece crosses a cut. A piece of rank r has weight (r + 1)^-alpha, a segmentation the product of its weights, and the weights
+of the segmentations of the text are normalised to probabilities. Backward sums over a unit's positions give every edge's
+probability at its position, so nothing is listed, however long the unit.
 
 Sampling. A prefix of choices stands for all segmentations that begin with it; its log-probability is known exactly, so is
 the distribution of the largest Gumbel-perturbed log-probability below it. A-star search pops the prefix with the largest
 perturbed bound: the child that carries the bound is followed to the end, and the other children of each step enter the
 frontier with a bound drawn below it (truncated Gumbel). The first k ends are k distinct segmentations, sampled without
 replacement. With kappa the (k+1)-th bound, a segmentation's inclusion score is 1 - exp(-exp(logp - kappa)). Draws depend
-on the row key and the seed only. One expansion handles all steps of a path at once with numpy.
+on the row key and the seed only. One expansion draws all units of a path side by side with numpy.
 
-A narrow map without shuffle; memory holds one batch, the piece lattices seen and a bounded cache of units.
+A narrow map without shuffle; memory holds one batch and bounded caches of units and of their lattices.
 
 Defined results: null and empty texts have no ids, one (empty) segmentation, and decode to ''; a text with fewer than k
 segmentations gives all of them with inclusion score 1; a null key counts as 0; repeated rows repeat their samples;
@@ -25,6 +27,7 @@ U+2581 in a text decodes to a space (round_trip is then false); extra columns ar
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIT = re.compile("\n|▁*[^▁\n]+|▁+")
 CACHE = 400_000
+EDGES = 1_000_000
+CHARACTERS = 500_000
 
 
 def default_model() -> str:
@@ -45,7 +50,7 @@ def default_model() -> str:
 
 
 class Vocabulary:
-    """The model's pieces, the lattices of its pieces, and encoding and decoding with them."""
+    """The model's pieces, the lattices of units, and encoding and decoding with them."""
 
     def __init__(self, path: str, alpha: float) -> None:
         import sentencepiece
@@ -60,19 +65,9 @@ class Vocabulary:
         self.bytes_of = [bytes([int(self.sp.id_to_piece(i)[3:-1], 16)]) if self.sp.is_byte(i) else self.names.get(i, "").replace(SPACE, " ").encode() for i in range(n)]
         self.newline = self.sp.encode("\n")
         self.units: dict[str, bytes] = {}
-        self.known = np.zeros(n, bool)
-        self.keep = np.ones(n)
-        self.log_keep = np.zeros(n)
-        self.log_rest = np.full(n, -np.inf)
-        self.ways: dict[int, tuple[list[tuple[int, ...]], np.ndarray]] = {}
-        # Of all lattices one after the other: lattice number plus cumulated probability, log-probability and log of the rest.
-        self.place = np.zeros(n, np.int64)
-        self.first = np.zeros(n, np.int64)
-        self.flat: list[list[np.ndarray]] = [[], [], [], []]
-        self.sums, self.logs, self.rests = (np.zeros(0) for _ in range(3))
-        # Their ids one after the other, and where each way begins.
-        self.spelt: list[np.ndarray] = []
-        self.all_ids, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.weight = [-alpha * float(np.log1p(-self.sp.get_score(i))) for i in range(n)]
+        self.begun = {p[:i] for p in self.plain for i in range(1, len(p) + 1)}
+        self.forget()
 
     # encoding and decoding
 
@@ -86,9 +81,12 @@ class Vocabulary:
                 ids = [self.plain[SPACE]]
             self.units[u] = np.array(ids[len(self.newline) :] if x else ids, np.int32).tobytes()
 
+    def cut(self, text: str) -> list[str]:
+        return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for text in texts:
-            units = UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            units = self.cut(text)
             if len(self.units) > CACHE:
                 self.units.clear()
             while True:
@@ -104,52 +102,88 @@ class Vocabulary:
 
     # lattices
 
-    def spellings(self, piece: str) -> list[tuple[int, ...]]:
-        """All sequences of vocabulary pieces that spell the piece."""
-        ends: list[list[tuple[int, ...]]] = [[] for _ in piece] + [[()]]
-        for i in range(len(piece) - 1, -1, -1):
-            for j in range(i + 1, len(piece) + 1):
-                if (at := self.plain.get(piece[i:j])) is not None:
-                    ends[i] += [(at, *rest) for rest in ends[j]]
-        return ends[0]
-
-    def learn(self, ids: np.ndarray) -> None:
-        """Lattices of the ids that were not met before; the piece itself is always way 0."""
-        new = np.unique(ids[~self.known[ids]]).tolist()
-        for i in new:
-            self.known[i] = True
-            piece = self.names.get(i)
-            ways = self.spellings(piece) if piece and len(piece) > 1 else []
-            if len(ways) < 2:
-                continue
-            ways.sort(key=lambda w: (w != (i,), len(w), w))
-            logs = np.array([-self.alpha * sum(np.log1p(-self.sp.get_score(x)) for x in w) for w in ways])
-            logs -= logs.max()
-            logs -= np.log(np.exp(logs).sum())
-            sums = np.cumsum(np.exp(logs))
-            sums[-1] = 1
-            with np.errstate(divide="ignore"):
-                rests = np.log1p(-np.minimum(np.exp(logs), 1))
-            self.place[i], self.first[i] = len(self.ways), sum(map(len, self.flat[1]))
-            self.ways[i] = ways, logs
-            for have, more in zip(self.flat, (self.place[i] + sums, logs, rests, np.array([len(w) for w in ways]))):
-                have.append(more)
-            self.spelt.append(np.array([x for w in ways for x in w], np.int32))
-            self.keep[i], self.log_keep[i], self.log_rest[i] = np.exp(logs[0]), logs[0], rests[0]
-        if new and self.ways:
-            self.flat = [[np.concatenate(x)] for x in self.flat]
-            self.sums, self.logs, self.rests, self.sizes = (x[0] for x in self.flat)
-            self.spelt = [np.concatenate(self.spelt)]
-            self.all_ids, self.begins = self.spelt[0], np.cumsum(self.sizes) - self.sizes
+    def forget(self) -> None:
+        """Empties the lattices."""
+        self.start: dict[str, int] = {}
+        self.spelt: list[tuple[int, ...]] = []
+        # Of all edges, by node: piece (-1 - place in ``spelt`` for bytes), its node, the node it leads to (-1 at the unit's
+        # end), node plus cumulated probability, log-probability at its node and log of the other edges' probability.
+        self.piece, self.node, self.next = (np.zeros(0, np.int64) for _ in range(3))
+        self.sums, self.logs, self.rests = (np.zeros(0) for _ in range(3))
+        self.first = np.zeros(1, np.int64)
+
+    def edges(self, unit: str, i: int) -> list[tuple[int, int, float]]:
+        """Piece, end and log-weight of every edge at a position."""
+        out = []
+        for j in range(i + 1, len(unit) + 1):
+            piece = unit[i:j]
+            if piece not in self.begun:
+                break
+            if (at := self.plain.get(piece)) is not None:
+                out.append((at, j, self.weight[at]))
+        if not out or out[0][1] > i + 1:
+            ids = tuple(self.sp.piece_to_id(f"<0x{b:02X}>") for b in unit[i].encode())
+            self.spelt.append(ids)
+            out.append((-len(self.spelt), i + 1, sum(self.weight[x] for x in ids)))
+        return out
+
+    def learn(self, units: list[str]) -> None:
+        """Lattices of the units that were not met before."""
+        new = [u for u in dict.fromkeys(units) if u not in self.start]
+        if not new:
+            return
+        nodes = len(self.first) - 1
+        flat: list[list] = [[], [], [], [], [], []]
+        counts = []
+        for u in new:
+            self.start[u] = nodes
+            n = len(u)
+            mass, rows = [0.0] * (n + 1), [None] * n
+            for i in range(n - 1, -1, -1):
+                out = self.edges(u, i)
+                logs = [w + mass[j] for _, j, w in out]
+                top = max(logs)
+                mass[i] = top + math.log(sum(math.exp(x - top) for x in logs))
+                rows[i] = out, [x - mass[i] for x in logs]
+            for i, (out, logs) in enumerate(rows):
+                at, total = nodes + i, 0.0
+                probs = [math.exp(x) for x in logs]
+                for k, ((piece, j, _), log, prob) in enumerate(zip(out, logs, probs)):
+                    total += prob
+                    others = 1 - prob if prob < 0.5 else math.fsum(probs[:k]) + math.fsum(probs[k + 1 :])
+                    row = piece, at, nodes + j if j < n else -1, at + total, min(log, 0.0), math.log(others) if others > 0 else -math.inf
+                    for have, x in zip(flat, row):
+                        have.append(x)
+                flat[3][-1] = at + 1
+                counts.append(len(out))
+            nodes += n
+        self.piece, self.node, self.next = (np.concatenate([a, np.array(b, np.int64)]) for a, b in zip((self.piece, self.node, self.next), flat))
+        self.sums, self.logs, self.rests = (np.concatenate([a, np.array(b, float)]) for a, b in zip((self.sums, self.logs, self.rests), flat[3:]))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+
+    def draw(self, starts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of one path from each of the nodes to its unit's end, one after the other, and whose they are."""
+        live, at = np.arange(len(starts)), starts
+        whose, edges = [live[:0]], [live[:0]]
+        while len(live):
+            found = np.minimum(np.searchsorted(self.sums, at + rng.random(len(at)), "right"), self.first[at + 1] - 1)
+            whose.append(live)
+            edges.append(found)
+            at = self.next[found]
+            on = at >= 0
+            live, at = live[on], at[on]
+        whose, edges = np.concatenate(whose), np.concatenate(edges)
+        order = np.argsort(whose, kind="stable")
+        return edges[order], whose[order]
 
 
 class _Path:
-    """Choices of a path by step, their log-probabilities, and the bounds of the children not taken at each step."""
+    """Edges of a path, their units and log-probabilities, and the bounds of the children not taken at each step."""
 
-    __slots__ = ("choice", "logs", "bound", "value", "taken")
+    __slots__ = ("edges", "whose", "logs", "bound", "value", "taken")
 
-    def __init__(self, choice, logs, bound, value) -> None:
-        self.choice, self.logs, self.bound, self.value, self.taken = choice, logs, bound, value, {}
+    def __init__(self, edges, whose, logs, bound, value) -> None:
+        self.edges, self.whose, self.logs, self.bound, self.value, self.taken = edges, whose, logs, bound, value, {}
 
 
 def _below(mass, limit: float, u):
@@ -158,23 +192,22 @@ def _below(mass, limit: float, u):
         return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(np.minimum(mass - limit, 700.0)) - np.log(u)))
 
 
-def sample(vocabulary: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[tuple[np.ndarray, float, float]], float]:
-    """Up to k (ids, log-probability, perturbed log-probability), the largest first, and kappa (-inf if there are no more)."""
-    vocabulary.learn(ids)
-    keep = vocabulary.keep[ids]
-    steps = np.flatnonzero(keep < 1)
-    at, keep, log_keep, log_rest = ids[steps], keep[steps], vocabulary.log_keep[ids[steps]], vocabulary.log_rest[ids[steps]]
-
-    def follow(start: int, prefix: float, value: float):
-        """The rest of a path from step ``start``: the child that carries the bound is drawn by its probability."""
-        n = len(steps) - start
-        u = rng.random(n)
-        choice, logs, rest = np.zeros(n, np.int64), log_keep[start:].copy(), log_rest[start:].copy()
-        other = np.flatnonzero(u >= keep[start:])
-        if len(other):
-            own = at[start + other]
-            found = np.searchsorted(vocabulary.sums, vocabulary.place[own] + u[other], "right")
-            choice[other], logs[other], rest[other] = found - vocabulary.first[own], vocabulary.logs[found], vocabulary.rests[found]
+def sample(vocabulary: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Generator, units: list[str] | None = None) -> tuple[list[tuple[np.ndarray, float, float]], float]:
+    """Up to k (ids, log-probability, perturbed log-probability), the largest first, and kappa (-inf if there are no more).
+
+    ``units`` are those of the text that ``ids`` encode, if the caller has them.
+    """
+    if units is None:
+        units = vocabulary.cut(vocabulary.decode(ids.tolist()))
+    vocabulary.learn(units)
+    starts = np.array([vocabulary.start[u] for u in units], np.int64)
+
+    def follow(unit: int, node: int, prefix: float, value: float):
+        """The rest of a path from a node of a unit (-1: its end): the child that carries the bound is drawn by its probability."""
+        head = [node] if node >= 0 else []
+        edges, whose = vocabulary.draw(np.concatenate([np.array(head, np.int64), starts[unit + 1 :]]), rng)
+        n = len(edges)
+        logs, rest = vocabulary.logs[edges], vocabulary.rests[edges]
         mass = prefix + np.cumsum(logs) - logs + rest
         bound = np.full(n, -np.inf)
         if n:
@@ -182,12 +215,12 @@ def sample(vocabulary: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Gener
             # be among the first k + 1.
             near = np.flatnonzero(mass >= np.partition(mass, -(k + 1))[-(k + 1)] - 45) if n > k else np.arange(n)
             bound[near] = _below(mass[near], value, rng.random(len(near)))
-        return choice, logs, bound
+        return edges, whose + unit + 1 - len(head), logs, bound
 
     first = float(-np.log(-np.log(rng.random())))
-    paths = [_Path(*follow(0, 0.0, first), first)]
+    paths = [_Path(*follow(-1, -1, 0.0, first), first)]
     kappa = -np.inf
-    while len(steps):
+    while len(starts):
         tops = [(float(p.bound.max()), -i) for i, p in enumerate(paths)]
         value, i = max(tops)
         if value == -np.inf:
@@ -197,8 +230,10 @@ def sample(vocabulary: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Gener
             break
         path = paths[-i]
         j = int(path.bound.argmax())
-        each = vocabulary.ways[int(at[j])][1]
-        taken = path.taken.setdefault(j, [int(path.choice[j])])
+        node, unit = int(vocabulary.node[path.edges[j]]), int(path.whose[j])
+        low = int(vocabulary.first[node])
+        each = vocabulary.logs[low : int(vocabulary.first[node + 1])]
+        taken = path.taken.setdefault(j, [int(path.edges[j]) - low])
         left = np.exp(each)
         left[taken] = 0
         sums = np.cumsum(left)
@@ -208,23 +243,23 @@ def sample(vocabulary: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Gener
         prefix = float(path.logs[:j].sum())
         mass = float(left.sum())
         path.bound[j] = float(_below(np.float64(prefix + np.log(mass)), value, rng.random())) if len(taken) < len(each) and mass > 0 else -np.inf
-        choice, logs, bound = follow(j + 1, prefix + float(each[c]), value)
-        paths.append(_Path(np.concatenate([path.choice[:j], [c], choice]), np.concatenate([path.logs[:j], [each[c]], logs]), np.concatenate([np.full(j + 1, -np.inf), bound]), value))
+        edges, whose, logs, bound = follow(unit, int(vocabulary.next[low + c]), prefix + float(each[c]), value)
+        paths.append(
+            _Path(
+                np.concatenate([path.edges[:j], [low + c], edges]),
+                np.concatenate([path.whose[:j], [unit], whose]),
+                np.concatenate([path.logs[:j], [each[c]], logs]),
+                np.concatenate([np.full(j + 1, -np.inf), bound]),
+                value,
+            )
+        )
 
     out = []
     for path in paths:
-        changed = np.flatnonzero(path.choice)
-        spelt = ids
-        if len(changed):
-            ways = vocabulary.first[at[changed]] + path.choice[changed]
-            sizes = np.ones(len(ids), np.int64)
-            sizes[steps[changed]] = more = vocabulary.sizes[ways]
-            starts = np.cumsum(sizes) - sizes
-            spelt = np.empty(int(sizes.sum()), np.int32)
-            spelt[starts] = ids
-            inner = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
-            spelt[np.repeat(starts[steps[changed]], more) + inner] = vocabulary.all_ids[np.repeat(vocabulary.begins[ways], more) + inner]
-        out.append((spelt, float(path.logs.sum()), path.value))
+        spelt = vocabulary.piece[path.edges]
+        if len(spelt) and spelt.min() < 0:
+            spelt = np.array([y for x in spelt.tolist() for y in ((x,) if x >= 0 else vocabulary.spelt[-1 - x])])
+        out.append((spelt.astype(np.int32), float(path.logs.sum()), path.value))
     return out, kappa
 
 
@@ -238,10 +273,18 @@ def inclusion(log_prob: float, kappa: float) -> float:
 
 def _rows(vocabulary: Vocabulary, keys: list, texts: list[str], k: int, seed: int):
     encoded = list(vocabulary.encode(texts))
-    vocabulary.learn(np.concatenate([np.zeros(0, np.int32), *encoded]))
-    for key, ids in zip(keys, encoded):
+    cuts, ready = [vocabulary.cut(t) for t in texts], 0
+    for i, (key, ids) in enumerate(zip(keys, encoded)):
+        if i == ready:  # the lattices of the next rows at once
+            if len(vocabulary.piece) > EDGES:
+                vocabulary.forget()
+            size = 0
+            while ready < len(texts) and (ready == i or size + len(texts[ready]) <= CHARACTERS):
+                size += len(texts[ready])
+                ready += 1
+            vocabulary.learn([u for own in cuts[i:ready] for u in own])
         rng = np.random.default_rng([seed, int(key or 0) & (2**63 - 1), int((key or 0) < 0)])
-        yield ids, *sample(vocabulary, ids, k, rng)
+        yield ids, *sample(vocabulary, ids, k, rng, cuts[i])
 
 
 SAMPLES = "samples array<struct<ids:array<int>,log_prob:double,perturbed:double,log_inclusion:double>>"

@@ -352,6 +352,33 @@ def test_samples_follow_their_probabilities():
         assert abs(seen[way] / n - p) < 4 * np.sqrt(p * (1 - p) / n) + 1e-3
 
 
+def all_ways(v, unit):
+    """Every segmentation of a unit into pieces, with the log of its weight."""
+    if not unit:
+        return [((), 0.0)]
+    heads = [(v.plain[unit[:n]], n) for n in range(1, len(unit) + 1) if unit[:n] in v.plain]
+    return [((i, *w), x - np.log1p(-v.sp.get_score(i))) for i, n in heads for w, x in all_ways(v, unit[n:])]
+
+
+def test_samples_come_from_all_segmentations_of_a_word():
+    v = pieces.Vocabulary(pieces.default_model(), 1.0)
+    ids = next(v.encode(["unrelated"]))
+    assert len(ids) > 1
+    ways = dict(all_ways(v, "\u2581unrelated"))
+    total = np.logaddexp.reduce(list(ways.values()))
+    found, kappa = pieces.sample(v, ids, len(ways) + 1, np.random.default_rng(5))
+    assert kappa == -np.inf and len(found) == len(ways)
+    assert {tuple(w.tolist()) for w, _, _ in found} == set(ways)
+    assert all(abs(p - (ways[tuple(w.tolist())] - total)) < 1e-9 for w, p, _ in found)
+    seen, n = defaultdict(int), 2_000
+    for key in range(n):
+        for w, _, _ in pieces.sample(v, ids, 1, np.random.default_rng([2, key]))[0]:
+            seen[tuple(w.tolist())] += 1
+    for way, x in ways.items():
+        p = np.exp(x - total)
+        assert abs(seen[way] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 2e-3
+
+
 def test_decoding_is_a_round_trip(docs):
     text = dict(rows_of(docs))
     for r in pieces.decode(pieces.encode(docs, k=1)).collect():
