@@ -66,7 +66,7 @@ class Vocabulary:
         self.newline = self.sp.encode("\n")
         self.units: dict[str, bytes] = {}
         self.weight = [-alpha * float(np.log1p(-self.sp.get_score(i))) for i in range(n)]
-        self.begun = {p[:i] for p in self.plain for i in range(1, len(p) + 1)}
+        self.begun = {p[:i]: -1 for p in self.plain for i in range(1, len(p))} | self.plain  # -1: only begins pieces
         self.forget()
 
     # encoding and decoding
@@ -105,6 +105,7 @@ class Vocabulary:
     def forget(self) -> None:
         """Empties the lattices."""
         self.start: dict[str, int] = {}
+        self.known: dict[str, tuple[int, float]] = {}  # node and log-mass of an end
         self.spelt: list[tuple[int, ...]] = []
         # Of all edges, by node: piece (-1 - place in ``spelt`` for bytes), its node, the node it leads to (-1 at the unit's
         # end), node plus cumulated probability, log-probability at its node and log of the other edges' probability.
@@ -112,54 +113,64 @@ class Vocabulary:
         self.sums, self.logs, self.rests = (np.zeros(0) for _ in range(3))
         self.first = np.zeros(1, np.int64)
 
-    def edges(self, unit: str, i: int) -> list[tuple[int, int, float]]:
-        """Piece, end and log-weight of every edge at a position."""
-        out = []
-        for j in range(i + 1, len(unit) + 1):
-            piece = unit[i:j]
-            if piece not in self.begun:
-                break
-            if (at := self.plain.get(piece)) is not None:
-                out.append((at, j, self.weight[at]))
-        if not out or out[0][1] > i + 1:
-            ids = tuple(self.sp.piece_to_id(f"<0x{b:02X}>") for b in unit[i].encode())
-            self.spelt.append(ids)
-            out.append((-len(self.spelt), i + 1, sum(self.weight[x] for x in ids)))
-        return out
-
     def learn(self, units: list[str]) -> None:
-        """Lattices of the units that were not met before."""
+        """Lattices of the units that were not met before. Units up to 64 characters share the nodes of equal ends."""
         new = [u for u in dict.fromkeys(units) if u not in self.start]
         if not new:
             return
-        nodes = len(self.first) - 1
-        flat: list[list] = [[], [], [], [], [], []]
-        counts = []
+        begun, weight, known, nodes = self.begun, self.weight, self.known, len(self.first) - 1
+        pieces, nexts, raw, counts, masses = [], [], [], [], []
         for u in new:
-            self.start[u] = nodes
             n = len(u)
-            mass, rows = [0.0] * (n + 1), [None] * n
+            node, mass = [-1] * (n + 1), [0.0] * (n + 1)
             for i in range(n - 1, -1, -1):
-                out = self.edges(u, i)
-                logs = [w + mass[j] for _, j, w in out]
-                top = max(logs)
-                mass[i] = top + math.log(sum(math.exp(x - top) for x in logs))
-                rows[i] = out, [x - mass[i] for x in logs]
-            for i, (out, logs) in enumerate(rows):
-                at, total = nodes + i, 0.0
-                probs = [math.exp(x) for x in logs]
-                for k, ((piece, j, _), log, prob) in enumerate(zip(out, logs, probs)):
-                    total += prob
-                    others = 1 - prob if prob < 0.5 else math.fsum(probs[:k]) + math.fsum(probs[k + 1 :])
-                    row = piece, at, nodes + j if j < n else -1, at + total, min(log, 0.0), math.log(others) if others > 0 else -math.inf
-                    for have, x in zip(flat, row):
-                        have.append(x)
-                flat[3][-1] = at + 1
-                counts.append(len(out))
-            nodes += n
-        self.piece, self.node, self.next = (np.concatenate([a, np.array(b, np.int64)]) for a, b in zip((self.piece, self.node, self.next), flat))
-        self.sums, self.logs, self.rests = (np.concatenate([a, np.array(b, float)]) for a, b in zip((self.sums, self.logs, self.rests), flat[3:]))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+                if n <= 64:
+                    if (found := known.get(u[i:])) is not None:
+                        node[i], mass[i] = found
+                        continue
+                low = len(raw)
+                single = False
+                for j in range(i + 1, n + 1):
+                    if (at := begun.get(u[i:j])) is None:
+                        break
+                    if at >= 0:
+                        single |= j == i + 1
+                        pieces.append(at)
+                        nexts.append(node[j])
+                        raw.append(weight[at] + mass[j])
+                if not single:
+                    ids = tuple(self.sp.piece_to_id(f"<0x{b:02X}>") for b in u[i].encode())
+                    self.spelt.append(ids)
+                    pieces.append(-len(self.spelt))
+                    nexts.append(node[i + 1])
+                    raw.append(sum(weight[x] for x in ids) + mass[i + 1])
+                own = raw[low:]
+                top = max(own)
+                mass[i] = top + math.log(sum([math.exp(x - top) for x in own])) if len(own) > 1 else top
+                node[i] = nodes + len(counts)
+                counts.append(len(own))
+                masses.append(mass[i])
+                if n <= 64:
+                    known[u[i:]] = node[i], mass[i]
+            self.start[u] = node[0]
+        if not counts:
+            return
+        sizes = np.array(counts)
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        begins = np.cumsum(sizes) - sizes
+        logs = np.minimum(np.array(raw) - np.array(masses)[own], 0.0)
+        probs = np.exp(logs)
+        sums = np.cumsum(probs)
+        sums -= (sums[begins] - probs[begins])[own]
+        sums[begins + sizes - 1] = 1
+        # what is left beside a probable edge is added up, not subtracted from 1
+        small = np.add.reduceat(np.where(probs > 0.5, 0.0, probs), begins)
+        with np.errstate(divide="ignore"):
+            rests = np.where(probs > 0.5, np.log(small)[own], np.log1p(-np.minimum(probs, 0.5)))
+        more = (np.array(pieces), nodes + own, np.array(nexts), nodes + own + sums, logs, rests)
+        have = (self.piece, self.node, self.next, self.sums, self.logs, self.rests)
+        self.piece, self.node, self.next, self.sums, self.logs, self.rests = (np.concatenate(x) for x in zip(have, more))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def draw(self, starts: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one path from each of the nodes to its unit's end, one after the other, and whose they are."""
