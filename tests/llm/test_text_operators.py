@@ -337,46 +337,67 @@ def test_encoding_is_the_library_s(docs, odd):
             assert all(s["log_inclusion"] <= 0 for s in r["samples"])
 
 
-def test_samples_follow_their_probabilities():
-    """First samples of many keys have the frequencies of the lattice."""
-    v = pieces.Vocabulary(pieces.default_model(), 1.0)
-    ids = next(v.encode(["the"]))
-    seen, n = defaultdict(int), 4_000
-    prob = {}
-    for key in range(n):
-        (found, _), *_ = [pieces.sample(v, ids, 2, np.random.default_rng([1, key]))]
-        seen[tuple(found[0][0].tolist())] += 1
-        prob |= {tuple(w.tolist()): np.exp(p) for w, p, _ in found}
-    assert len(prob) > 1
-    for way, p in prob.items():
-        assert abs(seen[way] / n - p) < 4 * np.sqrt(p * (1 - p) / n) + 1e-3
-
-
 def all_ways(v, unit):
-    """Every segmentation of a unit into pieces, with the log of its weight."""
+    """Every segmentation of a unit into pieces (a character without a piece: its bytes), with the log of its weight."""
     if not unit:
         return [((), 0.0)]
-    heads = [(v.plain[unit[:n]], n) for n in range(1, len(unit) + 1) if unit[:n] in v.plain]
-    return [((i, *w), x - np.log1p(-v.sp.get_score(i))) for i, n in heads for w, x in all_ways(v, unit[n:])]
+    out = []
+    for n in range(1, len(unit) + 1):
+        ids = (v.plain[unit[:n]],) if unit[:n] in v.plain else tuple(v.sp.piece_to_id(f"<0x{b:02X}>") for b in unit.encode()[: len(unit[0].encode())]) if n == 1 else None
+        if ids:
+            x = -sum(np.log1p(-v.sp.get_score(i)) for i in ids)
+            out += [((*ids, *w), x + y) for w, y in all_ways(v, unit[n:])]
+    return out
+
+
+def test_units_are_those_of_the_pattern():
+    texts = ["", "a  b \n\n c", " x", "\n", "  ", "a\n b\u2581c d ", "\u2581", "\n\n x\n", "\U0001f600 \u00e9\n"]
+    units, index, past = pieces.cut(texts)
+    for t, a, b in zip(texts, past, past[1:]):
+        want = re.findall("\n| *[^ \n]+| +", " " + t.replace("\u2581", " ")) if t else []
+        assert [units[i] for i in index[a:b]] == want
 
 
-def test_samples_come_from_all_segmentations_of_a_word():
+def test_lattice_holds_every_segmentation():
+    """With k above their number all segmentations come out, with their probabilities."""
     v = pieces.Vocabulary(pieces.default_model(), 1.0)
-    ids = next(v.encode(["unrelated"]))
-    assert len(ids) > 1
-    ways = dict(all_ways(v, "\u2581unrelated"))
+    for text in ("the", "unrelated", "an ab", "a\n\U0001f600b", "b\u00e9\u6f22"):
+        ways = dict(all_ways(v, ("\u2581" + text).replace(" ", "\u2581")))
+        total = np.logaddexp.reduce(list(ways.values()))
+        ((ids, found, kappa, same),) = pieces.segment(v, [text], [3], len(ways) + 1, 5)
+        assert same and kappa == -np.inf and ids.tolist() == v.sp.encode(text)
+        assert len(found) == len(ways) and {tuple(w.tolist()) for w, _, _ in found} == set(ways)
+        assert all(abs(p - (ways[tuple(w.tolist())] - total)) < 1e-9 for w, p, _ in found)
+
+
+def test_samples_are_drawn_without_replacement():
+    """Frequencies of ordered pairs are p q / (1 - p), and inclusion scores weigh a sample's probabilities up to 1."""
+    v = pieces.Vocabulary(pieces.default_model(), 1.0)
+    text, n = "of a", 6_000
+    ways = dict(all_ways(v, "\u2581of\u2581a"))
     total = np.logaddexp.reduce(list(ways.values()))
-    found, kappa = pieces.sample(v, ids, len(ways) + 1, np.random.default_rng(5))
-    assert kappa == -np.inf and len(found) == len(ways)
-    assert {tuple(w.tolist()) for w, _, _ in found} == set(ways)
-    assert all(abs(p - (ways[tuple(w.tolist())] - total)) < 1e-9 for w, p, _ in found)
-    seen, n = defaultdict(int), 2_000
-    for key in range(n):
-        for w, _, _ in pieces.sample(v, ids, 1, np.random.default_rng([2, key]))[0]:
-            seen[tuple(w.tolist())] += 1
-    for way, x in ways.items():
-        p = np.exp(x - total)
-        assert abs(seen[way] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 2e-3
+    prob = {w: np.exp(x - total) for w, x in ways.items()}
+    assert len(prob) > 6
+    pairs, sums = defaultdict(int), []
+    for _, found, kappa, _ in pieces.segment(v, [text] * n, list(range(n)), 3, 11):
+        pairs[tuple(found[0][0].tolist()), tuple(found[1][0].tolist())] += 1
+        assert len({tuple(w.tolist()) for w, _, _ in found}) == 3 and kappa < found[2][2] < found[1][2] < found[0][2]
+        sums.append(sum(np.exp(p - pieces.inclusion(p, kappa)) for _, p, _ in found))
+    for a in prob:
+        for b in prob:
+            p = prob[a] * prob[b] / (1 - prob[a]) if a != b else 0.0
+            assert abs(pairs[a, b] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-3
+    assert abs(np.mean(sums) - 1) < 5 * np.std(sums) / np.sqrt(n)
+
+
+def test_samples_depend_on_the_row_alone():
+    v = pieces.Vocabulary(pieces.default_model(), 1.0)
+    texts, keys = ["the weather is unbelievable", "x" * 3_000, "", "one two"], [4, -1, None, 4]
+    show = lambda rows: [(ids.tolist(), [(w.tolist(), p, g) for w, p, g in found], kappa, same) for ids, found, kappa, same in rows]
+    together = show(pieces.segment(v, texts, keys, 3, 7))
+    assert together == [show(pieces.segment(v, [t], [k], 3, 7))[0] for t, k in zip(texts, keys)]
+    assert [len(found) for _, found, _, _ in together] == [3, 3, 1, 3] and all(row[3] for row in together)
+    assert together != show(pieces.segment(v, texts, keys, 3, 8))
 
 
 def test_decoding_is_a_round_trip(docs):
