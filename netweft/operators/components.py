@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="netweft-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from netweft.operators.tables import cut, drop, new_path
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -34,7 +17,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = given.where("u = v").select(F.col("u").alias("id")).distinct()
-    now = cut(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    now = cut(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", path)
     seen = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
@@ -45,7 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u")
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small, "edges")
+        before, path = path, new_path(spark, "edges")
+        now = cut(small, "edges", path)
+        drop(spark, before)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == seen:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweft.operators.components import cut
+from netweft.operators.tables import cut
 
 
 def canonical(edges: DataFrame, a: str = "g1", b: str = "g2") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweft.operators.components import cut
+from netweft.operators.tables import cut
 
 
 def all_paths(edges: DataFrame, root: int, max_depth: int = 100) -> DataFrame:
