@@ -8,11 +8,12 @@ code points of the original text.
 
 The work is a narrow map over the documents: no shuffle, no key, so hot sources and copies cost nothing extra. The
 automaton is broadcast only while its patterns stay below ``max_chars`` characters (checked by a Spark aggregate); a larger
-benchmark is cut into blocks of that size by item row, and the documents pass through one automaton after the other, which
-gives the same result.
+benchmark is cut into blocks of that size by item row, and the documents pass through one automaton after the other, written
+to the shared folder in between, so that a task never holds two of them; the result is the same.
 
-Defined results: null or wordless text has n_words 0, n_hit 0 and no items; null item text gives no window; repeated rows
-are scanned as they come; item ids are distinct in ``item_ids``; other columns pass through untouched.
+Defined results: null or wordless text has n_words 0, n_hit 0 and no items; null item text and items with a null id give no
+window; repeated rows are scanned as they come; very long texts are scanned whole; item ids are distinct in ``item_ids``; other
+columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netweft.llm.common import materialise
+
 #: Lower-cases A-Z and turns every ASCII byte that is no word character into a space; bytes of other code points stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -170,6 +173,8 @@ def decontaminate(
         fields = [f for f in out.schema if f.name not in ("__runs", "__items")]
         more = list(ADDED) if last else [T.StructField("__items", T.ArrayType(T.LongType())), T.StructField("__runs", SPANS)]
         out = out.mapInArrow(_scanner(shared, text, last), T.StructType(fields + more))
+        if not last:
+            out = materialise(out, "decontaminate")
     return out.select(*carry, *added)
 
 

@@ -13,7 +13,7 @@ most code points in its original text stays, then the one with the smallest doc_
 
 Defined results: null text counts as empty, and all empty texts are one group; of fully equal rows (same text length and
 id) the one in the first local group stays; a null doc_id loses against any other; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored. A spilled subtree is a temporary file of its task, which is done again with the task if that is lost.
 """
 
 from __future__ import annotations
@@ -156,9 +156,9 @@ class PatriciaTrie:
             yield from part.items()
 
 
-LOCAL = "lid long, key_len long, key_hash long, norm binary, sha string, n long, cp long, id long, ids array<long>, best int"
+LOCAL = "lid long, key_len long, key_hash long, norm binary, sha string, n long, cp long, id long, ids array<long>, rows array<long>, best int"
 LOCAL_ARROW = pa.schema(
-    [("lid", pa.int64()), ("key_len", pa.int64()), ("key_hash", pa.int64()), ("norm", pa.binary()), ("sha", pa.string()), ("n", pa.int64()), ("cp", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("best", pa.int32())]
+    [("lid", pa.int64()), ("key_len", pa.int64()), ("key_hash", pa.int64()), ("norm", pa.binary()), ("sha", pa.string()), ("n", pa.int64()), ("cp", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("best", pa.int32())]
 )
 
 
@@ -169,11 +169,12 @@ def _rank(cp: int, doc) -> tuple:
 
 def _local(budget: int):
     def merge(old: list, new: list) -> list:
-        # a record: ids of the rows, code points and place of the best of them
-        ids, cp, best = old
+        # a record: ids of the rows, code points and place of the best of them, keys of the rows
+        ids, cp, best, keys = old
         if _rank(new[1], new[0][0]) < _rank(cp, ids[best]):
             old[1], old[2] = new[1], len(ids)
         ids.append(new[0][0])
+        keys.append(new[3][0])
         return old
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,23 +186,23 @@ def _local(budget: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal next_id
             out, size = [], 0
-            for norm, (ids, cp, best) in trie.items():
+            for norm, (ids, cp, best, keys) in trie.items():
                 digest = hashlib.sha256(norm).digest()
-                out.append({"lid": next_id, "key_len": len(norm), "key_hash": int.from_bytes(digest[:8], "big", signed=True), "norm": norm, "sha": digest.hex(), "n": len(ids), "cp": cp, "id": ids[best], "ids": ids, "best": best})
+                out.append({"lid": next_id, "key_len": len(norm), "key_hash": int.from_bytes(digest[:8], "big", signed=True), "norm": norm, "sha": digest.hex(), "n": len(ids), "cp": cp, "id": ids[best], "ids": ids, "rows": keys, "best": best})
                 next_id += 1
-                size += len(norm) + 8 * len(ids)
+                size += len(norm) + 16 * len(ids)
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_pylist(out, LOCAL_ARROW)
                     out, size = [], 0
             yield pa.RecordBatch.from_pylist(out, LOCAL_ARROW)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts, keys = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             for k in range(batch.num_rows):
                 text = texts[k].as_py() or ""
-                trie.insert(text.encode("utf-8").translate(None, BLANKS), [[ids[k]], len(text), 0])
+                trie.insert(text.encode("utf-8").translate(None, BLANKS), [[ids[k]], len(text), 0, [keys[k]]])
                 rows += 1
-                if trie.held + 16 * rows > budget:
+                if trie.held + 24 * rows > budget:
                     yield from flush()
                     trie, rows = PatriciaTrie(merge), 0
         yield from flush()
@@ -240,15 +241,19 @@ def _owners(budget: int):
     return run
 
 
-def exact_groups(docs: DataFrame, local_budget: int = 64_000_000, owner_budget: int = 192_000_000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row. Budgets: bytes of text that a task's trie may hold."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def exact_groups(docs: DataFrame, local_budget: int = 64_000_000, owner_budget: int = 192_000_000, key: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row, and its ``key`` (a long) if one is named.
+
+    Budgets: bytes of text that a task's trie may hold.
+    """
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(key) if key else F.lit(0)).cast("long").alias("row"))
     groups = materialise(given.mapInArrow(_local(local_budget), LOCAL), "exact-local")
     dealt = groups.repartition("key_len", "key_hash").select("norm", "lid", "n", "cp", "id")
     owners = dealt.mapInArrow(_owners(owner_budget), "lid long, keep_lid long, keep_id long, group_size long")
-    members = groups.select("lid", "sha", "ids", "best").join(owners, "lid")
-    return members.select("*", F.posexplode("ids").alias("at", "doc_id")).select(
-        "doc_id",
+    members = groups.select("lid", "sha", F.arrays_zip("ids", "rows").alias("members"), "best").join(owners, "lid")
+    return members.select("*", F.posexplode("members").alias("at", "member")).select(
+        *([F.col("member.rows").alias(key)] if key else []),
+        F.col("member.ids").alias("doc_id"),
         "keep_id",
         "group_size",
         ((F.col("lid") == F.col("keep_lid")) & (F.col("at") == F.col("best"))).alias("kept"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -30,12 +33,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
-def add_score(docs: DataFrame, scored, modulus: int, held_out: int, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted, from a mapper that turns (doc_id, text) into (doc_id, score)."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
-    return out.select(
+def add_score(docs: DataFrame, scored, modulus: int, held_out: int, threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns to ``carry``, from a mapper that turns the text, the last of its
+    columns, into a score."""
+    given = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = T.StructType([*given.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(scored, kind).select(
+        *carry,
         "doc_id",
         (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def with_scores(batch: pa.RecordBatch, z: np.ndarray) -> pa.RecordBatch:
+    """The batch with the logistic function of ``z`` instead of its last column."""
+    score = pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), score], [*batch.schema.names[:-1], "score"])

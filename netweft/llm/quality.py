@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netweft.llm.labelled import add_score, sample
+from netweft.llm.labelled import add_score, sample, with_scores
 
 BITS = 16
 BUCKETS = 10
@@ -141,16 +141,18 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.value
         for batch in batches:
-            z = np.full(batch.num_rows, -50.0)
-            for k in range(batch.num_rows if machine is not None else 0):
-                columns, values = features(*describe(batch.column(1)[k].as_py() or ""), machine.bounds)
-                z[k] = machine.raw(columns, values, np.zeros(1, np.int64))[0][0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())], ["doc_id", "score"])
+            texts, z = batch.column(batch.num_columns - 1), np.full(batch.num_rows, -50.0)
+            for begin in range(0, batch.num_rows if machine is not None else 0, 256):
+                rows = [features(*describe(texts[k].as_py() or ""), machine.bounds) for k in range(begin, min(begin + 256, batch.num_rows))]
+                sizes = np.array([len(columns) for columns, _ in rows])
+                columns, values = np.concatenate([c for c, _ in rows]), np.concatenate([v for _, v in rows])
+                z[begin : begin + len(rows)] = machine.raw(columns, values, np.cumsum(sizes) - sizes)[0]
+            yield with_scores(batch, z)
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
+def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **how) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, with the columns to ``carry``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    return add_score(docs, _score(model), 4, 2)
+    return add_score(docs, _score(model), 4, 2, carry=carry)

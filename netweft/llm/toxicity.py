@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweft.llm.labelled import add_score, sample
+from netweft.llm.labelled import add_score, sample, with_scores
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -121,13 +121,13 @@ def _score(model):
         weights, intercept = model.value
         wanted = weights != 0
         for batch in batches:
-            z = np.array([intercept + float(weights[present(batch.column(1)[k].as_py() or "", wanted)].sum()) for k in range(batch.num_rows)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())], ["doc_id", "score"])
+            texts = batch.column(batch.num_columns - 1)
+            yield with_scores(batch, np.array([intercept + float(weights[present(texts[k].as_py() or "", wanted)].sum()) for k in range(batch.num_rows)]))
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
+def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **how) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, with the columns to ``carry``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    return add_score(docs, _score(model), 3, 1)
+    return add_score(docs, _score(model), 3, 1, carry=carry)
