@@ -32,9 +32,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -45,8 +45,9 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 CACHE = 500_000
 GROUP = 64
-CHARACTERS = 1_000_000
+CHARACTERS = 1_500_000
 STEP, UNITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+ONE = int(UNITS)
 SLOTS = 18  # log of the size of the table of the pieces' beginnings
 
 
@@ -74,7 +75,8 @@ class Vocabulary:
         self.raw_size = np.array([len(b) for b in self.bytes_of])
         self.raw_begin = np.cumsum(self.raw_size) - self.raw_size
         self.line_end = self.sp.encode("\n")[-1:]
-        self.units: dict[str, bytes] = {}
+        self.lead = len(self.sp.encode("\n")) - 1  # ids that a text has before its first line end
+        self.forget()
         self.weight = -alpha * np.log1p(-np.array([self.sp.get_score(i) for i in range(n)]))
         self.byte_of = np.array([self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         # The beginnings of pieces are numbered from 1 (0: nothing yet). A table with open addressing leads from the number of
@@ -122,29 +124,42 @@ class Vocabulary:
             live, begun = live[on], begun[on]
         return out
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the units, one unit after the other, and the number of each unit's ids. Line ends part new units, so the
-        library encodes many in one text."""
+    def forget(self) -> None:
+        """Empties the cache of encoded units: their numbers, their ids one unit after the other, and where a unit's ids begin."""
+        self.units: dict[str, int] = {"\n": 0}
+        self.flat, self.begins = [np.array(self.line_end, np.int32)], [np.array([0, len(self.line_end)])]
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of encoded units in one array, and where those of each of the units begin and end. Line ends part new units,
+        so the library encodes many in one text."""
         if len(self.units) > CACHE:
-            self.units.clear()
-        self.units["\n"] = array("i", self.line_end).tobytes()
+            self.forget()
         new = [u for u in units if u not in self.units]
-        groups = [new[i : i + GROUP] for i in range(0, len(new), GROUP)]
-        for group, ids in zip(groups, self.sp.encode(["".join(["\n" + u for u in g]) for g in groups], num_threads=1)):
-            flat = np.array(ids, np.int32)
-            ends = np.append(np.flatnonzero(flat == self.line_end[0]) * 4, 4 * len(flat)).tolist()
-            raw = flat.tobytes()
-            if len(ends) != len(group) + 1:
+        if new:
+            groups = ["\n" + "\n".join(new[i : i + GROUP]) for i in range(0, len(new), GROUP)]
+            flat = np.array(list(chain.from_iterable(self.sp.encode(groups, num_threads=1))), np.int32)
+            # a group is a space of its own, then a line end before each unit
+            ends = flat == self.line_end[0]
+            if int(ends.sum()) != len(new):
                 raise RuntimeError("a unit's ids hold a line end")
-            self.units.update(zip(group, [raw[a + 4 : b] for a, b in zip(ends, ends[1:])]))
-        found = [self.units[u] for u in units]
-        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            ends = np.flatnonzero(ends)
+            past = np.append(ends[1:], len(flat))
+            past[GROUP - 1 : -1 : GROUP] -= self.lead
+            self.units.update(zip(new, range(len(self.units), len(self.units) + len(new))))
+            base = sum(map(len, self.flat))
+            self.flat.append(flat)
+            self.begins.append(np.stack([ends + 1 + base, past + base], axis=1).ravel())
+        self.flat, self.begins = [np.concatenate(self.flat)], [np.concatenate(self.begins)]
+        found = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        return self.flat[0], self.begins[0][2 * found], self.begins[0][2 * found + 1]
 
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that the ids stand for, and where those of each id end."""
         sizes = self.raw_size[ids]
         ends = np.cumsum(sizes)
-        return self.raw[np.repeat(self.raw_begin[ids] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
+        at = np.repeat(self.raw_begin[ids] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.raw[at], ends
 
     def decode(self, ids) -> str:
         raw = b"".join(itemgetter(*ids)(self.bytes_of)) if len(ids) > 1 else b"".join(self.bytes_of[i] for i in ids)
@@ -267,12 +282,13 @@ class Lattices:
             weight[chars] = np.array([vocabulary.weight[vocabulary.byte_of[list(chr(c - n).encode())]].sum() for c in which])[at]
 
         # forward sums, for all nodes at the same distance at once
-        own = np.repeat(np.arange(len(nodes)), counts)
+        own = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
         mass, probs, logs, a = np.zeros(len(points) + 1), np.zeros(total), np.zeros(total), 0
         for b in (np.cumsum(np.bincount(depth)) if len(depth) else [0])[1:]:
             e, f = int(begins[a]), int(ends[b - 1])
             group, which = begins[a:b] - e, own[e:f] - a
-            x = weight[e:f] + mass[before[e:f]]
+            x = mass[before[e:f]]
+            x += weight[e:f]
             top = np.maximum.reduceat(x, group)
             x -= top[which]
             p = np.exp(x)
@@ -286,13 +302,11 @@ class Lattices:
             a = int(b)
         self.logs, self.probs = np.minimum(logs, 0.0, out=logs), probs
         sums = np.cumsum(probs)
-        sums -= (sums[begins] - probs[begins])[own]
+        sums -= np.repeat(sums[begins] - probs[begins], counts)
         sums[ends - 1] = 1
-        self.sums, self.node = sums, nodes[own]
+        self.sums, self.nodes, self.own = sums, nodes, own
         # what is left beside a probable edge is added up, not subtracted from 1
-        self.left = np.zeros(len(points) + 1)
-        if total:
-            self.left[nodes] = np.add.reduceat(np.where(probs > 0.5, 0.0, probs), begins)
+        self.left = np.add.reduceat(np.where(probs > 0.5, 0.0, probs), begins) if total else probs
         begun = np.zeros(len(points) + 1, bool)
         begun[starts] = True
         self.next = np.where(begun[before], -1, before)  # the node that an edge leads to, -1 past the unit
@@ -301,7 +315,7 @@ class Lattices:
         """Log of the probability of all other edges that end where these end."""
         p = self.probs[edges]
         with np.errstate(divide="ignore"):
-            return np.where(p > 0.5, np.log(self.left[self.node[edges]]), np.log1p(-np.minimum(p, 0.5)))
+            return np.where(p > 0.5, np.log(self.left[self.own[edges]]), np.log1p(-np.minimum(p, 0.5)))
 
     def draw(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one path from each of the nodes, one path after the other, and the number of each path's edges."""
@@ -331,6 +345,10 @@ def _below(mass, limit, u):
         return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(np.minimum(mass - limit, 700.0)) - np.log(u)))
 
 
+def _below_one(mass: float, limit: float, u: float) -> float:
+    return mass - math.log(math.exp(min(mass - limit, 700.0)) - math.log(u))
+
+
 class _Path:
     """A path: its edges, how many each unit has, its perturbed log-probability, and the bounds of the children that were not
     taken at its steps (steps past the end of ``bound`` can't come into play)."""
@@ -383,7 +401,7 @@ class _Search:
             return False
         self.round += 1
         lattices, j = self.lattices, int(path.bound.argmax())
-        node = int(lattices.node[path.edges[j]])
+        node = int(lattices.nodes[lattices.own[path.edges[j]]])
         low = int(lattices.first[node])
         each = lattices.logs[low : low + int(lattices.counts[node])].tolist()
         taken = path.taken.setdefault(j, [int(path.edges[j]) - low])
@@ -399,7 +417,7 @@ class _Search:
         taken.append(c)
         left[c] = 0.0
         prefix, mass = float(lattices.logs[path.edges[:j]].sum()), sum(left)
-        path.bound[j] = float(_below(np.float64(prefix + math.log(mass)), value, _uniform_one(seed + int(UNITS)))) if len(taken) < len(each) and mass > 0 else -np.inf
+        path.bound[j] = _below_one(prefix + math.log(mass), value, _uniform_one(seed + ONE)) if len(taken) < len(each) and mass > 0 else -np.inf
         path.best = float(path.bound.max())
         past = np.cumsum(path.counts)
         unit = int(np.searchsorted(past, j, "right"))
@@ -420,7 +438,7 @@ def _bounds(active: list[_Search], edges: np.ndarray, ends: np.ndarray) -> list[
     lattices, k = active[0].lattices, active[0].k
     begins, sizes = ends[:-1], np.diff(ends)
     out: list[np.ndarray] = [np.zeros(0)] * len(active)
-    todo, m = np.arange(len(active)), 80
+    todo, m = np.arange(len(active)), 56
     prefix, value = np.array([s.prefix for s in active]), np.array([s.value for s in active])
     seeds = np.array([s.seed(2) for s in active], np.uint64)
     while len(todo):
@@ -493,10 +511,10 @@ def segment(vocabulary: Vocabulary, texts: list[str], keys: list[int | None], k:
     """For each text: its ids, up to k samples (ids, log-probability, perturbed log-probability), kappa, and whether all of
     them decode to the text."""
     distinct, units, bounds = cut(texts)
-    own, sizes = vocabulary.encode_units(distinct)
-    each = sizes[units]
+    flat, begins, ends = vocabulary.encode_units(distinct)
+    each = (ends - begins)[units]
     past = np.cumsum(each)
-    own = own[np.repeat((np.cumsum(sizes) - sizes)[units] - past + each, each) + np.arange(int(each.sum()))]
+    own = flat[np.repeat(begins[units] - past + each, each) + np.arange(int(each.sum()))]
     own_bounds = np.append(0, past)[bounds]
     found, kappas, ids, ends = sample(Lattices(vocabulary, distinct), vocabulary, units, bounds, keys, k, seed)
 
@@ -580,7 +598,7 @@ def _digest(model: str, k: int, alpha: float, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model, alpha)
-        sha = lambda ids: hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+        sha = lambda ids: hashlib.sha256(ids.astype("<i4", copy=False)).hexdigest()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = []
