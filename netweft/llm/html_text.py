@@ -1,31 +1,41 @@
 """Main-text extraction by line-block distribution.
 
-1. Markup is stripped: every block element becomes one line of text with character references decoded. Text under
-   scripts, styles, menus, page headers and footers, sidebars, forms, notices, adverts and reader comments counts as
-   markup, so its line is empty; where the page names its article (article or main element), lines outside are markup too.
-2. Line lengths (text outside links) are summed over a sliding window of ``window`` lines.
-3. A surge point is where the sum first reaches the threshold, a dive point where it falls to zero; the text between the
-   start of the rise and the dive is kept. Where the article element is named the threshold is one character; otherwise
-   it is ``surge`` characters (or the page's highest sum, if lower), and regions below a fifth of the largest go.
-
-A narrow map: every page by itself, no shuffle. Memory holds one batch of pages.
-
-Defined results: null or empty html gives text '' and n_chars 0; unclosed elements end with their parent; references that
-are no references stay as they are; repeated rows give repeated results; extra columns are ignored.
+1. Markup is stripped: every block element becomes one line of text with character references decoded. Scripts, styles,
+   menus, page headers and footers, sidebars, forms, notices, adverts and reader comments count as markup, told by element
+   name, role or a whole class or id name. A class or id doesn't count on an article or main element or on one that holds
+   most of the page's text, unless it names reader comments. What is markup gives no line, but a menu, header or footer parts
+   the lines before from those after it by a window of empty ones.
+2. Every line has a weight. Where the page names no article, it is the length outside links. Where it has article elements,
+   their lines weigh their length and ``surge`` more, other lines of a main element their length outside links, and all
+   others nothing; where it has a main element alone, that is the article.
+3. Weights are summed over a sliding window of ``window`` lines. A surge point is where the sum reaches ``surge`` (or the
+   page's highest sum, if lower), a dive point where it falls to zero. Text from the rise to the first surge up to the last
+   dive is kept, whatever its size, but for lines where the sum is zero.
+
+A narrow map: every page by itself, no shuffle. Memory holds one batch of pages. The scan is linear in a page's length, for
+unclosed tags, quotes and elements too.
+
+Defined results: null or empty html gives text '' and n_chars 0; unclosed elements end with their parent; an unclosed tag at
+the end of a page is markup to the end; references that are no references stay as they are; very long pages are extracted
+whole; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+# Possessive, so that no start of a tag is tried in more than one way; a missing quote is looked for once at most, as there is
+# none behind it.
+TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
+NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|/|$|=)|(?:^|\s)style\s*+=\s*+["'][^"']*?display\s*:\s*none""", re.I)
 SPACE = re.compile(r"\s+")
 
 # Element names of HTML and names that pages give to what isn't the article.
@@ -35,120 +45,227 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead title tr ul".split()
 )
 DROPPED = frozenset("nav footer aside form menu dialog button fieldset head search".split())
+PARTING = frozenset("nav header footer".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "title", "caption", "legend", "tbody", "thead", "tfoot", "tr"}
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies disqus discussion respond sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended newsletter subscribe signup login search widget pagination pager complementary contentinfo".split()
 )
+COMMENTS = frozenset("comment comments reply replies disqus discussion respond".split())
+#: Words that may stand before a boilerplate word (site-footer) or after it (cookie-bar) in one name.
+BEFORE = frozenset("site page main global top bottom left right primary secondary article post entry story user reader".split())
+AFTER = frozenset("area bar block body box button buttons column container content form group holder inner item items link links list message panel section slot text thread unit widget wrap wrapper".split())
+TITLED = frozenset("article post entry story".split())
 CELLS = frozenset({"td", "th"})
-OWN_HEADER = ("article", "main")
+OWN = ("article", "main")
+#: An element that starts ends an open one of the names given, up to the nearest of the bounds.
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+
+
+def _boiler(name: str) -> str:
+    """The boilerplate word that a class, id or role names; '' if it names none."""
+    words = re.split("[_-]+", name.lower())
+    if len(words) == 1:
+        return words[0] if words[0] in BOILER else ""
+    if words[-1] in BOILER and all(w in BOILER or w in BEFORE for w in words):
+        return "" if words[-1] == "header" and words[0] in TITLED else words[-1]
+    return words[0] if words[0] in BOILER and all(w in BOILER or w in AFTER for w in words[1:]) else ""
 
 
-def _boiler(attributes: str) -> bool:
+def _named(attributes: str) -> set[str]:
+    found = set()
     for m in NAMES.finditer(attributes):
-        for word in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in BOILER:
-                return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").split():
+            found.add(_boiler(name))
+    return found - {""}
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, its characters outside links, inside the named article) for each block; '' for what is markup."""
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, dropped
-    dropped = articles = links = at = 0
-    text: list[str] = []
-    linked = 0
+def _events(page: str) -> Iterator[tuple[str, str, str]]:
+    """('text', text, ''), ('open', name, attributes) and ('close', name, '') in the order of the page."""
+    at, size = 0, len(page)
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = size
+        if begin > at:
+            yield "text", page[at:begin], ""
+        if begin == size:
+            return
+        nxt = page[begin + 1 : begin + 2]
+        if nxt in ("!", "?"):
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->" if comment else ">", begin + 4 if comment else begin)
+            at = size if end < 0 else end + (3 if comment else 1)
+        elif (nxt.isascii() and nxt.isalpha()) or (nxt == "/" and page[begin + 2 : begin + 3].isascii() and page[begin + 2 : begin + 3].isalpha()):
+            m = TAG.match(page, begin + 1)
+            if m is None:  # no end of the tag up to the end of the page
+                return
+            at, name = m.end(), m[2].lower()
+            if name in RAW:
+                if not m[1] and not m[3].rstrip().endswith("/"):
+                    m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                    end = page.find(">", m.end()) if m else -1
+                    at = size if end < 0 else end + 1
+            else:
+                yield "close" if m[1] else "open", name, m[3]
+        else:
+            yield "text", "<", ""
+            at = begin + 1
 
-    def flush() -> None:
-        nonlocal linked
-        whole = SPACE.sub(" ", html_lib.unescape("".join(text))).strip() if text else ""
-        lines.append((whole, max(0, len(whole) - linked), articles > 0))
-        text.clear()
-        linked = 0
+
+class _Element:
+    __slots__ = ("name", "parent", "named", "before", "text", "gone")
+
+    def __init__(self, name: str, parent, named: set[str], before: int, gone: bool) -> None:
+        self.name, self.parent, self.named, self.before, self.text, self.gone = name, parent, named, before, 0, gone
+
+
+def _tree(page: str) -> tuple[list[tuple[str, object, str]], int]:
+    """(kind, element, text) in the order of the page, and the characters of text outside elements dropped by name."""
+    out: list[tuple[str, object, str]] = []
+    stack: list[_Element] = []
+    count: Counter[str] = Counter()
+    total = gone = own = 0
 
     def pop(k: int) -> None:
-        nonlocal dropped, articles, links
-        for name, gone in stack[k:]:
-            dropped -= gone
-            articles -= name in OWN_HEADER
-            links -= name == "a"
+        nonlocal gone, own
+        for e in reversed(stack[k:]):
+            e.text = total - e.before
+            count[e.name] -= 1
+            gone -= e.gone
+            own -= e.name in OWN
+            out.append(("close", e, ""))
         del stack[k:]
 
-    while at < len(page):
-        m = TAG.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece and not dropped:
-            text.append(piece)
-            if links:
-                linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+    for kind, name, attributes in _events(page):
+        if kind == "text":
+            out.append(("text", stack[-1] if stack else None, name))
+            if not gone:
+                total += len(name)
             continue
-        name, closing = m[2].lower(), m[1]
-        if name in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if kind == "close":
+            if count[name]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name))
+            elif name in BLOCK:
+                out.append(("line", None, ""))
             continue
-        if name in BLOCK:
-            flush()
-        elif name in CELLS or name == "br":
-            text.append(" ")
-        if closing:
+        if name in CLOSES_P and count["p"]:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == "p":
                     pop(k)
                     break
-            continue
-        if name in VOID:
-            continue
-        if name in CLOSES_P:
+                if stack[k].name in BLOCK:
+                    break
+        if name in ENDS and any(count[x] for x in ENDS[name][0]):
+            same, bounds = ENDS[name]
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
+                if stack[k].name in same:
                     pop(k)
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k].name in bounds:
                     break
-        gone = name in DROPPED or (name == "header" and not articles) or (bool(m[3]) and name not in ("html", "body") and _boiler(m[3]))
-        stack.append((name, gone))
-        dropped += gone
-        articles += name in OWN_HEADER
-        links += name == "a"
+        if name in VOID:
+            out.append(("line" if name in BLOCK else "space" if name == "br" else "void", None, ""))
+            continue
+        away = name in DROPPED or (name == "header" and not own) or (bool(attributes) and HIDDEN.search(attributes) is not None and name not in ("html", "body"))
+        named = _named(attributes) if attributes and name not in ("html", "body") else set()
+        if own:  # the article's own header
+            named.discard("header")
+        element = _Element(name, stack[-1] if stack else None, named, total, away)
+        stack.append(element)
+        count[name] += 1
+        gone += away
+        own += name in OWN
+        out.append(("open", element, ""))
+    pop(0)
+    return out, total
+
+
+def _away(e: _Element, total: int) -> bool:
+    if e.gone:
+        return True
+    if e.named & COMMENTS:
+        return True
+    return bool(e.named) and e.name not in OWN and 2 * e.text <= total
+
+
+def lines_of(page: str, window: int = 3) -> list[tuple[str, int, str]]:
+    """(text, its characters outside links, the article or main element that it is in) for each block that isn't markup;
+    empty lines where a menu, header or footer was."""
+    events, total = _tree(page)
+    lines: list[tuple[str, int, str]] = []
+    text: list[str] = []
+    away = links = linked = 0
+    inside: Counter[str] = Counter()
+
+    def flush() -> None:
+        nonlocal linked
+        if text:
+            whole = SPACE.sub(" ", html_lib.unescape("".join(text))).strip()
+            if whole:
+                lines.append((whole, max(0, len(whole) - linked), "article" if inside["article"] else "main" if inside["main"] else ""))
+            text.clear()
+        linked = 0
+
+    for kind, e, piece in events:
+        if kind == "text":
+            if not away:
+                text.append(piece)
+                if links:
+                    linked += len(piece)
+        elif kind == "space":
+            text.append(" ")
+        elif kind == "line":
+            flush()
+        elif kind != "void":
+            opens = kind == "open"
+            if e.name in BLOCK:
+                flush()
+            elif e.name in CELLS:
+                text.append(" ")
+            step = 1 if opens else -1
+            links += step * (e.name == "a")
+            if e.name in OWN and not e.named & COMMENTS:
+                inside[e.name] += step
+            if _away(e, total):
+                away += step
+                if opens and e.name in PARTING:
+                    lines += [("", 0, "")] * window
     flush()
     return lines
 
 
 def regions(sums: list[int], threshold: int) -> list[tuple[int, int]]:
-    """(start, dive) of every rise of the window sums that reaches the threshold."""
-    out, start, surged = [], None, False
+    """(start, dive) of every rise of the window sums between the first one that surges and the last one that does."""
+    out, surges, start, surged = [], [], None, False
     for i, s in enumerate([*sums, 0]):
         if s > 0:
             start = i if start is None else start
             surged |= s >= threshold
         elif start is not None:
-            if surged:
-                out.append((start, i))
+            out.append((start, i))
+            surges.append(surged)
             start, surged = None, False
-    return out
+    if not any(surges):
+        return []
+    return out[surges.index(True) : len(surges) - surges[::-1].index(True)]
 
 
 def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
-    named = any(inside and text for text, _, inside in lines)
-    size = [(len(text) if inside else 0) if named else plain for text, plain, inside in lines]
-    sums = [sum(size[i : i + window]) for i in range(len(size))]
-    threshold = 1 if named else max(1, min(surge, max(sums, default=0)))
-    found = regions(sums, threshold)
-    total = [sum(size[a : b + window - 1]) for a, b in found]
+    lines = lines_of(page, window)
+    article = "article" if any(x == "article" for *_, x in lines) else "main"
+    named = any(x for *_, x in lines)
+    weights = [(len(text) + surge if x == article else plain if x or not named else 0) for text, plain, x in lines]
+    sums, s = [0] * len(weights), 0
+    for i in range(len(weights) - 1, -1, -1):
+        s += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
+        sums[i] = s
     out = []
-    for (a, b), n in zip(found, total):
-        if named or 5 * n >= max(total):
-            # sums[i] covers lines i to i+window-1, so empty lines before the rise fall away by themselves
-            out += [text for (text, _, inside), s in zip(lines[a:b], size[a:b]) if text and (s or not named)]
+    for a, b in regions(sums, max(1, min(surge, max(sums, default=0)))):
+        while not weights[a]:  # the window reaches ahead of the rise
+            a += 1
+        out += [text for text, _, x in lines[a:b] if text and (x or not named)]
     return "\n".join(out)
 
 
