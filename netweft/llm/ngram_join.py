@@ -6,23 +6,24 @@ with nothing). Two texts link when 100 * intersection >= percent * union.
 1. Sets. Each input block turns texts into sets of 64-bit shingle hashes; equal sets of a task are kept once.
 2. Document frequencies. Shingles are dealt by the high bits of their hash, in packed blocks, to owners that count them. An
    owner answers with the shingles that occur in more than one set; a shingle of one set can't be in an intersection, so
-   it only counts towards the size. Inside an owner a shingle goes by 32 further bits; owners grow in number with the
-   corpus, so that the chance of a clash stays the same.
+   it only counts towards the size. Shingles keep all 64 bits throughout.
 3. Prefix filter. A set of n shingles that links with another shares one of its n - ceil(percent * n) + 1 rarest shingles
    with it. Sets whose rarest shingles are all their own are done. The others, equal ones merged, are put into candidate
-   classes: components of the graph of sets and shared prefix shingles. No link can cross two candidate classes.
+   classes: components of the graph in which sets that share a prefix shingle are chained in the order of their sizes, as
+   long as neighbouring sizes can link. No link can cross two candidate classes.
 4. Prefix tree. The sets of a candidate class, ordered by frequency inside the class, are stored in a trie one after the
    other, each after it has been joined with those before it. A join walks the trie, adds up the overlap that all sets below
    a node share, and leaves a subtree when even the remaining lengths can't give the overlap needed. Links merge classes at
    once, and a subtree whose sets are all in the class of the set that asks is left, so a group of m near copies costs
    about m short walks and not m^2 comparisons.
-5. A candidate class of more than ``most`` sets is joined block by block (see ``_large``); no task holds more than one block
-   and the sets that ask it.
+5. A candidate class of more than ``most`` sets or ``room`` bytes is joined block by block (see ``_large``); no task holds
+   more than one block and a chunk of the sets that ask it. Blocks are dealt by counts of sizes, never by a sort of the class.
 
 Links between sets are never listed in full; every link is honoured in the classes.
 
 Defined results: null text is empty; repeated rows and equal texts are one set; component_id is the smallest doc_id of
-the class, null only where all its ids are null; an empty table gives no rows; extra columns are ignored.
+the class, null only where all its ids are null; an empty table gives no rows; extra columns are ignored. Different shingles
+count as equal only if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -114,28 +115,28 @@ def _sets(size: int, owners: int):
             doc = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
             owner = ((flat >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
-            low, doc = flat.astype(np.uint32)[order], doc[order]
+            flat, doc = flat[order], doc[order]
             ends = np.searchsorted(owner[order], np.arange(owners + 1))
             for o in range(owners):
                 a, b = ends[o], ends[o + 1]
                 if b > a:
                     counts = np.bincount(doc[a:b], minlength=len(sets)).astype(np.uint16 if b - a < 65_536 else np.uint32)
-                    out.append((o, at, pickle.dumps((counts, low[a:b]))))
+                    out.append((o, at, pickle.dumps((counts, flat[a:b]))))
             block, tokens, meta, sets = block + 1, 0, [], []
             for i in range(0, len(out), 64):
                 yield _packed(out[i : i + 64])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts, keys = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             for k in range(batch.num_rows):
                 own = shingler.of(texts[k].as_py())
-                key = blake2b(own.tobytes(), digest_size=16).digest()
+                same = blake2b(own.tobytes(), digest_size=16).digest()
                 rid = part << 33 | row
                 row += 1
-                rep = seen.setdefault(key, rid)
+                rep = seen.setdefault(same, rid)
                 if len(seen) > 500_000:
                     seen.clear()
-                meta.append((rid, ids[k], len(own), key, rep))
+                meta.append((rid, ids[k], len(own), same, rep, keys[k]))
                 if rep == rid:
                     sets.append(own)
                     tokens += len(own)
@@ -157,26 +158,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.setdefault(target, []).append((block, *pickle.loads(data)))
     for target in sorted(held):
         pieces = held.pop(target)
-        every = np.sort(np.concatenate([low for _, _, low in pieces]))
+        every = np.sort(np.concatenate([tokens for _, _, tokens in pieces]))
         starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
         times = np.diff(np.append(starts, len(every)))
         more = times > 1
         shared, times = every[starts[more]], np.minimum(times[more], 65_535).astype(np.uint16)
         del every, starts, more
-        for block, counts, low in pieces:
+        for block, counts, tokens in pieces:
             if len(shared):
-                at = np.minimum(np.searchsorted(shared, low), len(shared) - 1)
-                hit = shared[at] == low
+                at = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+                hit = shared[at] == tokens
                 doc = np.repeat(np.arange(len(counts)), counts)[hit]
-                yield _packed([(target, block, pickle.dumps((np.bincount(doc, minlength=len(counts)).astype(counts.dtype), low[hit], times[at[hit]])))])
+                yield _packed([(target, block, pickle.dumps((np.bincount(doc, minlength=len(counts)).astype(counts.dtype), tokens[hit], times[at[hit]])))])
 
 
-SETS = "rid long, doc_id long, n long, key binary, rep long, prefix array<long>, shared binary"
+SETS = "rid long, doc_id long, n long, key binary, rep long, row long, prefix array<long>, shared binary"
 
 
 def _filter(percent: int):
     """Blocks put together again: the rows, with the shared shingles of sets that the prefix filter leaves."""
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("rep", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("rep", pa.int64()), ("row", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         metas: dict[int, list] = {}
@@ -186,19 +187,19 @@ def _filter(percent: int):
                 if target < 0:
                     metas[block] = pickle.loads(data)
                 else:
-                    parts.setdefault(block, []).append((target, *pickle.loads(data)))
+                    parts.setdefault(block, []).append(pickle.loads(data))
         for block in sorted(metas):
             meta, found = metas.pop(block), parts.pop(block, [])
             n_sets = sum(m[0] == m[4] for m in meta)
-            doc = np.concatenate([np.zeros(0, np.int64), *(np.repeat(np.arange(n_sets), c) for _, c, _, _ in found)])
-            token = np.concatenate([np.zeros(0, np.int64), *((t << 32) | low.astype(np.int64) for t, _, low, _ in found)])
+            doc = np.concatenate([np.zeros(0, np.int64), *(np.repeat(np.arange(n_sets), c) for c, _, _ in found)])
+            token = np.concatenate([np.zeros(0, np.int64), *(tokens.view(np.int64) for _, tokens, _ in found)])
             times = np.concatenate([np.zeros(0, np.uint16), *(x for *_, x in found)])
             order = np.lexsort((token, times, doc))
             token = token[order]
             ends = np.searchsorted(doc[order], np.arange(n_sets + 1))
             out, k, size = [], 0, 0
-            for rid, doc_id, n, key, rep in meta:
-                row = {"rid": rid, "doc_id": doc_id, "n": n, "key": key, "rep": rep, "prefix": None, "shared": None}
+            for rid, doc_id, n, key, rep, own_row in meta:
+                row = {"rid": rid, "doc_id": doc_id, "n": n, "key": key, "rep": rep, "row": own_row, "prefix": None, "shared": None}
                 if rid == rep:
                     own = token[ends[k] : ends[k + 1]]
                     k += 1
@@ -389,43 +390,74 @@ def _ask_blocks(percent: int):
     return run
 
 
-def _large(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """(rid, root) for candidate classes of more than ``most`` sets; ``rows``: comp, rid, n, shared.
+def _by_comp(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """(rid, root) of rows (rid, n, shared) whose sets are joined with those of equal keys."""
+    keyed = rows.withColumn("key", F.xxhash64(*keys)).select("key", "rid", "n", "shared")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_join_classes(percent), "rid long, root long")
 
-    Blocks of at most ``most`` sets of like size are joined by themselves. One set of each class found then stands for it in
-    a second join of that kind, which merges the blocks' parts of one tight group. Sets outside the largest class of
-    their candidate class then ask every block whose sizes can match; sets of the largest class need not ask each other.
+
+def _blocks(light: DataFrame, most: int, room: int) -> DataFrame:
+    """comp, rid, n, bytes and part: blocks of like size with about ``most`` sets or ``room`` bytes, whichever is less.
+
+    Counts by (comp, n) give each size its stretch of block numbers; a hash places a set inside it.
+    """
+    sizes = light.groupBy("comp", "n").agg((F.count("*") / most + F.sum("bytes") / room).alias("share"))
+    before = Window.partitionBy("comp").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("start", F.coalesce(F.sum("share").over(before), F.lit(0.0)))
+    within = F.shiftrightunsigned(F.xxhash64("rid"), 40) / F.lit(float(1 << 24))
+    return light.join(sizes, ["comp", "n"]).select("comp", "rid", "n", "bytes", F.floor(F.col("start") + F.col("share") * within).alias("part"))
+
+
+def _large(light: DataFrame, payload: DataFrame, tokens: DataFrame, percent: int, most: int, room: int) -> DataFrame:
+    """(rid, root) for large candidate classes; ``light``: comp, rid, n, bytes; ``payload``: rid, shared; ``tokens``: rid, token.
+
+    Blocks of sets of like size are joined by themselves. One set of each class found then stands for it in a second join of
+    that kind, which merges the blocks' parts of one tight group. Sets outside the largest class of their candidate class
+    then ask the blocks that hold a set of matching size with a common prefix shingle; sets of the largest class need not
+    ask each other. Sets that ask one block are cut into chunks of ``most`` sets or ``room`` bytes too.
     """
-    by_size = Window.partitionBy("comp").orderBy("n", "rid")
-    placed = materialise(rows.withColumn("part", F.floor((F.row_number().over(by_size) - 1) / most)), "ngram-large")
-
-    def by_block(what: DataFrame, *keys: str) -> DataFrame:
-        keyed = what.withColumn("key", F.xxhash64(*keys)).select("key", "rid", "n", "shared")
-        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_join_classes(percent), "rid long, root long")
-
-    inside = materialise(by_block(placed, "comp", "part"), "ngram-large")
-    heads = placed.join(inside.select(F.col("root").alias("rid")).distinct(), "rid", "left_semi")
-    heads = heads.withColumn("part", F.floor((F.row_number().over(by_size) - 1) / most))
-    between = by_block(heads, "comp", "part")
-    edges = inside.select(F.col("rid").alias("a"), F.col("root").alias("b")).unionByName(between.select(F.col("rid").alias("a"), F.col("root").alias("b")))
-    merged = materialise(connected_components(edges).select(F.col("id").alias("rid"), F.col("component").alias("root")), "ngram-large")
+    placed = materialise(_blocks(light, most, room), "ngram-large")
+    inside = materialise(_by_comp(placed.join(payload, "rid"), percent, "comp", "part"), "ngram-large")
+    heads = placed.join(inside.select(F.col("root").alias("rid")).distinct(), "rid", "left_semi").drop("part")
+    between = _by_comp(_blocks(heads, most, room).join(payload, "rid"), percent, "comp", "part")
+    pairs = lambda df: df.select(F.col("rid").alias("a"), F.col("root").alias("b"))
+    merged = materialise(connected_components(pairs(inside).unionByName(pairs(between))).select(F.col("id").alias("rid"), F.col("component").alias("root")), "ngram-large")
     known = placed.join(merged, "rid")
-    sizes = known.groupBy("comp", "root").count()
-    main = sizes.groupBy("comp").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    blocks = placed.groupBy("comp", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asking = known.join(main, "comp").where("root <> main")
-    asking = asking.withColumnRenamed("part", "own").join(blocks, "comp").where(F.expr(f"own <> part and high * 100 >= {percent} * n and n * 100 >= {percent} * low"))
-    cols = ["rid", "n", "shared", "root"]
-    every = known.select("comp", "part", *cols, F.lit(0).alias("asks")).unionByName(asking.select("comp", "part", *cols, F.lit(1).alias("asks")))
-    keyed = every.withColumn("key", F.xxhash64("comp", "part")).select("key", *cols, "asks")
+    main = known.groupBy("comp", "root").count().groupBy("comp").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+
+    met = tokens.join(placed, "rid").groupBy("token", "comp", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    outside = known.join(main, "comp").where("root <> main").select("comp", F.col("part").alias("own"), "rid", "n", "bytes", "root")
+    asking = tokens.join(outside, "rid").join(met, ["token", "comp"])
+    asking = asking.where(F.expr(f"own <> part and high * 100 >= {percent} * n and n * 100 >= {percent} * low"))
+    asking = materialise(asking.select("comp", "part", "rid", "n", "bytes", "root").distinct(), "ngram-asking")
+    chunks = asking.groupBy("comp", "part").agg(F.ceil(F.count("*") / most + F.sum("bytes") / room).alias("chunks"))
+    asked = asking.join(chunks, ["comp", "part"]).withColumn("chunk", F.pmod(F.xxhash64("rid"), "chunks"))
+    stored = known.join(chunks, ["comp", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cols = ["comp", "part", "chunk", "rid", "n", "root"]
+    every = stored.select(*cols, F.lit(0).alias("asks")).unionByName(asked.select(*cols, F.lit(1).alias("asks"))).join(payload, "rid")
+    keyed = every.withColumn("key", F.xxhash64("comp", "part", "chunk")).select("key", "rid", "n", "shared", "root", "asks")
     across = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_ask_blocks(percent), "a long, b long")
-    edges = merged.select(F.col("rid").alias("a"), F.col("root").alias("b")).unionByName(across)
-    return connected_components(edges).select(F.col("id").alias("rid"), F.col("component").alias("root"))
+    return connected_components(pairs(merged).unionByName(across)).select(F.col("id").alias("rid"), F.col("component").alias("root"))
+
+
+def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose components are the candidate classes; ``tokens``: rid, n, token. Of the sets with a token and a size
+    one stands for all, and it is chained to the one of the next size if sets of these sizes can link."""
+    heads = tokens.groupBy("token", "n").agg(F.min("rid").alias("m"), F.count("*").alias("c"))
+    following = Window.partitionBy("token").orderBy("n")
+    heads = heads.withColumn("next", F.lead("n").over(following)).withColumn("after", F.lead("m").over(following))
+    chained = heads.where(F.expr(f"100 * n >= {percent} * next and m <> after")).select(F.col("m").alias("a"), F.col("after").alias("b"))
+    same = tokens.join(heads.where("c > 1").select("token", "n", "m"), ["token", "n"]).where("rid <> m").select(F.col("rid").alias("a"), F.col("m").alias("b"))
+    return same.unionByName(chained).distinct()
 
 
-def classes(docs: DataFrame, size: int = 4, percent: int = 85, most: int = 20_000) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def classes(docs: DataFrame, size: int = 4, percent: int = 85, most: int = 1_000, room: int = 16_000_000, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    If a ``key`` (a long) is named, it comes too, and ``kept``: true for one row of each class, the one with the smallest
+    doc_id (nulls last), of equal ids the one with the smallest key.
+    """
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(key) if key else F.lit(0)).cast("long").alias("row"))
     chars = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     owners = max(4, -(-chars // (6 * OWNER_TOKENS)))  # about six bytes a word
     blocks = max(4, -(-chars // (6 * BLOCK_TOKENS)))
@@ -434,26 +466,28 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 85, most: int = 20_00
 
     left = sets.where("shared is not null").select("rid", "n", "key", "prefix", "shared")
     first = materialise(left.groupBy("key").agg(F.min("rid").alias("rid")), "ngram-first")
-    asking = left.join(first.select("rid"), "rid", "left_semi")
-    tokens = asking.select("rid", F.explode("prefix").alias("token"))
-    met = tokens.groupBy("token").agg(F.min("rid").alias("m"), F.count("*").alias("c")).where("c > 1").select("token", "m")
-    edges = tokens.join(met, "token").where("rid <> m").select(F.col("rid").alias("a"), F.col("m").alias("b")).distinct()
-    comps = materialise(connected_components(edges).select(F.col("id").alias("rid"), F.col("component").alias("comp")), "ngram-comps")
-    big = comps.groupBy("comp").count().where(F.col("count") > most).select("comp")
-    rows = comps.join(left.select("rid", "n", "shared"), "rid")
+    tokens = materialise(left.join(first.select("rid"), "rid", "left_semi").select("rid", "n", F.octet_length("shared").alias("bytes"), F.explode("prefix").alias("token")), "ngram-tokens")
+    comps = materialise(connected_components(_candidates(tokens, percent)).select(F.col("id").alias("rid"), F.col("component").alias("comp")), "ngram-comps")
+    light = comps.join(tokens.select("rid", "n", "bytes").distinct(), "rid")
+    big = light.groupBy("comp").agg(F.count("*").alias("c"), F.sum("bytes").alias("b")).where((F.col("c") > most) | (F.col("b") > room)).select("comp")
     some_big = bool(big.take(1))
-    normal = rows.join(big, "comp", "left_anti") if some_big else rows
-    roots = normal.select("comp", "rid", "n", "shared").repartition("comp").sortWithinPartitions("comp").mapInArrow(_join_classes(percent), "rid long, root long")
+    payload = left.select("rid", "shared")
+    normal = light.join(big, "comp", "left_anti") if some_big else light
+    roots = _by_comp(normal.join(payload, "rid"), percent, "comp")
     if some_big:
-        roots = roots.unionByName(_large(rows.join(big, "comp", "left_semi"), percent, most))
+        large = materialise(light.join(big, "comp", "left_semi"), "ngram-large")
+        roots = roots.unionByName(_large(large, payload, tokens.select("rid", "token"), percent, most, room))
 
     # key -> root, for the sets that were joined; all others are linked with nothing but their equals
     joined = first.join(roots, "rid", "left").select("key", F.coalesce("root", "rid").alias("root"))
-    whole = sets.select("rid", "doc_id", "n", "key", "rep").join(joined, "key", "left").withColumn("root", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.coalesce("root", "rep")))
-    whole = materialise(whole.select("doc_id", F.col("n").alias("n_shingles"), "root"), "ngram-roots")
+    whole = sets.select("rid", "doc_id", "n", "key", "rep", "row").join(joined, "key", "left").withColumn("root", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.coalesce("root", "rep")))
+    whole = materialise(whole.select("doc_id", F.col("n").alias("n_shingles"), "root", "row"), "ngram-roots")
     # written, so that the join below can split a root with very many rows
-    names = materialise(whole.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-names")
-    return whole.join(names, "root").select("doc_id", "n_shingles", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    names = materialise(whole.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min_by("row", order).alias("keep")), "ngram-names")
+    named = whole.join(names, "root")
+    more = [F.col("row").alias(key), (F.col("row") == F.col("keep")).alias("kept")] if key else []
+    return named.select("doc_id", "n_shingles", "component_id", *more)
 
 
 ORACLE = r"""
