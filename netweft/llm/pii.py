@@ -6,22 +6,23 @@ generators may overlap. Every base match that passes its check is a span. Other
 their format and context; a candidate whose score reaches the threshold of its kind, and that overlaps no base span, is a
 span too.
 
-The trees are fitted (MLlib) to candidates of a bounded sample of documents (``train_docs``, in the order of a hash of the
-id). Their labels come from checks that the trees don't see as such: checksums, value ranges, character mixture. Part of
-the candidates is held back to calibrate: a kind's threshold is the lowest score from which on ``precision`` of the
-candidates held back have label 1. The trees then become plain CASE expressions, so scoring is a narrow projection without
-shuffle or Python.
+No table says which candidates are personal data, so the trees are fitted (MLlib) to candidates that are planted: ``EXAMPLES``
+are templates of data and of look-alikes (order numbers, long words, paths, rulers, sentences), filled in by a hash of a row
+number, and a candidate's label is the template that made it, not any property that a feature states. A quarter of them is held
+back to calibrate: a kind's threshold is the lowest score from which on ``precision`` of the candidates held back are data (the
+most precise score, if none reaches that). The model thus depends on no input and is the same for every table. The trees then
+become plain CASE expressions, so scoring is a narrow projection without shuffle or Python.
 
 Patterns use possessive forms and look-behinds that give the same leftmost matches as the plain ones in linear time. Offsets
 are code points: the text is split at the matches, and lengths of pieces are added up.
 
 Defined results: null text is empty and has no spans; repeated rows give repeated results; overlapping candidates of one
-kind: the earlier one stays; an empty table gives no rows; extra columns are ignored.
+kind: the earlier one stays; very long texts are searched whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values. Leftmost non-overlapping matches are those of
@@ -48,10 +49,11 @@ CONTEXT = {
     "key_words": r"(?i)(token|key|secret|passw|auth|bearer|api)",
     "phone_words": r"(?i)(tel|phone|call|fax|mobile|cell)",
     "mail_words": r"(?i)(mail|contact|write)",
-    "card_words": r"(?i)(card|visa|account|iban|ssn|credit)",
+    "card_words": r"(?i)(card|visa|account|iban|ssn|social|credit|bank)",
+    "count_words": r"(?i)(order|item|part|isbn|invoice|ref|version|page|commit|model|no\\.|ticket|serial)",
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-FEATURES = ("kind_no", "chars", "digits", "uppers", "lowers", "marks", "spaces", "hex", "assigned", "quoted", "glued_before", "glued_after", *CONTEXT)
+FEATURES = ("kind_no", "chars", "digits", "uppers", "lowers", "marks", "spaces", "hex", "switches", "distinct", "first", "words", "assigned", "quoted", "glued_before", "glued_after", *CONTEXT)
 
 
 def _digits(m: Column) -> Column:
@@ -81,22 +83,82 @@ def passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def weak_label(c: Column) -> Column:
-    """1 where a check supports the candidate; format checks, checksums and ranges that no feature states."""
-    m, g = c["m"], c["generator"]
-    text = F.regexp_replace(m, "[^A-Za-z0-9]", "")
-    digits, letters = F.length(_digits(m)), F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
-    secret = (digits >= 5) & (letters >= 3) & (F.length(text) >= 20) & ~m.rlike("[a-z]{12}")
-    return (
-        F.when(g == "card", _luhn(m))
-        .when(g == "ip", passes("ip", m))
-        .when(g == "phone", passes("phone", m))
-        .when(g == "secret", secret)
-        .when(g == "account", m.rlike("^[A-Z]{2}") & (digits >= 8) | m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"))
-        .when(g == "phone_loose", m.rlike(r"^\(?[2-9]"))
-        .otherwise(F.lit(True))
-        .cast("double")
-    )
+# What the templates are filled with, as SQL over the number ``id``: text of n random characters from place k of a hash.
+HEX, BASE64 = "substr(sha2(concat('x', id), 256), {k}, {n})", "regexp_replace(substr(base64(unhex(sha2(concat('b', id), 256))), {k}, {n}), '=', 'A')"
+LOWER = "translate(" + HEX + ", '0123456789abcdef', 'aeioulnrstdmpkgb')"
+UPPER = "translate(upper(" + HEX + "), '89ABCDEF', 'KTRZMWQX')"
+NUMBER = "translate(" + HEX + ", 'abcdef', '142857')"
+FILL = {"h": HEX, "b": BASE64, "l": LOWER, "u": UPPER, "d": NUMBER}
+#: Templates by generator: ({kind of characters}{number}) stands for random ones; data first, then look-alikes. Each is (text
+#: before, candidate, text after); a bar parts alternatives that the hash chooses from.
+EXAMPLES = {
+    "secret": (
+        [
+            ('token = "|api_key: "|secret="|password = "|the |de |', "{h40}|{h32}|{h64}|{b40}|{b32}|{b43}", '"|" |; |, '),
+            ("key=|Bearer |AWS_KEY=|auth: |access token | with |", "AK{u20}|gp_{b36}|sk-{b32}|{b22}", " |\n|.|'"),
+        ],
+        [
+            ("the | und |in |commit |page |= |", "{l24}|{l30}|{l38}|{l20}heit|{l9}-{l8}-{l7}|{l12}-{l11}-{l9}-{l10}|{l6}/{l7}/{l5}/{l6}|{l4}/{l8}/{l9}/{l12}|{l9}/{l12}/{l8}/{l10}/{l7}|{l8}_{l7}_{l9}|{l14}_{l12}_{l13}", " |. |, |"),
+            ("\n| |see |", "====================|--------------------------------|________________________|+++++++++++++++++++++", "\n| |"),
+            ("see |at |path |", "{u2}{l8}{u2}{l7}{u2}{l6}|{u1}{l9}{u1}{l12}{u1}{l10}|{l5}-{d4}-{d2}-{d2}-{l6}-{l5}|{l8}/{d4}/{d2}/{l9}-{l10}|{d24}|{d32}", " |\n|, "),
+        ],
+    ),
+    "account": (
+        [("iban |account |IBAN: |konto |to |SSN |social security |", "DE{d2} {d4} {d4} {d4} {d4} {d2}|GB{d2} {u4} {d4} {d4} {d4} {d2}|FR{d20}|{d3}-{d2}-{d4}", " |, |.|\n")],
+        [("part |model |order no. |item |ref |serial |version ", "{u2}{d2} {u4} {u4} {u4}|AB12{u12}|{d3}-{d2}-{d4}|XK{d2}{u16}", " |, |.|\n")],
+    ),
+    "phone_loose": (
+        [("call |tel. |phone: |fax |at |mobile | |", "{d3}-{d3}-{d4}|({d3}) {d3}-{d4}|{d3}.{d3}.{d4}|{d3} {d3} {d4}", " |, |.|\n")],
+        [("order |item no. |isbn |invoice |part |ticket |ref |version ", "{d3}-{d3}-{d4}|{d3}.{d3}.{d4}|{d3} {d3} {d4}", " |, |-{d2}|.{d2}")],
+    ),
+    "email_loose": (
+        [("mail |contact |write to | |", "{l6} [at] {l7} [dot] com|{l4}.{l5}(at){l8}.org|{l7}{d2} {at} {l6} {dot} net|{l5} (at) {l6} (dot) de", " |, |\n")],
+        [("we met |look |the |", "{l6} (at) {l5}. {u2}{l5}|{l4} (at) {l7}. {l6}|{l5} [at] {l8}. {l4}", " |, | {l4}")],
+    ),
+    "email": ([("mail | |", "{l6}@{l7}.com|{l4}.{l5}{d2}@{l8}.example.org", " |.|, ")], []),
+    "ip": ([("from |host | |", "1{d2}.{d2}.{d2}.{d2}", " |:80|, ")], [("version |section |", "{d1}.{d1}.{d1}.{d1}", " |. ")]),
+    "card": ([("card |visa |paid with |", "4{d3} {d4} {d4} {d4}|5{d15}", " |. ")], [("order |item |isbn |", "{d4} {d6}|{d13}|{d17}", " |. ")]),
+    "phone": ([("call |tel. |", "+1 ({d3}) {d3}-{d4}|+49 {d3} {d7}", " |, ")], [("so |= ", "+{d1} {d2}|+{d2}.{d2}", " |. ")]),
+}
+
+
+def _filled(template: str, salt: int) -> Column:
+    """One of the alternatives of a template, filled in."""
+    import re
+
+    def sql(one: str) -> str:
+        parts, at, k = [], 0, 1 + salt % 5
+        for m in re.finditer(r"\{([hblud])([0-9]+)\}", one):
+            if m.start() > at:
+                parts.append(one[at : m.start()])
+            n = int(m[2])
+            parts.append(FILL[m[1]].format(k=1 if k + n > 44 else k, n=n))
+            k = 1 + (k + n) % 40
+            at = m.end()
+        rest = one[at:]
+        literal = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+        filled = [p if p.startswith(("substr(", "translate(", "regexp_replace(")) else literal(p) for p in parts]
+        return "concat(" + ", ".join([*filled, literal(rest)]) + ")"
+
+    ways = template.split("|")
+    return F.expr(f"element_at(array({', '.join(map(sql, ways))}), cast(pmod(xxhash64(id, {salt}), {len(ways)}) + 1 as int))")
+
+
+def examples(spark: SparkSession, per_template: int) -> DataFrame:
+    """Planted candidates: c (as a generator would propose it), label and h, a hash of the row. Only those that the generator's
+    pattern matches whole count."""
+    out, salt = None, 1
+    for no, g in enumerate(BASE | LOOSE):
+        for label, templates in zip((1.0, 0.0), EXAMPLES[g]):
+            for before, m, after in templates:
+                rows = spark.range(per_template).select((F.col("id") + salt * per_template).alias("id"))
+                c = F.struct(F.lit(g).alias("generator"), F.lit(no).alias("no"), _filled(m, salt).alias("m"), _filled(before, salt + 1).alias("before"), _filled(after, salt + 2).alias("after"))
+                rows = rows.select(c.alias("c"), F.lit(label).alias("label"), F.xxhash64("id").alias("h"))
+                pattern = (BASE | LOOSE)[g].replace(r"\G|", "")
+                rows = rows.where(F.regexp_extract("c.m", pattern, 0) == F.col("c.m")) if g != "email" else rows
+                out = rows if out is None else out.unionByName(rows)
+                salt += 3
+    return out
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -112,6 +174,10 @@ def features(c: Column) -> dict[str, Column]:
         "marks": without("[^A-Za-z0-9 ]"),
         "spaces": without(" "),
         "hex": m.rlike("^[0-9a-f]+$").cast("double"),
+        "switches": without("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"),
+        "distinct": F.size(F.array_distinct(F.split(m, ""))).cast("double"),
+        "first": F.coalesce(F.left(_digits(m), F.lit(1)).try_cast("double"), F.lit(-1.0)),
+        "words": F.size(F.regexp_extract_all(m, F.lit("[a-z]{5,}"), F.lit(0))).cast("double"),
         "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("double"),
         "quoted": (before.rlike("[\"']$") & after.rlike("^[\"']")).cast("double"),
         "glued_before": before.rlike("[A-Za-z0-9]$").cast("double"),
@@ -180,40 +246,29 @@ def _tree(node, names: tuple[str, ...]):
     return names[split.featureIndex()], float(split.threshold()), _tree(node.leftChild(), names), _tree(node.rightChild(), names)
 
 
-def fit(docs: DataFrame, train_docs: int = 10_000, per_generator: int = 3_000, trees: int = 8, depth: int = 3, precision: float = 0.95, text: str = "text", key: str = "doc_id") -> Model:
-    """Trees and thresholds from the candidates of at most ``train_docs`` documents (ids are broadcast: bounded)."""
+def fit(spark: SparkSession, per_template: int = 1_500, trees: int = 10, depth: int = 4, precision: float = 0.95) -> Model:
+    """Trees and thresholds from ``per_template`` planted candidates a template."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    chosen = docs.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(train_docs).distinct()
-    made = propose(docs.join(F.broadcast(chosen), key, "left_semi"), text, key)
-    arrays = [F.col(c) for c in made.columns if c != key]
-    each = made.select(key, F.explode(F.concat(*arrays)).alias("c")).select(key, "c", weak_label(F.col("c")).alias("label"), F.xxhash64(key, F.col("c.start"), F.col("c.no")).alias("h"))
-    flat = each.select("label", "h", F.col("c.generator").alias("generator"), *[x.alias(n) for n, x in features(F.col("c")).items()])
-    parts = None
-    for g in BASE | LOOSE:
-        part = flat.where(F.col("generator") == g).orderBy("h").limit(per_generator)
-        parts = part if parts is None else parts.unionByName(part)
-    rows = parts.coalesce(4).cache()
-    counts = {r["label"]: r["count"] for r in rows.where("pmod(h, 4) <> 0").groupBy("label").count().collect()}
-    if len(counts) < 2:  # nothing to tell apart: loose candidates are left out
-        rows.unpersist()
-        return Model([], {g: 2.0 for g in LOOSE})
+    planted = examples(spark, per_template)
+    flat = planted.select("label", "h", F.col("c.generator").alias("generator"), *[x.alias(n) for n, x in features(F.col("c")).items()])
+    rows = flat.coalesce(4).cache()
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, cacheNodeIds=False).fit(vectors.where("pmod(h, 4) <> 0"))
-    found = [(float(w), _tree(t._call_java("rootNode"), FEATURES)) for w, t in zip(boosted.treeWeights, boosted.trees)]
-    model = Model(found, {})
+    model = Model([(float(w), _tree(t._call_java("rootNode"), FEATURES)) for w, t in zip(boosted.treeWeights, boosted.trees)], {})
     struct = F.struct(*[F.col(n) for n in FEATURES])
     held = rows.where("pmod(h, 4) = 0").select("generator", "label", F.round(model._scored(struct), 3).alias("score"))
     bins = held.groupBy("generator", "score").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()  # at most 1001 bins a generator
     for g in LOOSE:
         n = good = 0
-        threshold = 2.0
+        reached, best = None, (-1.0, 1.0)
         for r in sorted((r for r in bins if r["generator"] == g), key=lambda r: -r["score"]):
             n, good = n + r["n"], good + r["good"]
-            if good >= precision * n and r["score"] >= 0.5:
-                threshold = r["score"]
-        model.thresholds[g] = threshold if n >= 20 else 0.5  # too few to calibrate
+            if good >= precision * n:
+                reached = r["score"]
+            best = max(best, ((good + 1) / (n + 2), r["score"]))
+        model.thresholds[g] = best[1] if reached is None else reached
     rows.unpersist()
     return model
 
@@ -221,9 +276,9 @@ def fit(docs: DataFrame, train_docs: int = 10_000, per_generator: int = 3_000, t
 SPAN = "array<struct<no:int,start:int,end:int,kind:string,score:double>>"
 
 
-def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Model | None = None) -> DataFrame:
     """``key``, base spans and all spans (kind number, start, end, kind, score), each in the order of kind and start."""
-    model = fit(docs, text=text, key=key, **how)
+    model = model or fit(docs.sparkSession)
     made = propose(docs, text, key)
 
     def span(g: str, c: Column, score: Column) -> Column:
@@ -234,8 +289,6 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Dat
         return F.transform(F.filter(f"c_{g}", lambda c: passes(g, c["m"])), lambda c: span(g, c, F.lit(1.0)))
 
     def loose_of(g: str) -> Column:
-        if not model.trees:
-            return F.array()
         return F.filter(F.transform(f"c_{g}", lambda c: span(g, c, model.score(c))), lambda s: F.round(s["score"], 3) >= model.thresholds[g])
 
     base = F.concat(*map(base_of, BASE)).cast(SPAN)
@@ -262,6 +315,8 @@ def redact(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "do
 
 def digest(found: DataFrame) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    count = lambda k, spans: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k, "base") for k in BASE]
+    more = [count(k, "spans") for k in KINDS[4:]]
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), *more, every)

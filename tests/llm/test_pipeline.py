@@ -81,3 +81,45 @@ def test_near_stage_against_brute_force(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     assert {r["doc_id"] for r in c.near_stage(spark, docs, sf).collect()} == five_word_classes(texts)
+
+
+def test_stages_decide_by_row(spark, sf):
+    """Null and repeated ids, null and empty texts, a very long text and columns with the names that stages and operators use."""
+    long = "ein langer Text über nichts " * 20_000
+    rows = [
+        (1, "one two three four five six seven eight nine"),
+        (1, "one two three four five six seven eight nine"),
+        (1, "quite another text with the same id as the first"),
+        (None, "a text without an id stays as it is the only one"),
+        (None, "a text without an id stays  as it is the only one"),
+        (None, "one two three four five six seven eight  nine"),
+        (2, None),
+        (3, ""),
+        (3, ""),
+        (4, long),
+        (5, long + "x"),
+    ]
+    schema = "doc_id long, text string, n_words string, n_hit int, score int, label int, row_key long, document string, kept string, row int, key string"
+    docs = spark.createDataFrame([(*r, f"w{i}", i, i, i, i, "d", "k", i, "y") for i, r in enumerate(rows)], schema)
+    plain = lambda t: "".join((t or "").split())
+
+    def after(stage, df):
+        out = stage(spark, df, sf)
+        assert out.schema.names == docs.schema.names
+        out = out.collect()
+        assert all(r["n_words"] == f"w{r['n_hit']}" and r["document"] == "d" for r in out)
+        return {r["n_hit"] for r in out}
+
+    assert after(c.toxicity_stage, docs) == set(range(len(rows)))
+    best = {}
+    for i, (k, t) in enumerate(rows):
+        best.setdefault(plain(t), []).append((-len(t or ""), k is None, k or 0, i))
+    kept = after(c.exact_stage, docs)
+    assert len(kept) == len(best)
+    assert all([x[:3] for x in sorted(v)][0] in [x[:3] for x in v if x[3] in kept] for v in best.values())
+    near = after(c.near_stage, docs)
+    assert {2, 6, 7, 8, 9} <= near and len(near & {0, 1, 5}) == len(near & {3, 4}) == 1 and 5 not in near and 10 not in near
+    assert after(c.decontamination_stage, docs) == set(range(len(rows)))
+    assert sorted(r["doc_id"] or -1 for r in c.encoding_stage(spark, docs, sf).collect()) == sorted(k or -1 for k, _ in rows)
+    for _, stage in c.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0

@@ -2,10 +2,14 @@
 
 import hashlib
 import re
+import time
+import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netweft.llm import chat, decontaminate, exact, html_text, ngram_join, pieces, pii, quality, shards, toxicity
 
@@ -61,6 +65,10 @@ def base_spans(text):
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
 
 
+def small_model(spark):
+    return pii.fit(spark, per_template=100, trees=2, depth=2)
+
+
 def test_pii_base_spans(odd, docs):
     tricky = "a@b.c_d@e.f x@y@z.com 1.2.3.4.5.6.7.8 999.1.1.1 +1 2345 6789- 0 \U0001f600 me@x.org 4111-1111-1111-1111"
     given = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(docs.sparkSession.createDataFrame([(-5, tricky)], "doc_id long, text string"))
@@ -69,14 +77,44 @@ def test_pii_base_spans(odd, docs):
         spans = base_spans(text)
         want[key, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest(), *(sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone"))] += 1
     got = defaultdict(int)
-    for r in pii.digest(pii.find(given, train_docs=300, trees=2, depth=2)).collect():
+    for r in pii.digest(pii.find(given, model=small_model(docs.sparkSession))).collect():
         got[r["doc_id"], r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] += 1
         assert r["spans"] is not None
     assert got == want
 
 
 def test_pii_of_nothing(none):
-    assert pii.digest(pii.find(none)).count() == 0
+    assert pii.digest(pii.find(none, model=small_model(none.sparkSession))).count() == 0
+
+
+def test_pii_recall_and_precision_by_kind(spark):
+    """Data and look-alikes that the test makes by its own rules, in sentences of its own."""
+    import base64
+    import random
+
+    rng = random.Random(7)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda n: "".join(rng.choice("aeiouklmnprst") for _ in range(n))
+    made = {
+        "secret": lambda: rng.choice(['token = "%s"', "my api key: %s", "export SECRET=%s"]) % rng.choice([rng.randbytes(20).hex(), rng.randbytes(16).hex(), base64.b64encode(rng.randbytes(30)).decode()]),
+        "account": lambda: rng.choice(["IBAN %s", "bank account %s", "account: %s"]) % f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}",
+        "phone": lambda: rng.choice(["call %s", "phone %s", "my mobile is %s"]) % rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]),
+        "email": lambda: rng.choice(["mail %s", "contact: %s", "write to %s"]) % f"{word(6)} [at] {word(7)} [dot] org",
+    }
+    rows, want = [], {}
+    for k, (kind, make) in enumerate((kind, make) for kind, make in made.items() for _ in range(40)):
+        rows.append((k, f"{word(5)} {word(4)} {make()} and {word(6)}."))
+        want[k] = kind
+    clean = [lambda: f"{word(7)} {word(23)} {word(5)}", lambda: f"{word(4)}/{word(8)}/{word(7)}/{word(9)}", lambda: "=" * 40, lambda: f"order {digits(3)}-{digits(3)}-{digits(4)}", lambda: f"we met {word(5)} (at) {word(6)}. {word(5)}"]
+    rows += [(1_000 + k, clean[k % 5]()) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(spark)
+    found = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in pii.find(docs, model=model).collect()}
+    for kind in made:
+        assert np.mean([kind in found[k] for k in want if want[k] == kind]) >= 0.9, kind
+    assert np.mean([bool(found[k]) for k in found if k >= 1_000]) <= 0.05
+    alone = pii.find(docs.where("doc_id = 85"), model=model).first()
+    assert {s["kind"] for s in alone["spans"]} == found[85]
 
 
 # 2
@@ -153,6 +191,51 @@ def test_held_out_accuracy(spark, module, label, least):
     assert area(held["score"].to_numpy(), held[label].to_numpy()) >= least
 
 
+def naive_slots(text):
+    """Slots of character n-grams, one n-gram at a time."""
+    words = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).split()
+    padded, out = f" {' '.join(words)} " if words else "", set()
+    for n in toxicity.SIZES:
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for c in padded[i : i + n]:
+                h = (h * 1_000_003 + ord(c)) % 2**64
+            out.add((h + n) * 0x9E3779B97F4A7C15 % 2**64 >> 64 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_scores_of_a_fixed_model(spark, odd):
+    texts = {k: t or "" for k, t, _ in ODD if t is None or len(t) < 1_000}
+    weights, rng = np.zeros(1 << toxicity.BITS, np.float32), np.random.default_rng(8)
+    for slots in map(naive_slots, texts.values()):
+        some = sorted(slots)[::2]
+        weights[some] = rng.normal(size=len(some))
+    shared = spark.sparkContext.broadcast((weights, -0.3))
+    for r in toxicity.add_score(odd, toxicity._score(shared), 3, 1, carry=("n_words",)).collect():
+        if r["doc_id"] in texts and r["doc_id"] is not None:
+            slots = naive_slots(texts[r["doc_id"]])
+            assert abs(r["score"] - 1 / (1 + np.exp(0.3 - sum(float(weights[x]) for x in slots)))) < 1e-5
+            assert r["n_words"] == dict((k, x) for k, _, x in ODD)[r["doc_id"]]
+
+
+def test_quality_scores_of_a_fixed_machine(spark, odd):
+    """All pairs one by one give what the sum-of-squares identity gives."""
+    machine = quality.Machine(rank=3, seed=2)
+    rng = np.random.default_rng(4)
+    machine.w0, machine.w, machine.v = 0.2, rng.normal(0, 0.1, machine.w.shape), rng.normal(0, 0.3, machine.v.shape)
+    machine.bounds = np.sort(rng.normal(1, 2, machine.bounds.shape), axis=1)
+    want = {}
+    for k, text, _ in ODD:
+        columns, x = quality.features(*quality.describe(text or ""), machine.bounds)
+        z = machine.w0 + float(machine.w[columns] @ x)
+        for i in range(len(columns)):
+            for j in range(i):
+                z += float(machine.v[columns[i]] @ machine.v[columns[j]]) * x[i] * x[j]
+        want[k] = 1 / (1 + np.exp(-z))
+    found = quality.add_score(odd, quality._score(spark.sparkContext.broadcast(machine)), 4, 2).collect()
+    assert len(found) == len(ODD) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-9 for r in found)
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_take_odd_rows(spark, odd, none, module):
     labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(9)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
@@ -192,13 +275,26 @@ def test_shards(docs, odd, per_block):
         assert max(sizes) - min(sizes) <= 1
         want = defaultdict(int)
         for key, text in rows_of(df):
-            want[key, len(text.encode()) + 1] += 1
+            want[key, len(text.encode()) + 1, zlib.crc32(text.encode()), "rows", None] += 1
         got = defaultdict(int)
         for r in found:
-            got[r["doc_id"], r["size"]] += 1
+            got[r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]] += 1
         assert got == want
 
 
+def test_shuffle_is_uniform(spark):
+    """Where a row comes from says nothing about its shard and slot."""
+    n = 8_000
+    df = spark.range(n, numPartitions=5).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    found = shards.shuffle_to_shards(df, rows_per_block=100).toPandas().sort_values("doc_id")
+    table = np.zeros((8, 8))
+    np.add.at(table, (found["doc_id"] * 8 // n, found["shard"]), 1)
+    assert ((table - n / 64) ** 2 / (n / 64)).sum() < 49 + 5 * np.sqrt(98)
+    assert abs(np.corrcoef(found["doc_id"], found["slot"])[0, 1]) < 5 / np.sqrt(n)
+    other = shards.shuffle_to_shards(df, seed=5).toPandas().sort_values("doc_id")
+    assert 0.05 < (other["shard"].to_numpy() == found["shard"].to_numpy()).mean() < 0.2
+
+
 def test_shards_of_nothing(none):
     assert shards.shuffle_to_shards(none).count() == 0
 
@@ -242,6 +338,24 @@ def test_decontamination(spark, sf, odd, docs):
 # 7
 
 
+def test_shingles_that_share_half_a_hash_stay_apart(spark):
+    """Texts without a common word, whose shingles once met in an owner and 32 bits."""
+    rows = [(1, "w184 x35 y111 z398", None), (2, "w292 x383 y473 z494", None), (3, "w184 x35 y111 z398 ", None)]
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
+def test_owners_compare_whole_hashes():
+    """Two hashes with equal halves aren't one shingle."""
+    import pickle
+
+    one, two = np.array([5, 7 << 32 | 9], np.uint64), np.array([1 << 32 | 5, 7 << 32 | 9], np.uint64)
+    counts = np.array([2], np.uint16)
+    batch = ngram_join._packed([(0, 1, pickle.dumps((counts, one))), (0, 2, pickle.dumps((counts, two)))])
+    out = [pickle.loads(x) for b in ngram_join._count(iter([batch])) for x in b.column(2).to_pylist()]
+    assert [tokens.tolist() for _, tokens, _ in out] == [[7 << 32 | 9]] * 2
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
@@ -288,7 +402,29 @@ def test_ngram_join_of_large_classes(spark):
         for at in rng.integers(0, 60, rng.integers(0, 8)):
             words[at] = f"x{rng.integers(0, 9)}"
         rows.append((k, " ".join(words), None))
-    check_classes(spark.createDataFrame(rows, SCHEMA), most=16)
+    df = spark.createDataFrame(rows, SCHEMA)
+    check_classes(df, most=16)
+    check_classes(df, most=10_000, room=9_000)
+
+
+def test_ngram_join_of_chained_sizes(spark):
+    """Texts that grow step by step share their beginning; only neighbours in size link."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(words[: 20 + k * (k + 9) // 2]), None) for k in range(24)]
+    check_classes(spark.createDataFrame(rows, SCHEMA))
+    check_classes(spark.createDataFrame(rows, SCHEMA), most=5)
+
+
+def test_ngram_join_keeps_one_row_of_each_class(spark, odd):
+    keyed = odd.withColumn("k", F.monotonically_increasing_id()).cache()
+    found = ngram_join.classes(keyed, key="k").collect()
+    assert len({r["k"] for r in found}) == len(found) == len(ODD)
+    groups = defaultdict(list)
+    for r in found:
+        groups[r["component_id"], r["n_shingles"] if r["n_shingles"] else r["k"]].append(r)
+    assert all(sum(r["kept"] for r in g) == 1 and all(r["doc_id"] == r["component_id"] for r in g if r["kept"]) for g in groups.values())
+    kept = exact.exact_groups(keyed, key="k").where("kept").collect()
+    assert len({r["k"] for r in kept}) == len(kept) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, _ in ODD})
 
 
 def test_ngram_join_of_nothing(none):
@@ -301,8 +437,9 @@ def test_ngram_join_of_nothing(none):
 def test_chat_round_trip(spark):
     texts = [r"\### Assistant: </turn> ok", "", "#### <turn>### user: \\\\ </turn>\n", "plain", "<</turn>", "\\"]
     rows = [(c, t, ("user", "assistant")[t % 2], texts[(c + t) % 6]) for c in range(12) for t in range(4)]
+    rows += [(60, 0, "user", "### " * 300_000), (60, 1, "assistant", "</turn>\\\\" * 200_000)]
     rows += [(50, 0, "user", None), (50, 1, None, "x"), (None, 0, "a: </turn>", "y"), (51, 0, "assistant", "early"), (52, 0, "user", "a"), (52, 0, "user", "a")]
-    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("formatted", F.lit("x")).withColumn("valid", F.lit(3))
     said = defaultdict(list)
     for c, t, role, text in rows:
         said[c].append((t, role or "", text or ""))
@@ -427,16 +564,87 @@ def test_main_text():
     assert html_text.main_text("plain") == "plain"
 
 
+def test_names_of_what_holds_the_article_do_not_drop_it():
+    side = "<div class='sidebar'>Side text of the page</div>"
+    for page in (
+        f"<article class='post share-enabled'><p>Text one</p><p>Two</p></article>{side}",
+        f"<div id='page' class='has-sidebar'><article><p>Text one</p><p>Two</p></article>{side}</div>",
+        f"<div class='sidebar wide'>{side}<main class='widget'><p>Text one</p><p>Two</p><p>{'x' * 60}</p></main></div>",
+        f"<article class=comments-open><header class='entry-header'>Text one</header><div><p>Two</p><div class='ad-slot'>Buy</div></div></article>{side}",
+    ):
+        assert html_text.main_text(page).startswith("Text one\nTwo"), page
+        assert "Side" not in html_text.main_text(page) and "Buy" not in html_text.main_text(page)
+    comments = "<section id='comments'><article class='comment'><p>" + "I like this very much " * 30 + "</p></article></section>"
+    assert html_text.main_text(f"<article><p>Short.</p></article>{comments}") == "Short."
+
+
 def test_main_text_without_named_article():
-    long = "word " * 40
-    page = f"<body><div class=menu><a href=x>Home</a></div><p>{long}</p><p>{long}</p><div>x</div></body>"
-    assert html_text.main_text(page).startswith("\n".join([long.strip()] * 2))
+    long, rest = "word " * 40, "And a short end."
+    body = f"<div><h1>Title</h1></div><div><div><p>{long}</p></div><div class='ad'>Buy</div><div><p>{long} &lt;b&gt;</p></div><div><p>{rest}</p></div></div>"
+    want = "\n".join(["Title", long.strip(), long + "<b>", rest])
+    menu = "<div><a href=x>Home</a></div><div><a href=y>News</a></div><div><a href=z>All</a></div><div><a href=u>More</a></div>"
+    for page in (body, f"<header>Site</header><nav>Menu</nav>{body}<footer>Foot</footer>", f"<body>{menu}{body}{menu}<div class='site-footer'>Foot</div>"):
+        assert html_text.main_text(page) == want
+    short = "<div class=menu><a href=x>Home</a></div><p>Just this.</p>"
+    assert html_text.main_text(short) == "Just this."
+    big = f"<h1>Head</h1><p>{'long ' * 20_000}</p><nav>Menu</nav><p>{'tail ' * 30}</p>"
+    assert html_text.main_text(big).endswith("\n" + ("tail " * 30).strip())  # however large the other region is
+
+
+def test_surge_and_dive():
+    sums = [0, 5, 90, 3, 0, 2, 0, 0, 100, 1]
+    assert html_text.regions(sums, 86) == [(1, 4), (5, 6), (8, 10)]
+    assert html_text.regions(sums, 95) == [(8, 10)]
+    assert html_text.regions(sums, 101) == html_text.regions([], 1) == []
+
+
+@pytest.mark.parametrize("part", ["<a b ", '<p title=" ', "<div class='x", "<!-- ", "<script>x", "& < ", "<p a='b>", "</i>", "<!x "])
+def test_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 4
+
+
+class Plain(HTMLParser):
+    """Brute force for pages whose article is marked: blocks inside the article element, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attributes):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style", "nav", "aside", "footer", "form")
+        if tag in ("p", "div", "h1", "h2", "li", "ul", "article"):
+            self.blocks.append("")
+        elif tag == "br" and self.inside:
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style", "nav", "aside", "footer", "form")
+        if tag in ("p", "div", "h1", "h2", "li", "ul", "article"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_pages_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html like '%<article%'").collect()
+    assert len(rows) > 100
+    for r in rows:
+        parser = Plain()
+        parser.feed(r["html"])
+        want = [" ".join(b.split()) for b in parser.blocks]
+        assert html_text.main_text(r["html"]) == "\n".join(b for b in want if b)
 
 
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    more = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-2, "u", PAGE)], "page_id long, url string, html string")
-    found = html_text.extract(pages.select("page_id", "url", "html").unionByName(more)).collect()
-    assert len(found) == pages.count() + 3
-    assert all(r["n_chars"] == len(r["text"]) and "<" not in r["text"] for r in found if r["page_id"] >= 0)
+    more = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-2, "u", PAGE), (None, None, "<p>" + "x" * 3_000_000)], "page_id long, url string, html string")
+    found = html_text.extract(pages.select("page_id", "url", "html").unionByName(more).withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))).collect()
+    assert len(found) == pages.count() + 4 and max(r["n_chars"] for r in found) == 3_000_000
+    assert all(r["n_chars"] == len(r["text"]) and "<" not in r["text"] for r in found if (r["page_id"] or -1) >= 0)
     assert html_text.extract(more.limit(0)).count() == 0
