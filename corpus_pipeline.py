@@ -1,6 +1,12 @@
 """A corpus pipeline: toxicity, exact duplicates, near duplicates, decontamination, then encoding.
 
 Every stage takes the documents that the stage before kept and returns documents; the last returns their encodings.
+
+A stage decides by row, not by doc_id: rows are packed into a struct that passes through the operator, or get a key in a
+written table that the operator's verdict is joined on. Defined results: rows with a null doc_id or a repeated one are
+documents like any others; null texts are empty; all empty texts are one group of exact duplicates, of which one stays, and
+have no shingles, so no near duplicates; of rows equal in text and id one stays; columns of documents may have any names
+besides doc_id and text and come out as they were; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,31 +19,48 @@ from pyspark.sql import functions as F
 from netweft.llm import decontaminate, exact, ngram_join, pieces, toxicity
 from netweft.llm.common import materialise, table
 
+KEY, DOC = "row_key", "document"
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row as one column that no operator touches."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(DOC))
+
+
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """KEY and the packed row, written, so that a key stays with its row."""
+    return materialise(_packed(docs).withColumn(KEY, F.monotonically_increasing_id()), name)
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(f"`{DOC}`.*"))
+
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents with a row in ``verdicts`` (doc_id, one row for each row to keep)."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _kept(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return _unpacked(keyed.join(verdicts.where("kept").select(KEY), KEY, "left_semi"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    return _keep(docs, toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    return _unpacked(toxicity.score(_packed(docs), table(spark, sf_dir, "labels"), carry=(DOC,)).where("predicted = 0"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts."""
-    return _keep(docs, exact.exact_groups(docs).where("kept"))
+    keyed = _keyed(docs, "exact-keyed")
+    return _kept(keyed, exact.exact_groups(keyed, key=KEY))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every class of near duplicates: five words, similarity 0.8 or more."""
-    return _keep(docs, ngram_join.classes(docs, size=5, percent=80).where("doc_id = component_id"))
+    keyed = _keyed(docs, "near-keyed")
+    return _kept(keyed, ngram_join.classes(keyed, size=5, percent=80, key=KEY))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.contaminated()).select(docs.columns)
+    found = decontaminate.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"), carry=[DOC])
+    return _unpacked(found.where(~decontaminate.contaminated()))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
