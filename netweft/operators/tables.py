@@ -25,10 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = path or new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
