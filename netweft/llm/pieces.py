@@ -30,6 +30,7 @@ U+2581 in a text decodes to a space (round_trip is then false); extra columns ar
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 CACHE = 500_000
 GROUP = 64
-CHARACTERS = 1_500_000
+CHARACTERS = 2_000_000
 STEP, UNITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 ONE = int(UNITS)
 SLOTS = 18  # log of the size of the table of the pieces' beginnings
@@ -72,8 +73,8 @@ class Vocabulary:
         self.names = {i: p for p, i in self.plain.items()}
         self.bytes_of = [bytes([int(self.sp.id_to_piece(i)[3:-1], 16)]) if self.sp.is_byte(i) else self.names.get(i, "").replace(SPACE, " ").encode() for i in range(n)]
         self.raw = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.raw_size = np.array([len(b) for b in self.bytes_of])
-        self.raw_begin = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_size = np.array([len(b) for b in self.bytes_of], np.int32)
+        self.raw_begin = np.cumsum(self.raw_size, dtype=np.int32) - self.raw_size
         self.line_end = self.sp.encode("\n")[-1:]
         self.lead = len(self.sp.encode("\n")) - 1  # ids that a text has before its first line end
         self.forget()
@@ -156,7 +157,7 @@ class Vocabulary:
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that the ids stand for, and where those of each id end."""
         sizes = self.raw_size[ids]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         at = np.repeat(self.raw_begin[ids] - ends + sizes, sizes)
         at += np.arange(len(at))
         return self.raw[at], ends
@@ -204,8 +205,28 @@ def cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     begun[1:] |= line
     begun[1:-1] |= space[1:] & ~space[:-1]
     begins = np.flatnonzero(begun).astype(np.int64)
-    units = pa.Array.from_buffers(pa.large_string(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(joined)]).dictionary_encode()
-    return units.dictionary.to_pylist(), units.indices.to_numpy().astype(np.int64), np.searchsorted(begins, past)
+    begins, ends, n = begins[:-1], begins[1:], len(given)
+    # Equal units have one polynomial hash of 64 bits, whatever their place; that units of one hash are equal is checked.
+    power = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((given + np.uint64(1)) * power[:n], out=sums[1:])
+    _, first, index = np.unique((sums[ends] - sums[begins]) * power[n - begins], return_index=True, return_inverse=True)
+    sizes = ends - begins
+    same = np.repeat(begins[first[index]] - begins, sizes)
+    same += np.arange(n)
+    if (sizes != sizes[first[index]]).any() or (given != given[same]).any():
+        raise RuntimeError("different units have one hash")
+    return [joined[a:b].decode() for a, b in zip(begins[first].tolist(), ends[first].tolist())], index, np.searchsorted(np.append(begins, n), past)
+
+
+@lru_cache(1)
+def _powers_of(size: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(size, STEP)))
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number, 0 to n at least."""
+    return _powers_of(1 << max(20, n.bit_length()))
 
 
 def _hash(z: np.ndarray) -> np.ndarray:
@@ -544,7 +565,15 @@ def _rows(vocabulary: Vocabulary, keys: list, texts: list[str], k: int, seed: in
         while end < len(texts) and (end == begin or size + len(texts[end]) <= CHARACTERS):
             size += len(texts[end])
             end += 1
-        yield from segment(vocabulary, texts[begin:end], keys[begin:end], k, seed)
+        # many small objects and no cycles: the collector would walk them over and over
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            found = segment(vocabulary, texts[begin:end], keys[begin:end], k, seed)
+        finally:
+            if was_on:
+                gc.enable()
+        yield from found
         begin = end
 
 
