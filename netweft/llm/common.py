@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweft.operators.tables import cut as materialise
+from netweft.operators.tables import cut
 
 __all__ = ["materialise", "sha_hex", "table"]
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``cut`` for tables that hold texts or sets: compressed tighter."""
+    return cut(df, name, compression="zstd")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from netweft.llm.common import materialise
 from netweft.operators.components import connected_components
+from netweft.operators.tables import cut
 
 #: Lower-cases A-Z and maps the blanks to a space; other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
@@ -416,12 +417,12 @@ def _large(light: DataFrame, payload: DataFrame, tokens: DataFrame, percent: int
     then ask the blocks that hold a set of matching size with a common prefix shingle; sets of the largest class need not
     ask each other. Sets that ask one block are cut into chunks of ``most`` sets or ``room`` bytes too.
     """
-    placed = materialise(_blocks(light, most, room), "ngram-large")
-    inside = materialise(_by_comp(placed.join(payload, "rid"), percent, "comp", "part"), "ngram-large")
+    placed = cut(_blocks(light, most, room), "ngram-large")
+    inside = cut(_by_comp(placed.join(payload, "rid"), percent, "comp", "part"), "ngram-large")
     heads = placed.join(inside.select(F.col("root").alias("rid")).distinct(), "rid", "left_semi").drop("part")
     between = _by_comp(_blocks(heads, most, room).join(payload, "rid"), percent, "comp", "part")
     pairs = lambda df: df.select(F.col("rid").alias("a"), F.col("root").alias("b"))
-    merged = materialise(connected_components(pairs(inside).unionByName(pairs(between))).select(F.col("id").alias("rid"), F.col("component").alias("root")), "ngram-large")
+    merged = cut(connected_components(pairs(inside).unionByName(pairs(between))).select(F.col("id").alias("rid"), F.col("component").alias("root")), "ngram-large")
     known = placed.join(merged, "rid")
     main = known.groupBy("comp", "root").count().groupBy("comp").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
 
@@ -429,7 +430,7 @@ def _large(light: DataFrame, payload: DataFrame, tokens: DataFrame, percent: int
     outside = known.join(main, "comp").where("root <> main").select("comp", F.col("part").alias("own"), "rid", "n", "bytes", "root")
     asking = tokens.join(outside, "rid").join(met, ["token", "comp"])
     asking = asking.where(F.expr(f"own <> part and high * 100 >= {percent} * n and n * 100 >= {percent} * low"))
-    asking = materialise(asking.select("comp", "part", "rid", "n", "bytes", "root").distinct(), "ngram-asking")
+    asking = cut(asking.select("comp", "part", "rid", "n", "bytes", "root").distinct(), "ngram-asking")
     chunks = asking.groupBy("comp", "part").agg(F.ceil(F.count("*") / most + F.sum("bytes") / room).alias("chunks"))
     asked = asking.join(chunks, ["comp", "part"]).withColumn("chunk", F.pmod(F.xxhash64("rid"), "chunks"))
     stored = known.join(chunks, ["comp", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -465,17 +466,20 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 85, most: int = 1_000
     sets = materialise(packed.repartition(blocks, "block").mapInArrow(_filter(percent), SETS), "ngram-sets")
 
     left = sets.where("shared is not null").select("rid", "n", "key", "prefix", "shared")
-    first = materialise(left.groupBy("key").agg(F.min("rid").alias("rid")), "ngram-first")
-    tokens = materialise(left.join(first.select("rid"), "rid", "left_semi").select("rid", "n", F.octet_length("shared").alias("bytes"), F.explode("prefix").alias("token")), "ngram-tokens")
-    comps = materialise(connected_components(_candidates(tokens, percent)).select(F.col("id").alias("rid"), F.col("component").alias("comp")), "ngram-comps")
-    light = comps.join(tokens.select("rid", "n", "bytes").distinct(), "rid")
+    first = cut(left.groupBy("key").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.min(F.octet_length("shared")).alias("bytes")), "ngram-first")
+    tokens = left.join(first.select("rid"), "rid", "left_semi").select("rid", "n", F.explode("prefix").alias("token"))
+    # a token of one set makes no candidates
+    met = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    tokens = cut(tokens.join(met, "token").select("rid", "n", "token"), "ngram-tokens")
+    comps = cut(connected_components(_candidates(tokens, percent)).select(F.col("id").alias("rid"), F.col("component").alias("comp")), "ngram-comps")
+    light = comps.join(first.select("rid", "n", "bytes"), "rid")
     big = light.groupBy("comp").agg(F.count("*").alias("c"), F.sum("bytes").alias("b")).where((F.col("c") > most) | (F.col("b") > room)).select("comp")
     some_big = bool(big.take(1))
     payload = left.select("rid", "shared")
     normal = light.join(big, "comp", "left_anti") if some_big else light
     roots = _by_comp(normal.join(payload, "rid"), percent, "comp")
     if some_big:
-        large = materialise(light.join(big, "comp", "left_semi"), "ngram-large")
+        large = cut(light.join(big, "comp", "left_semi"), "ngram-large")
         roots = roots.unionByName(_large(large, payload, tokens.select("rid", "token"), percent, most, room))
 
     # key -> root, for the sets that were joined; all others are linked with nothing but their equals
