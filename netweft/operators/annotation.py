@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netweft.operators.ranking import numbered
+
 
 def accuracy(correct: Column) -> Column:
     """Correct share of the predictions that can be judged (flag 0 or 1; -1 is unknown); 0 if there are none."""
@@ -29,7 +31,7 @@ def edge_classes(edges: DataFrame, associations: DataFrame, known: DataFrame) ->
         F.count_if((F.col("h") == 1) & (F.col("ok") == 0)).alias("c02"),
     )
     total = ends.agg(F.count_if((F.col("k1") == 1) & (F.col("k2") == 1)).alias("kk"), F.count_if(F.col("k1") + F.col("k2") == 1).alias("ku"), F.count_if(F.col("k1") + F.col("k2") == 0).alias("uu"))
-    return counts.crossJoin(F.broadcast(total)).select(
+    return counts.crossJoin(total).select(
         "go_no", "c00", "c01", "c02", (F.col("kk") - F.col("c00") - F.col("c01")).alias("c11"), (F.col("ku") - F.col("c02")).alias("c12"), F.col("uu").alias("c22")
     )
 
@@ -38,8 +40,8 @@ def number_genes(found: DataFrame, existing: DataFrame) -> DataFrame:
     """gene_id, gene_no: numbers kept where they exist; new ids are numbered on from the largest, in the order of the id."""
     new = found.select("gene_id").distinct().join(existing, "gene_id", "left_anti")
     top = existing.agg(F.coalesce(F.max("gene_no"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("r", F.row_number().over(Window.orderBy("gene_id"))).crossJoin(F.broadcast(top)).select("gene_id", (F.col("top") + F.col("r")).alias("gene_no"))
-    return existing.select("gene_id", "gene_no").unionByName(numbered)
+    named = numbered(new, ["gene_id"], "r").crossJoin(top).select("gene_id", (F.col("top") + F.col("r")).alias("gene_no"))
+    return existing.select("gene_id", "gene_no").unionByName(named)
 
 
 def category_split(a: DataFrame, b: DataFrame, keys: list[str], a_ok: str, b_ok: str) -> DataFrame:
@@ -72,13 +74,13 @@ def unknown_ratio(members: DataFrame, genes: DataFrame) -> DataFrame:
 def systematic(df: DataFrame, order: list, limit: int) -> DataFrame:
     """All rows up to ``limit``; beyond it every step-th one, step = rows // limit + 1."""
     total = df.agg(F.floor(F.count("*") / limit).alias("__s"))
-    ranked = df.withColumn("__r", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(total))
+    ranked = numbered(df, order, "__r").crossJoin(total)
     return ranked.where((F.col("__r") - 1) % (F.col("__s") + 1) == 0).drop("__r", "__s")
 
 
 def permuted_genes(members: DataFrame, seed: int) -> DataFrame:
     """The same clusters with gene ids exchanged by a seeded permutation (a null model)."""
     genes = members.select("gene_no").distinct()
-    here = genes.select("gene_no", F.row_number().over(Window.orderBy("gene_no")).alias("r"))
-    there = genes.select(F.col("gene_no").alias("other"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "gene_no"), "gene_no")).alias("r"))
+    here = numbered(genes, ["gene_no"], "r")
+    there = numbered(genes.select(F.col("gene_no").alias("other"), F.xxhash64(F.lit(seed), "gene_no").alias("h")), ["h", "other"], "r").drop("h")
     return members.join(here.join(there, "r").select("gene_no", "other"), "gene_no").select("mcl_id", F.col("other").alias("gene_no"))

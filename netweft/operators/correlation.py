@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweft.functions import arrays
+from netweft.operators.ranking import top_by_bins
 
 UNDEFINED = 1.1  # fixed value: what stands for a correlation without variance
 JK_CUT_OFF = 7
@@ -47,8 +48,11 @@ def pearson(a: Column, b: Column) -> Column:
     return _pearson(s["n"], s["sx"], s["sy"], s["sxx"], s["syy"], s["sxy"])
 
 
-def pair_statistics(x: np.ndarray, y: np.ndarray, at_least: int = JK_CUT_OFF) -> dict[str, np.ndarray]:
-    """Statistics of every row of x with every row of y (NaN: missing), over the positions that both have.
+STATISTICS = ("n", "cor", "min_cor", "df", "distance", "mean", "variance")
+
+
+def pair_statistics(x: np.ndarray, y: np.ndarray, wanted: tuple[str, ...] = STATISTICS, at_least: int = JK_CUT_OFF) -> dict[str, np.ndarray]:
+    """The statistics wanted of every row of x with every row of y (NaN: missing), over the positions that both have.
 
     n, cor; min_cor and df: of the correlations without one position, the one of smallest size (first position on ties; NaN
     where fewer than ``at_least`` pairs would be left); distance, mean and variance of the differences. All sums are
@@ -65,22 +69,29 @@ def pair_statistics(x: np.ndarray, y: np.ndarray, at_least: int = JK_CUT_OFF) ->
             vx, vy = sxx - sx * sx / n, syy - sy * sy / n
             return np.where((n < 1) | (vx <= 1e-12) | (vy <= 1e-12), UNDEFINED, (sxy - sx * sy / n) / np.sqrt(vx * vy))
 
-        least, min_cor, df = np.full(n.shape, np.inf), np.full(n.shape, np.nan), np.full(n.shape, np.nan)
-        for i in range(x.shape[1]):
-            a, b = np.outer(cx[:, i], py[:, i]), np.outer(px[:, i], cy[:, i])
-            left = n - np.outer(px[:, i], py[:, i])
-            r = pearson(left, sx - a, sy - b, sxx - a * a, syy - b * b, sxy - a * b)
-            size = np.round(np.abs(r), 12)
-            better = (left >= at_least) & (size < least)
-            least, min_cor, df = np.where(better, size, least), np.where(better, r, min_cor), np.where(better, left - 2, df)
-        rx, ry = np.where(mx, x, 0.0), np.where(my, y, 0.0)
-        squares = np.maximum(rx**2 @ py.T + px @ (ry**2).T - 2 * rx @ ry.T, 0)
-        mean = (rx @ py.T - px @ ry.T) / n
-        return {"n": n, "cor": pearson(n, sx, sy, sxx, syy, sxy), "min_cor": min_cor, "df": df, "distance": np.sqrt(squares), "mean": mean, "variance": (squares - n * mean**2) / (n - 1)}
-
-
-def gene_pairs(expression: DataFrame, blocks: int | None = None, block_genes: int = 256) -> DataFrame:
-    """dataset_no, g1 < g2 and their ``pair_statistics``: all gene pairs of each dataset, by pairs of gene blocks.
+        out = {"n": n}
+        if "cor" in wanted:
+            out["cor"] = pearson(n, sx, sy, sxx, syy, sxy)
+        if "min_cor" in wanted or "df" in wanted:
+            least, min_cor, df = np.full(n.shape, np.inf), np.full(n.shape, np.nan), np.full(n.shape, np.nan)
+            for i in range(x.shape[1]):
+                a, b = np.outer(cx[:, i], py[:, i]), np.outer(px[:, i], cy[:, i])
+                left = n - np.outer(px[:, i], py[:, i])
+                r = pearson(left, sx - a, sy - b, sxx - a * a, syy - b * b, sxy - a * b)
+                size = np.round(np.abs(r), 12)
+                better = (left >= at_least) & (size < least)
+                least, min_cor, df = np.where(better, size, least), np.where(better, r, min_cor), np.where(better, left - 2, df)
+            out |= {"min_cor": min_cor, "df": df}
+        if {"distance", "mean", "variance"} & set(wanted):
+            rx, ry = np.where(mx, x, 0.0), np.where(my, y, 0.0)
+            squares = np.maximum(rx**2 @ py.T + px @ (ry**2).T - 2 * rx @ ry.T, 0)
+            mean = (rx @ py.T - px @ ry.T) / n
+            out |= {"distance": np.sqrt(squares), "mean": mean, "variance": (squares - n * mean**2) / (n - 1)}
+        return out
+
+
+def _by_blocks(expression: DataFrame, wanted: tuple[str, ...], finish, schema: str, blocks: int | None, block_genes: int) -> DataFrame:
+    """``finish`` of the statistics of all gene pairs of each dataset, by pairs of gene blocks.
 
     A task holds two blocks of about ``block_genes`` vectors and their matrix, whatever the number of genes.
     """
@@ -98,30 +109,79 @@ def gene_pairs(expression: DataFrame, blocks: int | None = None, block_genes: in
         left, right = (rows["b"] == k for k in key[1:])
         ids = rows["gene_no"].to_numpy()
         a, b = ids[left][:, None], ids[right][None, :]
-        found = pair_statistics(m[left], m[right])
+        found = pair_statistics(m[left], m[right], wanted)
+        if "mean" in found:
+            found["mean"] = np.where(a < b, found["mean"], -found["mean"])
         # a block with itself: each pair once
-        i, j = np.nonzero(a < b if key[1] == key[2] else a != b)
-        x, y = ids[left][i], ids[right][j]
-        out = {"dataset_no": key[0], "g1": np.minimum(x, y), "g2": np.maximum(x, y)} | {k: v[i, j] for k, v in found.items()}
-        out["mean"] = np.where(x < y, out["mean"], -out["mean"])
+        return finish(key[0], np.minimum(a, b), np.maximum(a, b), a < b if key[1] == key[2] else a != b, found)
+
+    return sent.groupBy("dataset_no", "lo", "hi").applyInPandas(kernel, schema)
+
+
+def gene_pairs(expression: DataFrame, wanted: tuple[str, ...] = STATISTICS, keep=None, blocks: int | None = None, block_genes: int = 256) -> DataFrame:
+    """dataset_no, g1 < g2 and the statistics wanted, of all gene pairs of each dataset that ``keep`` (a mask made of the
+    statistics and the dataset, by the kernel) lets through."""
+
+    def finish(dataset, g1, g2, once, found):
+        i, j = np.nonzero(once if keep is None else once & keep(found, dataset))
+        return pd.DataFrame({"dataset_no": dataset, "g1": g1[i, j], "g2": g2[i, j]} | {k: found[k][i, j] for k in wanted})
+
+    out = _by_blocks(expression, wanted, finish, "dataset_no int, g1 long, g2 long, " + ", ".join(f"{k} double" for k in wanted), blocks, block_genes)
+    kinds = {"n": F.col("n").cast("int"), "min_cor": F.nanvl("min_cor", F.lit(None)), "df": F.nanvl("df", F.lit(None)).cast("int")}
+    return out.withColumns({k: c for k, c in kinds.items() if k in wanted}) if set(kinds) & set(wanted) else out
+
+
+def pair_counts(expression: DataFrame, statistic: str, bin_of, blocks: int | None = None, block_genes: int = 256) -> DataFrame:
+    """dataset_no, bin, pairs: counts of the gene pairs by ``bin_of`` their statistic (NaN: not counted), added up in the kernel."""
+
+    def finish(dataset, g1, g2, once, found):
+        values = bin_of(found[statistic][once])
+        bins, n = np.unique(values[~np.isnan(values)], return_counts=True)
+        return pd.DataFrame({"dataset_no": dataset, "bin": bins.astype(int), "pairs": n})
+
+    out = _by_blocks(expression, (statistic,), finish, "dataset_no int, bin int, pairs long", blocks, block_genes)
+    return out.groupBy("dataset_no", "bin").agg(F.sum("pairs").alias("pairs"))
+
+
+def pair_summary(expression: DataFrame, statistics: tuple[str, ...], blocks: int | None = None, block_genes: int = 256) -> DataFrame:
+    """dataset_no, pairs, and for each statistic its sum and its largest value over all gene pairs, added up in the kernel."""
+
+    def finish(dataset, g1, g2, once, found):
+        out = {"dataset_no": [dataset], "pairs": [int(once.sum())]}
+        for k in statistics:
+            values = found[k][once]
+            out |= {f"{k}_sum": [values.sum()], f"{k}_max": [values.max(initial=-np.inf)]}
         return pd.DataFrame(out)
 
-    schema = "dataset_no int, g1 long, g2 long, n double, cor double, min_cor double, df double, distance double, mean double, variance double"
-    out = sent.groupBy("dataset_no", "lo", "hi").applyInPandas(kernel, schema)
-    return out.withColumns({"n": F.col("n").cast("int"), "min_cor": F.nanvl("min_cor", F.lit(None)), "df": F.nanvl("df", F.lit(None)).cast("int")})
+    schema = "dataset_no int, pairs long, " + ", ".join(f"{k}_sum double, {k}_max double" for k in statistics)
+    sums = [f(f"{k}_{n}").alias(f"{k}_{n}") for k in statistics for f, n in ((F.sum, "sum"), (F.max, "max"))]
+    return _by_blocks(expression, statistics, finish, schema, blocks, block_genes).groupBy("dataset_no").agg(F.sum("pairs").alias("pairs"), *sums)
+
+
+def top_correlations(expression: DataFrame, share: float = 0.01, blocks: int | None = None, scale: int = 1000) -> DataFrame:
+    """dataset_no, g1, g2, cor: of each dataset the int(n^2 * share) pairs with the largest leave-one-out correlation.
+
+    A first pass counts the correlations by bins of 1 / ``scale``; the second keeps, inside the kernel, the pairs of the bins
+    that the top reaches (one bound a dataset), and only the last of these bins is ranked.
+    """
 
+    def bin_of(cor):
+        cor = np.round(cor, 9)
+        return np.where(cor <= 1, np.floor(cor * scale), np.nan)
 
-def top_correlations(expression: DataFrame, share: float = 0.01, blocks: int | None = None) -> DataFrame:
-    """dataset_no, g1, g2, cor: of each dataset the int(n^2 * share) pairs with the largest leave-one-out correlation."""
-    c = gene_pairs(expression, blocks).where(F.col("min_cor") <= 1).select("dataset_no", "g1", "g2", F.round("min_cor", 9).alias("cor"))
+    counts = pair_counts(expression, "min_cor", bin_of, blocks)
     sizes = expression.groupBy("dataset_no").agg(F.floor(F.count("*") * F.count("*") * share).alias("top"))
-    w = Window.partitionBy("dataset_no").orderBy(F.desc("cor"), "g1", "g2")
-    return c.withColumn("r", F.row_number().over(w)).join(sizes, "dataset_no").where("r <= top").select("dataset_no", "g1", "g2", "cor")
+    down = Window.partitionBy("dataset_no").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("before", F.coalesce(F.sum("pairs").over(down), F.lit(0))).join(sizes, "dataset_no").where("before < top")
+    bounds = {r["dataset_no"]: r["bin"] for r in needed.groupBy("dataset_no").agg(F.min("bin").alias("bin")).collect()}  # one a dataset
+    keep = lambda found, dataset: bin_of(found["min_cor"]) >= bounds.get(dataset, np.inf)
+    c = gene_pairs(expression, ("min_cor",), keep, blocks).select("dataset_no", "g1", "g2", F.round("min_cor", 9).alias("cor")).join(sizes, "dataset_no")
+    return top_by_bins(c, ["dataset_no", "top"], F.col("cor"), ["g1", "g2"], F.col("top"), scale).select("dataset_no", "g1", "g2", "cor")
 
 
 def significant(pairs: DataFrame, cut_offs: DataFrame) -> DataFrame:
     """``pairs`` (with min_cor, df) with sig: 1 where cut-off of its degrees of freedom <= min_cor <= 1."""
-    return pairs.join(F.broadcast(cut_offs.select("df", "cut")), "df", "left").withColumn("sig", F.coalesce((F.col("min_cor") >= F.col("cut")) & (F.col("min_cor") <= 1), F.lit(False)).cast("int"))
+    return pairs.join(cut_offs.select("df", "cut"), "df", "left").withColumn("sig", F.coalesce((F.col("min_cor") >= F.col("cut")) & (F.col("min_cor") <= 1), F.lit(False)).cast("int"))
 
 
 # Student's t, for the table of cut-offs: built once for all degrees of freedom, then broadcast
@@ -183,9 +243,7 @@ def variance_filter(expression: DataFrame, share: float = 0.9, by_mean: bool = F
     """The ``share`` most variable genes of each dataset (by std, or std/mean) among those with enough values."""
     enough = expression.where(F.size(F.filter("v", lambda x: x.isNotNull())) >= at_least)
     spread = arrays.std(F.col("v")) / (arrays.mean(F.col("v")) if by_mean else F.lit(1.0))
-    w = Window.partitionBy("dataset_no")
-    ranked = enough.withColumn("spread", F.round(spread, 9)).withColumn("r", F.row_number().over(w.orderBy(F.desc("spread"), F.desc("gene_no")))).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("r") <= F.floor(F.col("n") * share)).drop("r", "n")
+    return top_by_bins(enough.withColumn("spread", F.round(spread, 9)), ["dataset_no"], F.col("spread"), [F.desc("gene_no")], F.floor(F.col("__n") * share), 1000)
 
 
 def correlate_blocks(values: np.ndarray) -> np.ndarray:

@@ -48,3 +48,25 @@ def held_out_accuracy(df: DataFrame, key: str, features: list[str], label: str,
     model = tree_model(kind, features, label, weight, seed).fit(known.where(~test))
     said = model.transform(known.where(test))
     return said.groupBy(F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("rows"), F.count_if(F.col("prediction") == F.col(label)).alias("correct"))
+
+
+def cross_validated(df: DataFrame, key: str, pair: list[str], features: list[str], label: str, grid: list[dict], folds: int = 3, seed: int = 7) -> DataFrame:
+    """setting, fold, predicted, correct, genes, accuracy of a tree for each setting of its parameters and each fold.
+
+    Folds are drawn by a hash of the key. ``predicted`` counts the distinct pairs (gene, function) that the tree accepts,
+    ``accuracy`` is the share of them that are correct, null where none is accepted. There are as many fits as settings
+    times folds; each is a distributed one.
+    """
+    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("int")
+    known = df.select(*pair, fold.alias("fold"), *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("label")).dropna()
+    out = None
+    for i, setting in enumerate(grid):
+        for k in range(folds):
+            stages = tree_model("tree", features, "label", seed=seed)
+            tree = stages.getStages()[1].copy({stages.getStages()[1].getParam(n): v for n, v in setting.items()})
+            model = Pipeline(stages=[stages.getStages()[0], tree]).fit(known.where(F.col("fold") != k))
+            accepted = model.transform(known.where(F.col("fold") == k)).where("prediction = 1").groupBy(*pair).agg(F.max("label").alias("c"))
+            one = accepted.agg(F.count("*").alias("predicted"), F.coalesce(F.sum("c"), F.lit(0.0)).cast("long").alias("correct"), F.countDistinct(pair[0]).alias("genes"))
+            one = one.select(F.lit(i).alias("setting"), F.lit(k).alias("fold"), "predicted", "correct", "genes", (F.col("correct") / F.nullif(F.col("predicted"), F.lit(0))).alias("accuracy"))
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -39,25 +39,38 @@ def closure(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode("path").alias("ancestor"), "term").distinct()
 
 
-def pair_distances(paths: DataFrame) -> DataFrame:
-    """t1 < t2, raw, lee, jasmine, ancestors: each measure minimised by itself over all pairs of paths.
+def pair_distances(paths: DataFrame, pairs: DataFrame | None = None, blocks: int = 8) -> DataFrame:
+    """t1 < t2, steps, depth_gap, shorter_leg, ancestors: each measure minimised by itself over all pairs of paths.
 
-    For two paths the lowest common ancestor is the last term of the shorter one that lies on the longer one. Paths of a
-    pair meet through the root, which all share; terms are few (an ontology), so the pairs are blocked by the first term.
+    For two paths the lowest common ancestor is the last term of the shorter one that lies on the longer one. ``steps`` are
+    those from both terms to it, ``shorter_leg`` those from the nearer term, ``depth_gap`` is 15 less its depth. Only the
+    given ``pairs`` (t1, t2) are looked at; without them all pairs of terms, dealt by blocks of terms.
     """
     a = paths.select(F.col("term").alias("t1"), F.col("path").alias("p1"))
     b = paths.select(F.col("term").alias("t2"), F.col("path").alias("p2"))
-    pairs = a.join(b, (F.col("t1") < F.col("t2")) & (F.element_at("p1", 1) == F.element_at("p2", 1)))
+    if pairs is None:
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        block = lambda t: F.pmod(F.xxhash64(t), F.lit(blocks)).cast("int")
+        met = a.select("*", block("t1").alias("i"), every.alias("j")).join(b.select("*", every.alias("i"), block("t2").alias("j")), ["i", "j"]).where("t1 < t2")
+    else:
+        met = pairs.select("t1", "t2").distinct().join(a, "t1").join(b, "t2")
     short = F.when(F.size("p1") <= F.size("p2"), F.col("p1")).otherwise(F.col("p2"))
     long = F.when(F.size("p1") <= F.size("p2"), F.col("p2")).otherwise(F.col("p1"))
     lca = F.element_at(F.filter(short, lambda x: F.array_contains(long, x)), -1)
-    m = pairs.withColumn("lca", lca).withColumns({"i1": F.array_position("p1", F.col("lca")), "i2": F.array_position("p2", F.col("lca"))})
+    m = met.withColumn("lca", lca).withColumns({"i1": F.array_position("p1", F.col("lca")), "i2": F.array_position("p2", F.col("lca"))})
     m = m.withColumns({"d1": F.size("p1") - F.col("i1"), "d2": F.size("p2") - F.col("i2")})
     return m.groupBy("t1", "t2").agg(
-        F.min(F.col("d1") + F.col("d2")).alias("raw"), F.min(15 - F.least("i1", "i2")).alias("lee"), F.min(F.least("d1", "d2")).alias("jasmine"), F.array_sort(F.collect_set("lca")).alias("ancestors")
+        F.min(F.col("d1") + F.col("d2")).alias("steps"), F.min(15 - F.least("i1", "i2")).alias("depth_gap"), F.min(F.least("d1", "d2")).alias("shorter_leg"), F.array_sort(F.collect_set("lca")).alias("ancestors")
     )
 
 
+def distance_of(pairs: DataFrame, paths: DataFrame, measure: str = "shorter_leg") -> DataFrame:
+    """``pairs`` (a, b in any order) with their distance: 0 for a term with itself, null where a term has no path."""
+    keyed = pairs.withColumns({"t1": F.least("a", "b"), "t2": F.greatest("a", "b")})
+    found = pair_distances(paths, keyed.where("t1 <> t2")).select("t1", "t2", F.col(measure).alias("distance"))
+    return keyed.join(found, ["t1", "t2"], "left").withColumn("distance", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("distance"))).drop("t1", "t2")
+
+
 def closed_genes(closed: DataFrame, associations: DataFrame) -> DataFrame:
     """go_no, gene_no: genes of a term or of any term below it."""
     return associations.join(closed.withColumnRenamed("term", "go_no"), "go_no").select(F.col("ancestor").alias("go_no"), "gene_no").distinct()
@@ -86,25 +99,29 @@ def sources_only(candidates: DataFrame, closed: DataFrame) -> DataFrame:
 def without_parents(annotations: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Annotations (key, go_no) without those that have a child in the same record."""
     child = annotations.select(key, F.col("go_no").alias("child"))
-    parents = child.join(F.broadcast(edges), "child").select(key, F.col("parent").alias("go_no")).distinct()
+    parents = child.join(edges, "child").select(key, F.col("parent").alias("go_no")).distinct()
     return annotations.join(parents, [key, "go_no"], "left_anti")
 
 
-def judge(predictions: DataFrame, known: DataFrame, distances: DataFrame, depth: DataFrame, depth_cut: int) -> DataFrame:
-    """Distinct (gene_no, go_no) with is_correct (exact, deep enough), is_correct_l1 (equal or at jasmine distance 1),
+def judge(predictions: DataFrame, known: DataFrame, paths: DataFrame, depth_cut: int) -> DataFrame:
+    """Distinct (gene_no, go_no) with is_correct (exact, deep enough), is_correct_l1 (equal or with a shorter leg of 1),
     is_correct_lca (a common ancestor of depth >= cut) and lca (deepest such ancestors); -1 where the gene has no function.
+
+    Distances are computed for the pairs of a predicted and a known function that occur, not for all terms.
     """
+    depth = depths(paths)
     pairs = predictions.select("gene_no", "go_no").distinct()
     k = known.select("gene_no", F.col("go_no").alias("own"))
     met = pairs.join(k, "gene_no", "left").withColumns({"t1": F.least("go_no", "own"), "t2": F.greatest("go_no", "own")})
-    met = met.join(F.broadcast(distances), ["t1", "t2"], "left").join(F.broadcast(depth.select(F.col("term").alias("go_no"), "depth")), "go_no", "left")
+    distances = cut(pair_distances(paths, met.where("t1 < t2")), "distances")
+    met = met.join(distances, ["t1", "t2"], "left").join(depth.select(F.col("term").alias("go_no"), "depth"), "go_no", "left")
     same = F.col("go_no") == F.col("own")
     anc = F.explode_outer(F.when(same, F.array("own")).otherwise(F.col("ancestors")))
-    rows = met.select("gene_no", "go_no", "own", same.alias("same"), "jasmine", "depth", anc.alias("a")).join(F.broadcast(depth.select(F.col("term").alias("a"), F.col("depth").alias("a_depth"))), "a", "left")
+    rows = met.select("gene_no", "go_no", "own", same.alias("same"), "shorter_leg", "depth", anc.alias("a")).join(depth.select(F.col("term").alias("a"), F.col("depth").alias("a_depth")), "a", "left")
     out = rows.groupBy("gene_no", "go_no").agg(
         F.count("own").alias("n"),
         F.bool_or(F.col("same") & (F.col("depth") >= depth_cut)).alias("l0"),
-        F.bool_or(F.col("same") | (F.col("jasmine") == 1)).alias("l1"),
+        F.bool_or(F.col("same") | (F.col("shorter_leg") == 1)).alias("l1"),
         F.max("a_depth").alias("deepest"),
         F.collect_set(F.when(F.col("a_depth") >= depth_cut, F.struct("a_depth", "a"))).alias("lcas"),
     )

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netweft.operators.ranking import running_sums
+
 HALF_LOG_TAU = 0.9189385332046727
 
 
@@ -29,21 +31,45 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
+def _ratios(first: Column, last: Column, step: int, ratio) -> Column:
+    """1 + r(first) + r(first) r(first + step) + ... up to the term before ``last``: terms of a tail relative to its first one.
+    ``ratio(i)`` leads from term i to term i + step."""
+    more = F.when((last - first) * step >= 1, F.sequence(first.cast("int"), (last - step).cast("int"), F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+    def add(s: Column, i: Column) -> Column:
+        t = s["t"] * ratio(i.cast("double"))
+        return F.struct(t.alias("t"), (s["sum"] + t).alias("sum"))
+
+    return F.aggregate(more, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("sum")), add, lambda s: s["sum"])
+
+
 def hypergeometric_tail(x: Column, marked: Column, drawn: Column, total: Column) -> Column:
-    """P(X >= x) where ``drawn`` of ``total`` are taken and ``marked`` of the total carry the mark."""
-    low = F.greatest(x, F.lit(0), drawn - (total - marked)).cast("int")
-    high = F.least(drawn, marked).cast("int")
-    base = log_choose(total, drawn)
-    terms = F.aggregate(F.sequence(low, F.greatest(high, low)), F.lit(0.0), lambda s, i: s + F.exp(log_choose(marked, i) + log_choose(total - marked, drawn - i) - base))
-    return F.when(x <= F.greatest(F.lit(0), drawn - (total - marked)), 1.0).when(low > high, 0.0).otherwise(F.least(terms, F.lit(1.0)))
+    """P(X >= x) where ``drawn`` of ``total`` are taken and ``marked`` of the total carry the mark.
+
+    The tail away from the mean is summed, each term from the one before.
+    """
+    m, k, n = (c.cast("double") for c in (marked, drawn, total))
+    low, high = F.greatest(F.lit(0), drawn - (total - marked)), F.least(drawn, marked)
+    log_p = lambda i: log_choose(marked, i) + log_choose(total - marked, drawn - i) - log_choose(total, drawn)
+    up = F.exp(log_p(x)) * _ratios(x, high, 1, lambda i: (m - i) * (k - i) / ((i + 1) * (n - m - k + i + 1)))
+    down = F.exp(log_p(x - 1)) * _ratios(x - 1, low, -1, lambda i: i * (n - m - k + i) / ((m - i + 1) * (k - i + 1)))
+    return F.when(x <= low, 1.0).when(x > high, 0.0).when(x * n > m * k, F.least(up, F.lit(1.0))).otherwise(F.greatest(1 - down, F.lit(0.0)))
 
 
 def binomial_log_tail(x: Column, n: Column, p: Column) -> Column:
-    """ln P(X >= x) of a binomial."""
-    low = F.greatest(x, F.lit(0)).cast("int")
-    term = lambda i: F.exp(log_choose(n, i) + i * F.log(p) + (n - i) * F.log(1 - p))
-    tail = F.aggregate(F.sequence(low, F.greatest(n.cast("int"), low)), F.lit(0.0), lambda s, i: s + term(i))
-    return F.when(x <= 0, 0.0).when(x > n, F.lit(float("-inf"))).when(p <= 0, F.lit(float("-inf"))).when(p >= 1, 0.0).otherwise(F.log(F.least(tail, F.lit(1.0))))
+    """ln P(X >= x) of a binomial, from the tail away from the mean."""
+    size, odds = n.cast("double"), p / (1 - p)
+    up = binomial_log_density(x, n, p) + F.log(_ratios(x, n, 1, lambda i: (size - i) / (i + 1) * odds))
+    down = F.exp(binomial_log_density(x - 1, n, p)) * _ratios(x - 1, F.lit(0), -1, lambda i: i / ((size - i + 1) * odds))
+    inside = F.when(x > size * p, F.least(up, F.lit(0.0))).otherwise(F.log1p(-F.least(down, F.lit(1.0))))
+    return F.when(x <= 0, 0.0).when((x > n) | (p <= 0), F.lit(float("-inf"))).when(p >= 1, 0.0).otherwise(inside)
+
+
+def with_tail(rows: DataFrame, total: int, x: str = "x", m: str = "m", k: str = "k") -> DataFrame:
+    """``rows`` with p, the hypergeometric tail: computed once for each of the few distinct (x, m, k)."""
+    distinct = rows.select(x, m, k).distinct()
+    tail = hypergeometric_tail(F.col(x), F.col(m), F.col(k), F.lit(total).cast("long"))
+    return rows.join(distinct.withColumn("p", tail), [x, m, k])
 
 
 def binomial_log_density(x: Column, n: Column, p: Column) -> Column:
@@ -69,24 +95,20 @@ def enrichment(members: DataFrame, associations: DataFrame, total: int, leave_on
     k = members.groupBy("mcl_id").agg(F.count("*").alias("k"))
     local = members.join(associations, "gene_no").groupBy("mcl_id", "go_no").agg(F.count("*").alias("x"))
     scored = local.join(sizes, "go_no").join(k, "mcl_id")
-    n = F.lit(total).cast("long")
     if not leave_one_out:
-        return scored.select("mcl_id", "go_no", F.lit(None).cast("long").alias("gene_no"), "x", "m", "k", hypergeometric_tail(F.col("x"), F.col("m"), F.col("k"), n).alias("p"))
+        return with_tail(scored, total).select("mcl_id", "go_no", F.lit(None).cast("long").alias("gene_no"), "x", "m", "k", "p")
     has = associations.select("gene_no", "go_no", F.lit(1).alias("own"))
     each = scored.join(members, "mcl_id").join(has, ["gene_no", "go_no"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
     each = each.withColumns({"x": F.col("x") - F.col("own"), "m": F.col("m") - F.col("own")})
-    return each.select("mcl_id", "go_no", "gene_no", "x", "m", "k", hypergeometric_tail(F.col("x"), F.col("m"), F.col("k"), n).alias("p"))
+    return with_tail(each, total).select("mcl_id", "go_no", "gene_no", "x", "m", "k", "p")
 
 
 def two_sample_ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """d: largest distance of the two empirical distribution functions, by running sums over the distinct values."""
-    from pyspark.sql import Window
-
     both = a.select(F.col(value).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(F.col(value).alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))
     s = both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     n = s.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = s.select(F.sum("x").over(w).alias("cx"), F.sum("y").over(w).alias("cy")).crossJoin(F.broadcast(n))
+    run = running_sums(s, ["v"], ["x", "y"]).select(F.col("x").alias("cx"), F.col("y").alias("cy")).crossJoin(n)
     return run.agg(F.max(F.abs(F.col("cx") / F.col("nx") - F.col("cy") / F.col("ny"))).alias("d"))
 
 

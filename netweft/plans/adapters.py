@@ -34,7 +34,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Significant edges of each dataset: dataset_no, g1 < g2, n."""
     from netweft.operators.ranking import top_share
 
-    return top_share(edge_counts(spark, sf_dir), ["dataset_no"], [F.desc("n"), "g1", "g2"], 0.2)
+    return top_share(edge_counts(spark, sf_dir), ["dataset_no"], "n", ["g1", "g2"], 0.2)
 
 
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from netweft.plans import adapters as A
 from netweft.plans.registry import query
 
 SUPPORT = 2
+DATASETS = 28  # quarters that the order dates span
 
 
 @query("a1_graph_overlay", f"WITH {A.EDGES} SELECT g1, g2, count(*) AS recurrence FROM edge GROUP BY g1, g2 HAVING count(*) >= {SUPPORT}")
@@ -41,19 +42,19 @@ def lowest_weight(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s4_edge_vectors", f"WITH {A.EDGES} SELECT g1, g2, array_to_string(list_sort(list(dataset_no)), ' ') AS occ, CAST(count(*) AS BIGINT) AS support FROM edge GROUP BY g1, g2")
 def edge_vectors(spark: SparkSession, d: str) -> DataFrame:
-    v = graphs.edge_vectors(A.edges(spark, d), 28)
+    v = graphs.edge_vectors(A.edges(spark, d), DATASETS)
     return v.select("g1", "g2", F.array_join(F.transform("occ", lambda x: x.cast("string")), " ").alias("occ"), F.aggregate("sig", F.lit(0).cast("long"), lambda a, x: a + x).alias("support"))
 
 
 @query("f4_mask_encode", f"WITH {A.EDGES} SELECT g1, g2, CAST(sum(1::BIGINT << (dataset_no - 1)) AS BIGINT) AS mask FROM edge GROUP BY g1, g2")
 def mask(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.edge_vectors(A.edges(spark, d), 28).select("g1", "g2", arrays.encode_mask(F.col("occ")).alias("mask"))
+    return graphs.edge_vectors(A.edges(spark, d), DATASETS).select("g1", "g2", arrays.encode_mask(F.col("occ")).alias("mask"))
 
 
 @query("f5_mask_decode", f"WITH {A.EDGES} SELECT g1, g2, array_to_string(list_sort(list(dataset_no)), ',') AS positions FROM edge GROUP BY g1, g2")
 def unmask(spark: SparkSession, d: str) -> DataFrame:
-    m = graphs.edge_vectors(A.edges(spark, d), 28).select("g1", "g2", arrays.encode_mask(F.col("occ")).alias("mask"))
-    return m.select("g1", "g2", F.array_join(F.transform(arrays.decode_mask(F.col("mask"), 28), lambda x: x.cast("string")), ",").alias("positions"))
+    m = graphs.edge_vectors(A.edges(spark, d), DATASETS).select("g1", "g2", arrays.encode_mask(F.col("occ")).alias("mask"))
+    return m.select("g1", "g2", F.array_join(F.transform(arrays.decode_mask(F.col("mask"), DATASETS), lambda x: x.cast("string")), ",").alias("positions"))
 
 
 SIGNATURES = "sg AS (SELECT row_number() OVER (ORDER BY a, b) AS sig_id, a, b FROM (SELECT a.dataset_no AS a, b.dataset_no AS b FROM edge a JOIN edge b ON a.g1 = b.g1 AND a.g2 = b.g2 AND a.dataset_no < b.dataset_no GROUP BY ALL HAVING count(*) >= 4))"
@@ -86,8 +87,10 @@ def signature_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Edges of each signature, cut into connected components: one component run over (signature, vertex) ids."""
     e = A.edges(spark, d)
     se = graphs.signature_edges(pair_signatures(e), e)
-    comp = connected_components(se.select((F.col("sig_id") * 1000 + F.col("g1")).alias("a"), (F.col("sig_id") * 1000 + F.col("g2")).alias("b")))
-    flat = comp.select(F.floor(F.col("id") / 1000).alias("sig_id"), (F.col("id") % 1000).cast("int").alias("g"), (F.col("component") % 1000).cast("int").alias("component"))
+    packed = lambda g: F.col("sig_id") * F.lit(2**32) + F.col(g)
+    comp = connected_components(se.select(packed("g1").alias("a"), packed("g2").alias("b")))
+    low = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    flat = comp.select(F.shiftright("id", 32).alias("sig_id"), low("id").alias("g"), low("component").alias("component"))
     out = flat.groupBy("sig_id", "component").agg(F.count("*").alias("vertices"), F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda x: x.cast("string")), " ").alias("vertex_set"))
     return out.where("vertices >= 3")
 
@@ -207,7 +210,7 @@ def recurrence_array(spark: SparkSession, d: str) -> DataFrame:
 @query("a4_connectivity_by_dataset", f"WITH {RECURRENCE}, v AS (SELECT mcl_id, count(*) AS v FROM cl GROUP BY mcl_id) SELECT mcl_id, round(sum(hits) / 28 * 2 / any_value(v * (v - 1)), 6) AS connectivity FROM rec JOIN v USING (mcl_id) WHERE v > 1 GROUP BY mcl_id")
 def connectivity_by_dataset(spark: SparkSession, d: str) -> DataFrame:
     v = brand_clusters(spark, d).groupBy("mcl_id").agg(F.count("*").alias("v")).where("v > 1")
-    return recurrences(spark, d).groupBy("mcl_id").agg(F.sum("hits").alias("h")).join(v, "mcl_id").select("mcl_id", F.round(F.col("h") / 28 * 2 / (F.col("v") * (F.col("v") - 1)), 6).alias("connectivity"))
+    return recurrences(spark, d).groupBy("mcl_id").agg(F.sum("hits").alias("h")).join(v, "mcl_id").select("mcl_id", F.round(F.col("h") / DATASETS * 2 / (F.col("v") * (F.col("v") - 1)), 6).alias("connectivity"))
 
 
 @query("f9_recurrence_functor", f"WITH {RECURRENCE} SELECT mcl_id, round(sum(r), 5) AS plain, CAST(sum(CASE WHEN r >= 0.1 THEN 1 ELSE 0 END) AS DOUBLE) AS counted, round(sum(power(r, 2)), 7) AS powered FROM rec GROUP BY mcl_id")
@@ -243,11 +246,14 @@ def gene_incidence(spark: SparkSession, d: str) -> DataFrame:
     return c.join(present, "gene_no").groupBy("mcl_id", "dataset_no").agg(F.count("*").alias("n")).join(v, "mcl_id").select("mcl_id", "dataset_no", F.round(F.col("n") / F.col("v"), 6).alias("present"))
 
 
-@query("j15_second_order_pairs", f"WITH {A.EDGES}, o AS (SELECT g1, g2, list_sort(list(dataset_no)) AS s FROM edge GROUP BY g1, g2 HAVING count(*) >= 3) SELECT x.g1 AS a1, x.g2 AS a2, y.g1 AS b1, y.g2 AS b2, len(list_intersect(x.s, y.s)) AS shared FROM o x JOIN o y ON (x.g1, x.g2) < (y.g1, y.g2) AND x.g1 = y.g1")
+@query("j15_second_order_pairs", f"WITH {A.EDGES}, {CLUSTERS}, o AS (SELECT g1, g2, list_sort(list(dataset_no)) AS s FROM edge GROUP BY g1, g2 HAVING count(*) >= 3), ce AS (SELECT a.mcl_id, g1, g2, s FROM o JOIN cl a ON a.gene_no = g1 JOIN cl b ON b.gene_no = g2 AND a.mcl_id = b.mcl_id) SELECT x.mcl_id, x.g1 AS a1, x.g2 AS a2, y.g1 AS b1, y.g2 AS b2, len(list_intersect(x.s, y.s)) AS shared FROM ce x JOIN ce y ON x.mcl_id = y.mcl_id AND (x.g1, x.g2) < (y.g1, y.g2)")
 def second_order(spark: SparkSession, d: str) -> DataFrame:
-    o = graphs.edge_vectors(A.edges(spark, d), 28).where("size(occ) >= 3")
-    x, y = o.select("g1", F.col("g2").alias("a2"), F.col("occ").alias("s")), o.select("g1", F.col("g2").alias("b2"), F.col("occ").alias("t"))
-    return x.join(y, "g1").where("a2 < b2").select(F.col("g1").alias("a1"), "a2", F.col("g1").alias("b1"), "b2", F.size(F.array_intersect("s", "t")).cast("long").alias("shared"))
+    """All pairs of a cluster's edges, with the datasets in which both are significant."""
+    o = graphs.edge_vectors(A.edges(spark, d), DATASETS).where("size(occ) >= 3").select("g1", "g2", "occ")
+    inside = graphs.cluster_edges(brand_clusters(spark, d), o)
+    x, y = (inside.select("mcl_id", F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"), F.col("occ").alias(f"s{k}")) for k in "ab")
+    pairs = x.join(y, "mcl_id").where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
+    return pairs.select("mcl_id", "a1", "a2", "b1", "b2", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
 
 
 @query("f7_vertex_set", f"WITH {A.EDGES} SELECT dataset_no, string_agg(g::VARCHAR, ' ' ORDER BY g) AS vertices FROM (SELECT dataset_no, g1 AS g FROM edge UNION SELECT dataset_no, g2 FROM edge) GROUP BY dataset_no")

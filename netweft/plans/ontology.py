@@ -32,13 +32,13 @@ def depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 DISTANCES = """pp AS (SELECT a.term AS t1, b.term AS t2, a.path AS p1, b.path AS p2, CASE WHEN len(a.path) <= len(b.path) THEN list_filter(a.path, lambda x: list_contains(b.path, x))[-1] ELSE list_filter(b.path, lambda x: list_contains(a.path, x))[-1] END AS lca FROM pth a JOIN pth b ON a.term < b.term),
-ds AS (SELECT t1, t2, CAST(min(len(p1) - list_position(p1, lca) + len(p2) - list_position(p2, lca)) AS BIGINT) AS raw, CAST(min(15 - least(list_position(p1, lca), list_position(p2, lca))) AS BIGINT) AS lee,
-CAST(min(least(len(p1) - list_position(p1, lca), len(p2) - list_position(p2, lca))) AS BIGINT) AS jasmine, list_sort(list(DISTINCT lca)) AS ancestors FROM pp GROUP BY t1, t2)"""
+ds AS (SELECT t1, t2, CAST(min(len(p1) - list_position(p1, lca) + len(p2) - list_position(p2, lca)) AS BIGINT) AS steps, CAST(min(15 - least(list_position(p1, lca), list_position(p2, lca))) AS BIGINT) AS depth_gap,
+CAST(min(least(len(p1) - list_position(p1, lca), len(p2) - list_position(p2, lca))) AS BIGINT) AS shorter_leg, list_sort(list(DISTINCT lca)) AS ancestors FROM pp GROUP BY t1, t2)"""
 
 
-@query("o3_pair_distances", f"{HEAD}, {DISTANCES} SELECT t1, t2, raw, lee, jasmine, array_to_string(ancestors, ' ') AS ancestors FROM ds")
+@query("o3_pair_distances", f"{HEAD}, {DISTANCES} SELECT t1, t2, steps, depth_gap, shorter_leg, array_to_string(ancestors, ' ') AS ancestors FROM ds")
 def pair_distances(spark: SparkSession, d: str) -> DataFrame:
-    return O.pair_distances(paths(spark)).select("t1", "t2", *[F.col(c).cast("long").alias(c) for c in ("raw", "lee", "jasmine")], text("ancestors").alias("ancestors"))
+    return O.pair_distances(paths(spark)).select("t1", "t2", *[F.col(c).cast("long").alias(c) for c in ("steps", "depth_gap", "shorter_leg")], text("ancestors").alias("ancestors"))
 
 
 @query("o5_closed_genes", f"{HEAD}, {SIZES} SELECT go_no, size FROM sz")
@@ -87,10 +87,10 @@ def without_parents(spark: SparkSession, d: str) -> DataFrame:
 
 
 JUDGE = f"""{ANNOT}, kn AS (SELECT probe AS gene_no, go_no AS own FROM an WHERE probe % 4 <> 0), pd AS (SELECT DISTINCT l_orderkey AS gene_no, CAST(l_quantity AS INT) AS go_no FROM lineitem WHERE l_linenumber = 1),
-j AS (SELECT p.gene_no, p.go_no, own, jasmine, depth, CASE WHEN p.go_no = own THEN [own] ELSE ancestors END AS anc FROM pd p LEFT JOIN kn USING (gene_no) LEFT JOIN ds ON t1 = least(p.go_no, own) AND t2 = greatest(p.go_no, own) LEFT JOIN dep ON term = p.go_no),
+j AS (SELECT p.gene_no, p.go_no, own, shorter_leg, depth, CASE WHEN p.go_no = own THEN [own] ELSE ancestors END AS anc FROM pd p LEFT JOIN kn USING (gene_no) LEFT JOIN ds ON t1 = least(p.go_no, own) AND t2 = greatest(p.go_no, own) LEFT JOIN dep ON term = p.go_no),
 ja AS (SELECT gene_no, go_no, depth AS d FROM (SELECT gene_no, go_no, unnest(anc) AS a FROM j) JOIN dep ON term = a), jd AS (SELECT gene_no, go_no, max(d) AS deepest FROM ja GROUP BY ALL)
 SELECT gene_no, go_no, CASE WHEN count(own) = 0 THEN -1 ELSE CAST(coalesce(bool_or(go_no = own AND depth >= 3), false) AS INT) END AS is_correct,
-CASE WHEN count(own) = 0 THEN -1 ELSE CAST(coalesce(bool_or(go_no = own OR jasmine = 1), false) AS INT) END AS is_correct_l1,
+CASE WHEN count(own) = 0 THEN -1 ELSE CAST(coalesce(bool_or(go_no = own OR shorter_leg = 1), false) AS INT) END AS is_correct_l1,
 CASE WHEN count(own) = 0 THEN -1 ELSE CAST(coalesce(max(deepest) >= 3, false) AS INT) END AS is_correct_lca FROM j LEFT JOIN jd USING (gene_no, go_no) GROUP BY gene_no, go_no"""
 
 
@@ -99,7 +99,7 @@ def judge(spark: SparkSession, d: str) -> DataFrame:
     p = paths(spark)
     predicted = A.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no"))
     known = annotations(spark, d).where("probe % 4 <> 0").withColumnRenamed("probe", "gene_no")
-    return O.judge(predicted, known, O.pair_distances(p), O.depths(p), 3).drop("lca")
+    return O.judge(predicted, known, p, 3).drop("lca")
 
 
 @query("o19_common_ancestors", f"{HEAD} SELECT ancestor AS go_no, count(*) AS terms FROM clo WHERE term IN (12, 18, 30, 50) GROUP BY ancestor")
@@ -113,11 +113,13 @@ def subgraph(spark: SparkSession, d: str) -> DataFrame:
     return A.term_edges(spark).join(below, "parent", "left_semi").select("parent", "child")
 
 
-@query("o21_common_prefix", f"{HEAD} SELECT a.term AS t1, b.term AS t2, max(CAST(len(list_filter(list_zip(a.path, b.path), lambda p: p[1] = p[2])) AS BIGINT)) AS shared FROM pth a JOIN pth b ON a.term < b.term AND len(a.path) = 2 AND len(b.path) = 2 GROUP BY ALL")
+@query("o21_common_prefix", f"{HEAD} SELECT a.term AS t1, b.term AS t2, max(CAST(len(list_filter(list_zip(a.path, b.path), lambda p: p[1] = p[2])) AS BIGINT)) AS shared FROM pth a JOIN pth b ON a.term < b.term AND len(a.path) = 3 AND len(b.path) = 3 AND a.path[1:2] = b.path[1:2] GROUP BY ALL")
 def common_prefix(spark: SparkSession, d: str) -> DataFrame:
-    p = paths(spark).where("size(path) = 2")
-    a, b = p.select(F.col("term").alias("t1"), F.col("path").alias("p1"), F.lit(1).alias("k")), p.select(F.col("term").alias("t2"), F.col("path").alias("p2"), F.lit(1).alias("k"))
-    return a.join(b, "k").where("t1 < t2").groupBy("t1", "t2").agg(F.max(O.common_prefix(F.col("p1"), F.col("p2"))).cast("long").alias("shared"))
+    """Paths of one length that share their first terms meet in the longest common beginning; the last terms differ, so all
+    pairs of a beginning are those that the join on it makes."""
+    p = paths(spark).where("size(path) = 3").withColumn("head", F.slice("path", 1, 2))
+    a, b = p.select(F.col("term").alias("t1"), F.col("path").alias("p1"), "head"), p.select(F.col("term").alias("t2"), F.col("path").alias("p2"), "head")
+    return a.join(b, "head").where("t1 < t2").groupBy("t1", "t2").agg(F.max(O.common_prefix(F.col("p1"), F.col("p2"))).cast("long").alias("shared"))
 
 
 GENES = "(SELECT count(*) FROM part)"
@@ -131,37 +133,36 @@ def cluster_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return e.select("mcl_id", "go_no", "x", "m", "k", F.round("p", 6).alias("p"))
 
 
-@query("t1_leave_one_out_enrichment", f"{ENRICH}, e AS (SELECT c.mcl_id, c.go_no, gene_no, x - (a.gene_no IS NOT NULL)::INT AS x, m - (a.gene_no IS NOT NULL)::INT AS m, k, n FROM c JOIN mem USING (mcl_id) LEFT JOIN assoc a USING (gene_no, go_no) WHERE c.mcl_id < 20) SELECT mcl_id, go_no, gene_no, round({TAIL}, 6) AS p FROM e")
+@query("t1_leave_one_out_enrichment", f"{ENRICH}, e AS (SELECT c.mcl_id, c.go_no, gene_no, x - (a.gene_no IS NOT NULL)::INT AS x, m - (a.gene_no IS NOT NULL)::INT AS m, k, n FROM c JOIN mem USING (mcl_id) LEFT JOIN assoc a USING (gene_no, go_no)) SELECT mcl_id, go_no, gene_no, round({TAIL}, 6) AS p FROM e")
 def loo_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    m = A.members(spark, d).where("mcl_id < 20")
-    return T.enrichment(m, A.associations(spark, d), A.table(spark, d, "part").count()).select("mcl_id", "go_no", "gene_no", F.round("p", 6).alias("p"))
+    return T.enrichment(A.members(spark, d), A.associations(spark, d), A.table(spark, d, "part").count()).select("mcl_id", "go_no", "gene_no", F.round("p", 6).alias("p"))
 
 
 @query("t4_interaction_enrichment", f"{ENRICH.replace('count(*) AS x FROM', 'count(*) + 1 AS x FROM')} SELECT mcl_id, go_no, round(CASE WHEN {TAIL} < 1e-9 THEN -99 ELSE ln({TAIL}) END, 5) AS log_p FROM c")
 def interaction_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """Tail above x: the same sum from x + 1 on, as a logarithm (-99 where it is below 1e-9)."""
-    e = T.enrichment(A.members(spark, d), A.associations(spark, d), n := A.table(spark, d, "part").count(), leave_one_out=False)
-    p = T.hypergeometric_tail(F.col("x") + 1, F.col("m"), F.col("k"), F.lit(n).cast("long"))
-    return e.select("mcl_id", "go_no", F.round(F.when(p < 1e-9, -99.0).otherwise(F.log(p)), 5).alias("log_p"))
+    n = A.table(spark, d, "part").count()
+    e = T.enrichment(A.members(spark, d), A.associations(spark, d), n, leave_one_out=False).drop("p").withColumn("x", F.col("x") + 1)
+    return T.with_tail(e, n).select("mcl_id", "go_no", F.round(F.when(F.col("p") < 1e-9, -99.0).otherwise(F.log("p")), 5).alias("log_p"))
 
 
-@query("t7_binomial_tail", f"WITH {A.PREDICTIONS}, c AS (SELECT go_no, count(*) FILTER (is_correct = 1) AS x, count(*) AS n FROM pred WHERE mcl_id < 50 GROUP BY go_no) SELECT go_no, x, n, round(ln(least(1.0, CASE WHEN x = 0 THEN 1.0 ELSE list_sum(list_transform(range(x, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7)))) END)), 5) AS log_p FROM c")
+@query("t7_binomial_tail", f"WITH {A.PREDICTIONS}, c AS (SELECT go_no, count(*) FILTER (is_correct = 1) AS x, count(*) AS n FROM pred GROUP BY go_no) SELECT go_no, x, n, round(ln(least(1.0, CASE WHEN x = 0 THEN 1.0 ELSE list_sum(list_transform(range(x, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7)))) END)), 5) AS log_p FROM c")
 def binomial_tail(spark: SparkSession, d: str) -> DataFrame:
-    c = A.predictions(spark, d).where("mcl_id < 50").groupBy("go_no").agg(F.count_if(F.col("is_correct") == 1).alias("x"), F.count("*").alias("n"))
+    c = A.predictions(spark, d).groupBy("go_no").agg(F.count_if(F.col("is_correct") == 1).alias("x"), F.count("*").alias("n"))
     return c.select("go_no", "x", "n", F.round(T.binomial_log_tail(F.col("x"), F.col("n"), F.lit(0.3)), 5).alias("log_p"))
 
 
-@query("t6_binomial_ratio", f"WITH {A.PREDICTIONS}, c AS (SELECT go_no, count(*) FILTER (is_correct = 1) AS x, count(*) AS n FROM pred WHERE mcl_id < 50 GROUP BY go_no) SELECT go_no, round(x * ln(0.4) + (n - x) * ln(0.6) - x * ln(0.3) - (n - x) * ln(0.7), 5) AS ratio FROM c")
+@query("t6_binomial_ratio", f"WITH {A.PREDICTIONS}, c AS (SELECT go_no, count(*) FILTER (is_correct = 1) AS x, count(*) AS n FROM pred GROUP BY go_no) SELECT go_no, round(x * ln(0.4) + (n - x) * ln(0.6) - x * ln(0.3) - (n - x) * ln(0.7), 5) AS ratio, round(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(0.4) + (n - x) * ln(0.6), 4) AS log_density FROM c")
 def binomial_ratio(spark: SparkSession, d: str) -> DataFrame:
-    c = A.predictions(spark, d).where("mcl_id < 50").groupBy("go_no").agg(F.count_if(F.col("is_correct") == 1).alias("x"), F.count("*").alias("n"))
-    return c.select("go_no", F.round(T.binomial_log_density(F.col("x"), F.col("n"), F.lit(0.4)) - T.binomial_log_density(F.col("x"), F.col("n"), F.lit(0.3)), 5).alias("ratio"))
+    c = A.predictions(spark, d).groupBy("go_no").agg(F.count_if(F.col("is_correct") == 1).alias("x"), F.count("*").alias("n"))
+    return c.select("go_no", F.round(T.binomial_log_density(F.col("x"), F.col("n"), F.lit(0.4)) - T.binomial_log_density(F.col("x"), F.col("n"), F.lit(0.3)), 5).alias("ratio"), F.round(T.binomial_log_density(F.col("x"), F.col("n"), F.lit(0.4)), 4).alias("log_density"))
 
 
-@query("t9_fisher_exact", f"WITH {A.PREDICTIONS}, c AS (SELECT go_no, count(*) FILTER (is_correct = 1 AND p_value <= 0.05) AS a, count(*) FILTER (is_correct = 1 AND p_value > 0.05) AS b, count(*) FILTER (is_correct = 0 AND p_value <= 0.05) AS c, count(*) FILTER (is_correct = 0 AND p_value > 0.05) AS d FROM pred WHERE mcl_id < 25 GROUP BY go_no), q AS (SELECT go_no, a, a + b AS r, a + c AS k, a + b + c + d AS n FROM c), l AS (SELECT *, list_transform(range(greatest(0, k - (n - r)), least(r, k) + 1), lambda i: lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(k - i + 1) - lgamma(n - r - k + i + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) AS lp FROM q) SELECT go_no, round(least(1.0, list_sum(list_transform(list_filter(lp, lambda v: v <= lp[a - greatest(0, k - (n - r)) + 1] + ln(1.0000001)), lambda v: exp(v)))), 6) AS p FROM l")
+@query("t9_fisher_exact", f"WITH {A.PREDICTIONS}, c AS (SELECT go_no, count(*) FILTER (is_correct = 1 AND p_value <= 0.05) AS a, count(*) FILTER (is_correct = 1 AND p_value > 0.05) AS b, count(*) FILTER (is_correct = 0 AND p_value <= 0.05) AS c, count(*) FILTER (is_correct = 0 AND p_value > 0.05) AS d FROM pred GROUP BY go_no), q AS (SELECT go_no, a, a + b AS r, a + c AS k, a + b + c + d AS n FROM c), l AS (SELECT *, list_transform(range(greatest(0, k - (n - r)), least(r, k) + 1), lambda i: lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(k - i + 1) - lgamma(n - r - k + i + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) AS lp FROM q) SELECT go_no, round(least(1.0, list_sum(list_transform(list_filter(lp, lambda v: v <= lp[a - greatest(0, k - (n - r)) + 1] + ln(1.0000001)), lambda v: exp(v)))), 6) AS p FROM l")
 def fisher(spark: SparkSession, d: str) -> DataFrame:
     ok, low = F.col("is_correct") == 1, F.col("p_value") <= 0.05
     no = F.col("is_correct") == 0
-    c = A.predictions(spark, d).where("mcl_id < 25").groupBy("go_no").agg(F.count_if(ok & low).alias("a"), F.count_if(ok & ~low).alias("b"), F.count_if(no & low).alias("c"), F.count_if(no & ~low).alias("d"))
+    c = A.predictions(spark, d).groupBy("go_no").agg(F.count_if(ok & low).alias("a"), F.count_if(ok & ~low).alias("b"), F.count_if(no & low).alias("c"), F.count_if(no & ~low).alias("d"))
     return c.select("go_no", F.round(T.fisher_two_sided(*[F.col(x) for x in "abcd"]), 6).alias("p"))
 
 
@@ -185,6 +186,5 @@ def factor_pairs(spark: SparkSession, d: str) -> DataFrame:
     both = bs.join(bs.withColumnRenamed("b1", "b2"), "gene_no").where("b1 < b2")
     m = A.members(spark, d)
     overall = both.groupBy("b1", "b2").agg(F.count("*").alias("m"))
-    local = m.join(both, "gene_no").groupBy("mcl_id", "b1", "b2").agg(F.count("*").alias("x")).join(F.broadcast(overall), ["b1", "b2"]).join(m.groupBy("mcl_id").agg(F.count("*").alias("k")), "mcl_id")
-    n = F.lit(A.table(spark, d, "part").count()).cast("long")
-    return local.select("mcl_id", "b1", "b2", "x", F.round(T.hypergeometric_tail(F.col("x"), F.col("m"), F.col("k"), n), 6).alias("p"))
+    local = m.join(both, "gene_no").groupBy("mcl_id", "b1", "b2").agg(F.count("*").alias("x")).join(overall, ["b1", "b2"]).join(m.groupBy("mcl_id").agg(F.count("*").alias("k")), "mcl_id")
+    return T.with_tail(local, A.table(spark, d, "part").count()).select("mcl_id", "b1", "b2", "x", F.round("p", 6).alias("p"))

@@ -21,7 +21,39 @@ def transaction_lines(vectors: DataFrame, with_length: bool = False) -> DataFram
 
 
 def cluster_lines(clusters: DataFrame) -> DataFrame:
-    """``(v;v;)``, a tab, and ``{(a,b );(a,b );}`` of vertex_set and edge_set."""
+    """``(v;v;)``, a tab, and ``{(a,b );(a,b );}`` of vertex_set and edge_set, whose edges have g1 and g2."""
     v = F.concat(F.lit("("), F.array_join(F.transform("vertex_set", lambda x: F.concat(x.cast("string"), F.lit(";"))), ""), F.lit(")"))
     e = F.array_join(F.transform("edge_set", lambda x: F.format_string("(%d,%d );", x["g1"], x["g2"])), "")
     return clusters.select(F.concat(v, F.lit("\t{"), e, F.lit("}")).alias("value"))
+
+
+def list_lines(rows: DataFrame) -> DataFrame:
+    """Every row as a bracketed list that other programs read: texts in quotes, arrays as inner lists, nulls as [] (K8)."""
+    def one(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind.startswith("array"):
+            shown = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
+        else:
+            shown = F.concat(F.lit("'"), F.regexp_replace(c, "'", "\\\\'"), F.lit("'")) if kind == "string" else c.cast("string")
+        return F.coalesce(shown, F.lit("[]"))
+
+    return rows.select(F.concat(F.lit("["), F.concat_ws(", ", *[one(n, k) for n, k in rows.dtypes]), F.lit("],")).alias("value"))
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Predictions as CSV with a head line in each part; arrays are joined by blanks (K9)."""
+    flat = predictions.select(*[F.array_join(F.transform(n, lambda x: x.cast("string")), " ").alias(n) if k.startswith("array") else F.col(n) for n, k in predictions.dtypes])
+    flat.write.option("header", True).csv(path)
+
+
+def matrix_lines(edges: DataFrame) -> DataFrame:
+    """Adjacency lines ``v  n1:w n2:w ... $`` of every vertex, the input of flow clustering."""
+    both = edges.select(F.col("g1").alias("u"), F.col("g2").alias("v"), "weight").unionByName(edges.select(F.col("g2").alias("u"), F.col("g1").alias("v"), "weight"))
+    rows = both.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("v", "weight"))).alias("n"))
+    shown = F.array_join(F.transform("n", lambda x: F.concat(x["v"].cast("string"), F.lit(":"), x["weight"].cast("string"))), " ")
+    return rows.select(F.concat(F.col("u").cast("string"), F.lit("  "), shown, F.lit(" $")).alias("value"))
+
+
+def itemset_lines(clusters: DataFrame) -> DataFrame:
+    """Sorted vertex sets, one a line, by blanks: the input of frequent itemset programs."""
+    return clusters.select(F.array_join(F.transform(F.array_sort("vertex_set"), lambda x: x.cast("string")), " ").alias("value"))
