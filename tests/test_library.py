@@ -6,6 +6,9 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from netweft.functions import arrays
 from netweft.operators import correlation
 from netweft.operators.components import connected_components
 from netweft.plans import catalogue
@@ -47,7 +50,7 @@ def test_gene_pairs_do_not_depend_on_blocks(spark):
     rng = np.random.default_rng(4)
     rows = [(d, g, [float(v) for v in rng.normal(size=9)]) for d in range(2) for g in range(20)]
     df = spark.createDataFrame(rows, "dataset_no int, gene_no long, v array<double>")
-    one, many = (sorted((r["dataset_no"], r["g1"], r["g2"], round(r["min_cor"], 9), round(r["mean"], 9)) for r in correlation.gene_pairs(df, k).collect()) for k in (1, 3))
+    one, many = (sorted((r["dataset_no"], r["g1"], r["g2"], round(r["min_cor"], 9), round(r["mean"], 9)) for r in correlation.gene_pairs(df, blocks=k).collect()) for k in (1, 3))
     assert one == many
     assert len(one) == 2 * 190
 
@@ -62,10 +65,12 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_recurrence_golden():
-    """Share of a pattern's edges that are significant in each dataset."""
-    sig = np.array([[1, 0, 1, 1, 1, 0, 1, 0, 1, 0], [1, 1, 0, 1, 1, 0, 0, 1, 1, 0], [1, 0, 0, 1, 1, 0, 0, 0, 1, 1], [1, 0, 0, 1, 1, 1, 0, 0, 0, 0], [0, 1, 0, 1, 1, 1, 1, 0, 0, 0], [0, 1, 0, 1, 0, 1, 0, 0, 1, 0]])
-    assert np.allclose(sig.mean(axis=0), [0.666667, 0.5, 0.166667, 1, 0.833333, 0.5, 0.333333, 0.166667, 0.666667, 0.166667], atol=1e-6)
+def test_recurrence_kinds(spark):
+    """Sums of a recurrence array as it is, counted by a threshold, and powered; its 0/1 form."""
+    df = spark.createDataFrame([([0.5, 0.9, 0.8, 0.0],)], "r array<double>")
+    r = F.col("r")
+    got = df.select(arrays.recurrence(r), arrays.recurrence(r, 1, 0.8), arrays.recurrence(r, 2, 2.0), arrays.binarise(r, 0.8)).first()
+    assert math.isclose(got[0], 2.2) and got[1] == 2.0 and math.isclose(got[2], 0.25 + 0.81 + 0.64) and got[3] == [0, 1, 1, 0]
 
 
 def same(v):
@@ -78,7 +83,8 @@ def same(v):
 
 CHOSEN = [
     "a1_graph_overlay", "a10_function_genes", "a14_cumulative_cells", "c1_pearson", "c6_correlation_graph", "f4_mask_encode", "g1_connected_components", "g12_triangles", "i2_signature_patterns",
-    "j13_signature_containment", "o2_depth", "o3_pair_distances", "o6_informative_nodes", "o19_common_ancestors", "t3_cluster_enrichment", "t9_fisher_exact", "u2_prune_united", "w4_best_prediction", "w9_cut_off",
+    "j13_signature_containment", "j15_second_order_pairs", "o2_depth", "o3_pair_distances", "o12_judge", "o14_related_predictions", "p13_factor_hits", "p17_systematic_sample", "s25_gene_numbers",
+    "t2_cluster_scan", "t7_binomial_tail", "t11_edge_gradient", "t12_vertex_gradient", "w10_bisected_cut_off", "f16_mismatches", "f18_sequence_segments", "o6_informative_nodes", "o19_common_ancestors", "t3_cluster_enrichment", "t9_fisher_exact", "u2_prune_united", "w4_best_prediction", "w9_cut_off",
 ]
 
 
