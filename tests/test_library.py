@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def test_recurrence_kinds(spark):
 def same(v):
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(same(x) for x in v)
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     return float(f"{float(v):.6g}") if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
 
