@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from netweft.functions import arrays
 from netweft.operators.ranking import top_by_bins
+from netweft.operators.tables import cut
 
 UNDEFINED = 1.1  # fixed value: what stands for a correlation without variance
 JK_CUT_OFF = 7
@@ -176,6 +177,7 @@ def top_correlations(expression: DataFrame, share: float = 0.01, blocks: int | N
     bounds = {r["dataset_no"]: r["bin"] for r in needed.groupBy("dataset_no").agg(F.min("bin").alias("bin")).collect()}  # one a dataset
     keep = lambda found, dataset: bin_of(found["min_cor"]) >= bounds.get(dataset, np.inf)
     c = gene_pairs(expression, ("min_cor",), keep, blocks).select("dataset_no", "g1", "g2", F.round("min_cor", 9).alias("cor")).join(sizes, "dataset_no")
+    c = cut(c, "pairs")  # the top is read off several times
     return top_by_bins(c, ["dataset_no", "top"], F.col("cor"), ["g1", "g2"], F.col("top"), scale).select("dataset_no", "g1", "g2", "cor")
 
 
