@@ -45,7 +45,7 @@ from netweft.operators.tables import cut
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 WORD_SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 BLOCK_TOKENS = 1_000_000
-OWNER_TOKENS = 4_000_000
+OWNER_TOKENS = 2_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         cache = self.words
-        if len(cache) > 500_000:
+        if len(cache) > 300_000:
             cache.clear()
         while True:
             try:
@@ -135,7 +135,7 @@ def _sets(size: int, owners: int):
                 rid = part << 33 | row
                 row += 1
                 rep = seen.setdefault(same, rid)
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 meta.append((rid, ids[k], len(own), same, rep, keys[k]))
                 if rep == rid:
@@ -447,6 +447,7 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
     heads = tokens.groupBy("token", "n").agg(F.min("rid").alias("m"), F.count("*").alias("c"))
     following = Window.partitionBy("token").orderBy("n")
     heads = heads.withColumn("next", F.lead("n").over(following)).withColumn("after", F.lead("m").over(following))
+    heads = cut(heads, "ngram-heads")  # so that the join below can split a token with very many sets
     chained = heads.where(F.expr(f"100 * n >= {percent} * next and m <> after")).select(F.col("m").alias("a"), F.col("after").alias("b"))
     same = tokens.join(heads.where("c > 1").select("token", "n", "m"), ["token", "n"]).where("rid <> m").select(F.col("rid").alias("a"), F.col("m").alias("b"))
     return same.unionByName(chained).distinct()
