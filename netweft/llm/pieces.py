@@ -39,6 +39,7 @@ from itertools import chain
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,7 +211,9 @@ def cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     power = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((given + np.uint64(1)) * power[:n], out=sums[1:])
-    _, first, index = np.unique((sums[ends] - sums[begins]) * power[n - begins], return_index=True, return_inverse=True)
+    index, distinct = pd.factorize((sums[ends] - sums[begins]) * power[n - begins])
+    first = np.zeros(len(distinct), np.int64)
+    first[index[::-1]] = np.arange(len(index) - 1, -1, -1)
     sizes = ends - begins
     same = np.repeat(begins[first[index]] - begins, sizes)
     same += np.arange(n)
