@@ -40,3 +40,16 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` once all that was computed from them is written."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            drop(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that the driver holds no more: its cleaner follows collections."""
+    spark._jvm.System.gc()
