@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from netweft.llm.common import materialise
 from netweft.operators.components import connected_components
-from netweft.operators.tables import cut
+from netweft.operators.tables import cut, discard, release
 
 #: Lower-cases A-Z and maps the blanks to a space; other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
@@ -453,18 +453,25 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
     return same.unionByName(chained).distinct()
 
 
+def _set_table(docs: DataFrame, size: int, percent: int, key: str | None) -> DataFrame:
+    """The sets as a written table; the shuffles that made it may go."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(key) if key else F.lit(0)).cast("long").alias("row"))
+    chars = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    owners = max(4, -(-chars // (6 * OWNER_TOKENS)))  # about six bytes a word
+    blocks = max(4, -(-chars // (6 * BLOCK_TOKENS)))
+    packed = given.mapInArrow(_sets(size, owners), PACKED).repartition(owners, "target").mapInArrow(_count, PACKED)
+    return materialise(packed.repartition(blocks, "block").mapInArrow(_filter(percent), SETS), "ngram-sets")
+
+
 def classes(docs: DataFrame, size: int = 4, percent: int = 85, most: int = 1_000, room: int = 16_000_000, key: str | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     If a ``key`` (a long) is named, it comes too, and ``kept``: true for one row of each class, the one with the smallest
     doc_id (nulls last), of equal ids the one with the smallest key.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(key) if key else F.lit(0)).cast("long").alias("row"))
-    chars = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    owners = max(4, -(-chars // (6 * OWNER_TOKENS)))  # about six bytes a word
-    blocks = max(4, -(-chars // (6 * BLOCK_TOKENS)))
-    packed = given.mapInArrow(_sets(size, owners), PACKED).repartition(owners, "target").mapInArrow(_count, PACKED)
-    sets = materialise(packed.repartition(blocks, "block").mapInArrow(_filter(percent), SETS), "ngram-sets")
+    spark = docs.sparkSession
+    sets = _set_table(docs, size, percent, key)
+    release(spark)
 
     left = sets.where("shared is not null").select("rid", "n", "key", "prefix", "shared")
     first = cut(left.groupBy("key").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.min(F.octet_length("shared")).alias("bytes")), "ngram-first")
@@ -490,6 +497,8 @@ def classes(docs: DataFrame, size: int = 4, percent: int = 85, most: int = 1_000
     # written, so that the join below can split a root with very many rows
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     names = materialise(whole.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min_by("row", order).alias("keep")), "ngram-names")
+    discard(sets, first, tokens, comps)
+    release(spark)
     named = whole.join(names, "root")
     more = [F.col("row").alias(key), (F.col("row") == F.col("keep")).alias("kept")] if key else []
     return named.select("doc_id", "n_shingles", "component_id", *more)
