@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweft.llm import chat, decontaminate, exact, html_text, ngram_join, pieces, pii, quality, shards, toxicity
+from netweft.llm import chat, codes, decontaminate, exact, html_text, infill, language, ngram_join, pieces, pii, quality, shards, toxicity
 from netweft.llm.common import table
 
 
@@ -54,6 +54,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(*codes.encode(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,12 +84,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_pieces": op9_pieces,
     "op10_html": op10_html,
+    "op11_infill": op11_infill,
+    "op12_language": op12_language,
+    "op13_codes": op13_codes,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact": exact.ORACLE,
     "op7_ngram_join": ngram_join.ORACLE,
+    "op11_infill": infill.ORACLE,
+    "op13_codes": codes.ORACLE,
     "op5_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
