@@ -2,8 +2,9 @@
 
 Every stage takes the documents that the stage before kept and returns documents; the last returns their encodings.
 
-A stage decides by row, not by doc_id: rows are packed into a struct that passes through the operator, or get a key in a
-written table that the operator's verdict is joined on. Defined results: rows with a null doc_id or a repeated one are
+A stage decides by row, not by doc_id: rows are packed into a struct that passes through the operator, or have a key that the
+operator's verdict is joined on. Where documents are read from Parquet, as between the stages, the key is the row's place in
+its file, which needs no second copy of the texts; other DataFrames are written with keys first. Defined results: rows with a null doc_id or a repeated one are
 documents like any others; null texts are empty; all empty texts are one group of exact duplicates, of which one stays, and
 have no shingles, so no near duplicates; of rows equal in text and id one stays; columns of documents may have any names
 besides doc_id and text and come out as they were; an empty table gives no rows.
@@ -11,13 +12,16 @@ besides doc_id and text and come out as they were; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweft.llm import decontaminate, exact, ngram_join, pieces, toxicity
 from netweft.llm.common import materialise, table
+from netweft.operators.tables import cut, discard
 
 KEY, DOC = "row_key", "document"
 
@@ -28,16 +32,31 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """KEY and the packed row, written, so that a key stays with its row."""
-    return materialise(_packed(docs).withColumn(KEY, F.monotonically_increasing_id()), name)
+    """The packed row and its KEY: number of the file (names are as many as files, and on the driver anyway) and row in it."""
+    files = [] if "_metadata" in docs.columns else sorted(set(docs.inputFiles()))
+    try:
+        placed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(DOC), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:  # no Parquet
+        files = []
+    if not files:
+        return materialise(_packed(docs).withColumn(KEY, F.monotonically_increasing_id()), name)
+    # file:/x and file:///x are one file
+    numbers = docs.sparkSession.createDataFrame([(re.sub("^([^/:]+):/+", r"\1:/", f), i) for i, f in enumerate(files)], "path string, file long")
+    placed = placed.withColumn("path", F.regexp_replace("path", "^([^/:]+):/+", "$1:/"))
+    number = F.coalesce("file", F.raise_error(F.concat(F.lit("no such input file: "), "path")))
+    key = F.shiftleft(number, 40) + F.col("at")
+    return placed.join(F.broadcast(numbers), "path", "left").select("doc_id", "text", DOC, key.alias(KEY))
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
     return rows.select(F.col(f"`{DOC}`.*"))
 
 
-def _kept(keyed: DataFrame, verdicts: DataFrame) -> DataFrame:
-    return _unpacked(keyed.join(verdicts.where("kept").select(KEY), KEY, "left_semi"))
+def _kept(keyed: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """Documents that the verdicts keep; the keys kept are written, so that the operator's own tables can go at once."""
+    keys = cut(verdicts.where("kept").select(KEY), name)
+    discard(verdicts)
+    return _unpacked(keyed.join(keys, KEY, "left_semi"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +67,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts."""
     keyed = _keyed(docs, "exact-keyed")
-    return _kept(keyed, exact.exact_groups(keyed, key=KEY))
+    return _kept(keyed, exact.exact_groups(keyed, key=KEY), "exact-kept")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every class of near duplicates: five words, similarity 0.8 or more."""
     keyed = _keyed(docs, "near-keyed")
-    return _kept(keyed, ngram_join.classes(keyed, size=5, percent=80, key=KEY))
+    return _kept(keyed, ngram_join.classes(keyed, size=5, percent=80, key=KEY), "near-kept")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

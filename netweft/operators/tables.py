@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -43,11 +44,13 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``cut`` once all that was computed from them is written."""
-    for df in tables:
-        files = df.inputFiles()
-        if files:
-            drop(df.sparkSession, files[0].rsplit("/", 1)[0])
+    """Delete the tables of ``cut`` that these DataFrames read, once all that was computed from them is written; a table that
+    doesn't lie in the shared folder under a name of ``new_path`` stays."""
+    for spark in {df.sparkSession for df in tables}:
+        own = re.compile(re.escape(shared_folder(spark).rsplit(":", 1)[-1]) + r"/[\w-]+-[0-9a-f]{32}$")
+        for folder in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
+            if own.search(folder):
+                drop(spark, folder)
 
 
 def release(spark: SparkSession) -> None:
