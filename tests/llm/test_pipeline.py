@@ -123,3 +123,23 @@ def test_stages_decide_by_row(spark, sf):
     assert sorted(r["doc_id"] or -1 for r in c.encoding_stage(spark, docs, sf).collect()) == sorted(k or -1 for k, _ in rows)
     for _, stage in c.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_rows_of_files_have_keys_without_a_copy(spark, tmp_path):
+    """Keys of rows read from Parquet are their places; a key is found again however the table is split or filtered."""
+    path = f"file://{tmp_path}/docs"
+    rows = [(i % 7, f"text {i}", i) for i in range(3_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    keys = {r["document"]["n"]: r["row_key"] for r in c._keyed(docs, "k").collect()}
+    assert len(set(keys.values())) == 3_000
+    assert c._keyed(docs, "k").inputFiles() == docs.inputFiles()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert {r["document"]["n"]: r["row_key"] for r in c._keyed(docs.where("n % 3 = 1"), "k").collect()} == {n: k for n, k in keys.items() if n % 3 == 1}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert set(c._keyed(docs.unionByName(docs), "k").inputFiles()).isdisjoint(docs.inputFiles())
+    kept = c._kept(c._keyed(docs, "k"), c._keyed(docs, "k").select("row_key", (c.F.col("document.n") < 10).alias("kept")), "kept")
+    assert sorted(r["n"] for r in kept.collect()) == list(range(10)) and docs.count() == 3_000
