@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from netweft.operators.tables import cut
 
 
-def all_paths(edges: DataFrame, root: int, max_depth: int = 100) -> DataFrame:
+def all_paths(edges: DataFrame, root: int) -> DataFrame:
     """term, path: every root-to-term path."""
     e = cut(edges.select("parent", "child"), "terms")
     front = cut(e.sparkSession.createDataFrame([(root, [root])], "term int, path array<int>"), "paths")
     out = [front]
-    for _ in range(max_depth):
+    while True:  # ends by itself: no path holds a term twice
         step = front.join(e, F.col("term") == F.col("parent")).where(~F.array_contains("path", F.col("child"))).select(F.col("child").alias("term"), F.array_append("path", F.col("child")).alias("path"))
         front = cut(step, "paths")
         if front.isEmpty():
@@ -135,3 +135,14 @@ def common_prefix(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     differ = F.array_min(F.filter(F.transform(F.zip_with(a, b, lambda x, y: x == y), lambda same, i: F.when(same, F.lit(None)).otherwise(i)), lambda i: i.isNotNull()))
     return F.coalesce(F.least(differ, n), n)
+
+
+def with_root(shared: DataFrame, paths: DataFrame) -> DataFrame:
+    """``shared`` (t1 < t2, shared) and, with 1, all other pairs of terms: every path begins with the root. Terms are dealt to
+    blocks, so that no task holds all pairs."""
+    n = F.lit(64)
+    terms = paths.select("term").distinct().withColumn("b", F.pmod(F.xxhash64("term"), n))
+    every = F.explode(F.sequence(F.lit(0), n - 1))
+    a, b = terms.select(F.col("term").alias("t1"), F.col("b").alias("i"), every.alias("j")), terms.select(F.col("term").alias("t2"), every.alias("i"), F.col("b").alias("j"))
+    pairs = a.join(b, ["i", "j"]).where("t1 < t2").select("t1", "t2")
+    return pairs.join(shared, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("shared", F.lit(1)).cast("long").alias("shared"))

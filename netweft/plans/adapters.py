@@ -2,7 +2,7 @@
 
 datasets x edges: brands bought together in an order and quarter, significant where they are in a quarter's top fifth;
 expression matrices: embeddings cut into 8 datasets of 8 conditions; genes: parts, whose function is p_size (promo parts
-are of unknown function); ontology: divisibility of 1..50; clusters: parts that a supplier sold in lots of 46 or more;
+are of unknown function); ontology: divisibility among the sizes of parts; clusters: parts that a supplier sold in lots of 46 or more;
 predictions: line items.
 """
 
@@ -58,11 +58,12 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_quantity >= 46").select(F.col("l_suppkey").alias("mcl_id"), F.col("l_partkey").alias("gene_no")).distinct()
 
 
-def term_edges(spark: SparkSession) -> DataFrame:
-    """parent, child of the divisibility DAG on 1..50."""
-    n = spark.range(2, 51).select(F.col("id").cast("int").alias("child"))
-    primes = F.filter(F.sequence(F.lit(2), F.col("child")), lambda p: (F.col("child") % p == 0) & ~F.exists(F.sequence(F.lit(2), F.greatest(p - 1, F.lit(2))), lambda q: (q < p) & (p % q == 0)))
-    return n.select("child", F.explode(primes).alias("p")).select((F.col("child") / F.col("p")).cast("int").alias("parent"), "child")
+def term_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parent, child of the divisibility DAG on the sizes that parts have, and 1, its root: a child is its parent times a prime."""
+    terms = table(spark, sf_dir, "part").where("p_size is not null").select(F.col("p_size").alias("child")).union(spark.range(1, 2).select(F.col("id").cast("int"))).distinct()
+    primes = F.filter(F.sequence(F.lit(2), F.greatest("child", F.lit(2))), lambda p: (F.col("child") % p == 0) & ~F.exists(F.sequence(F.lit(2), F.greatest(p - 1, F.lit(2))), lambda q: (q < p) & (p % q == 0)))
+    found = terms.select("child", F.explode(primes).alias("p")).select((F.col("child") / F.col("p")).cast("int").alias("parent"), "child")
+    return found.join(terms.withColumnRenamed("child", "parent"), "parent", "left_semi").select("parent", "child")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,8 @@ EXPRESSION = """expr AS (SELECT d AS dataset_no, vec_id AS gene_no, list_transfo
 ASSOC = """assoc AS (SELECT p_partkey AS gene_no, p_size AS go_no FROM part WHERE p_type <> 'PROMO')"""
 GENES = """gene AS (SELECT p_partkey AS gene_no, p_type <> 'PROMO' AS known FROM part)"""
 MEMBERS = """mem AS (SELECT DISTINCT l_suppkey AS mcl_id, l_partkey AS gene_no FROM lineitem WHERE l_quantity >= 46)"""
-TERMS = """pr AS (SELECT x AS p FROM (SELECT unnest(range(2, 51)) AS x) WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 51)) AS y) WHERE y < x AND x % y = 0)),
-t2t AS (SELECT CAST(n // p AS INT) AS parent, CAST(n AS INT) AS child FROM (SELECT unnest(range(2, 51)) AS n), pr WHERE n % p = 0)"""
+TERMS = """tm AS (SELECT DISTINCT p_size AS term FROM part WHERE p_size IS NOT NULL UNION SELECT 1), nn AS (SELECT unnest(range(2, (SELECT max(term) FROM tm) + 1)) AS x),
+pr AS (SELECT x AS p FROM nn a WHERE NOT EXISTS (SELECT 1 FROM nn b WHERE b.x < a.x AND a.x % b.x = 0)),
+t2t AS (SELECT CAST(term // p AS INT) AS parent, term AS child FROM tm, pr WHERE term % p = 0 AND term // p IN (SELECT term FROM tm))"""
 PREDICTIONS = """pred AS (SELECT l_orderkey * 8 + l_linenumber AS p_gene_id, l_suppkey AS gene_no, CAST(l_quantity AS INT) AS go_no, l_orderkey % 500 AS mcl_id, l_discount AS p_value,
   round(l_extendedprice / 1000) AS score, l_tax AS connectivity, l_linenumber AS cluster_size, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 ELSE -1 END AS is_correct FROM lineitem)"""

@@ -17,18 +17,18 @@ SIZES = f"{A.ASSOC}, cg AS (SELECT DISTINCT ancestor AS go_no, gene_no FROM clo
 HEAD = f"WITH RECURSIVE {PATHS}, {CLOSED}"
 
 
-def paths(spark: SparkSession) -> DataFrame:
-    return O.all_paths(A.term_edges(spark), 1)
+def paths(spark: SparkSession, d: str) -> DataFrame:
+    return O.all_paths(A.term_edges(spark, d), 1)
 
 
 @query("o1_all_paths", f"{HEAD} SELECT term, array_to_string(path, ' ') AS path FROM pth")
 def all_paths(spark: SparkSession, d: str) -> DataFrame:
-    return paths(spark).select("term", text("path").alias("path"))
+    return paths(spark, d).select("term", text("path").alias("path"))
 
 
 @query("o2_depth", f"{HEAD} SELECT term, depth FROM dep")
 def depth(spark: SparkSession, d: str) -> DataFrame:
-    return O.depths(paths(spark))
+    return O.depths(paths(spark, d))
 
 
 DISTANCES = """pp AS (SELECT a.term AS t1, b.term AS t2, a.path AS p1, b.path AS p2, CASE WHEN len(a.path) <= len(b.path) THEN list_filter(a.path, lambda x: list_contains(b.path, x))[-1] ELSE list_filter(b.path, lambda x: list_contains(a.path, x))[-1] END AS lca FROM pth a JOIN pth b ON a.term < b.term),
@@ -38,7 +38,7 @@ CAST(min(least(len(p1) - list_position(p1, lca), len(p2) - list_position(p2, lca
 
 @query("o3_pair_distances", f"{HEAD}, {DISTANCES} SELECT t1, t2, steps, depth_gap, shorter_leg, array_to_string(ancestors, ' ') AS ancestors FROM ds")
 def pair_distances(spark: SparkSession, d: str) -> DataFrame:
-    return O.pair_distances(paths(spark)).select("t1", "t2", *[F.col(c).cast("long").alias(c) for c in ("steps", "depth_gap", "shorter_leg")], text("ancestors").alias("ancestors"))
+    return O.pair_distances(paths(spark, d)).select("t1", "t2", *[F.col(c).cast("long").alias(c) for c in ("steps", "depth_gap", "shorter_leg")], text("ancestors").alias("ancestors"))
 
 
 @query("o5_closed_genes", f"{HEAD}, {SIZES} SELECT go_no, size FROM sz")
@@ -47,33 +47,35 @@ def closed_genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_sizes(spark: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
-    closed = O.closure(p if p is not None else paths(spark))
+    closed = O.closure(p if p is not None else paths(spark, d))
     return O.closed_genes(closed, A.associations(spark, d)).groupBy("go_no").agg(F.count("*").alias("size"))
 
 
 @query("o6_informative_nodes", f"{HEAD}, {SIZES} SELECT go_no FROM sz WHERE size >= 100 AND NOT EXISTS (SELECT 1 FROM t2t JOIN sz c ON c.go_no = child WHERE parent = sz.go_no AND c.size >= 100)")
 def informative(spark: SparkSession, d: str) -> DataFrame:
-    return O.informative(A.term_edges(spark), term_sizes(spark, d), 100)
+    return O.informative(A.term_edges(spark, d), term_sizes(spark, d), 100)
 
 
 @query("o6_fixed_level", f"{HEAD} SELECT term AS go_no FROM dep WHERE depth = 3")
 def fixed_level(spark: SparkSession, d: str) -> DataFrame:
-    return O.depths(paths(spark)).where("depth = 3").select(F.col("term").alias("go_no"))
+    return O.depths(paths(spark, d)).where("depth = 3").select(F.col("term").alias("go_no"))
 
 
 @query("o6_size_window", f"{HEAD}, {SIZES}, h AS (SELECT go_no FROM sz WHERE size BETWEEN 60 AND 400) SELECT go_no FROM h WHERE NOT EXISTS (SELECT 1 FROM clo JOIN h x ON x.go_no = ancestor WHERE term = h.go_no AND ancestor <> term)")
 def size_window(spark: SparkSession, d: str) -> DataFrame:
-    p = paths(spark)
-    return O.size_window(A.term_edges(spark), term_sizes(spark, d, p), 60, 400, O.closure(p))
+    p = paths(spark, d)
+    return O.size_window(A.term_edges(spark, d), term_sizes(spark, d, p), 60, 400, O.closure(p))
 
 
-@query("o8_sources_only", f"{HEAD}, c AS (SELECT unnest([4, 8, 12, 24, 9, 7, 35]) AS go_no) SELECT go_no FROM c WHERE NOT EXISTS (SELECT 1 FROM clo JOIN c x ON x.go_no = ancestor WHERE term = c.go_no AND ancestor <> term)")
+@query("o8_sources_only", f"{HEAD}, c AS (SELECT p_size AS go_no FROM part GROUP BY p_size HAVING 50 * count(*) >= (SELECT count(*) FROM part)) SELECT go_no FROM c WHERE NOT EXISTS (SELECT 1 FROM clo JOIN c x ON x.go_no = ancestor WHERE term = c.go_no AND ancestor <> term)")
 def sources_only(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.createDataFrame([(x,) for x in (4, 8, 12, 24, 9, 7, 35)], "go_no int")
-    return O.sources_only(c, O.closure(paths(spark)))
+    """Of the terms with at least a fiftieth of the genes, those that lie below no other."""
+    part = A.table(spark, d, "part")
+    c = part.groupBy(F.col("p_size").alias("go_no")).agg(F.count("*").alias("n")).where(F.col("n") * 50 >= part.count()).select("go_no")
+    return O.sources_only(c, O.closure(paths(spark, d)))
 
 
-ANNOT = "an AS (SELECT DISTINCT l_orderkey AS probe, p_size AS go_no FROM lineitem JOIN part ON p_partkey = l_partkey)"
+OWN_TERMS = "an AS (SELECT DISTINCT l_orderkey AS probe, p_size AS go_no FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
@@ -81,12 +83,12 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "lineitem").join(p, "l_partkey").select(F.col("l_orderkey").alias("probe"), "go_no").distinct()
 
 
-@query("p14_without_parents", f"WITH {A.TERMS}, {ANNOT} SELECT probe, go_no FROM an WHERE NOT EXISTS (SELECT 1 FROM t2t JOIN an x ON x.go_no = child WHERE parent = an.go_no AND x.probe = an.probe)")
+@query("p14_without_parents", f"WITH {A.TERMS}, {OWN_TERMS} SELECT probe, go_no FROM an WHERE NOT EXISTS (SELECT 1 FROM t2t JOIN an x ON x.go_no = child WHERE parent = an.go_no AND x.probe = an.probe)")
 def without_parents(spark: SparkSession, d: str) -> DataFrame:
-    return O.without_parents(annotations(spark, d), A.term_edges(spark), "probe")
+    return O.without_parents(annotations(spark, d), A.term_edges(spark, d), "probe")
 
 
-JUDGE = f"""{ANNOT}, kn AS (SELECT probe AS gene_no, go_no AS own FROM an WHERE probe % 4 <> 0), pd AS (SELECT DISTINCT l_orderkey AS gene_no, CAST(l_quantity AS INT) AS go_no FROM lineitem WHERE l_linenumber = 1),
+JUDGE = f"""{OWN_TERMS}, kn AS (SELECT probe AS gene_no, go_no AS own FROM an WHERE probe % 4 <> 0), pd AS (SELECT DISTINCT l_orderkey AS gene_no, CAST(l_quantity AS INT) AS go_no FROM lineitem),
 j AS (SELECT p.gene_no, p.go_no, own, shorter_leg, depth, CASE WHEN p.go_no = own THEN [own] ELSE ancestors END AS anc FROM pd p LEFT JOIN kn USING (gene_no) LEFT JOIN ds ON t1 = least(p.go_no, own) AND t2 = greatest(p.go_no, own) LEFT JOIN dep ON term = p.go_no),
 ja AS (SELECT gene_no, go_no, depth AS d FROM (SELECT gene_no, go_no, unnest(anc) AS a FROM j) JOIN dep ON term = a), jd AS (SELECT gene_no, go_no, max(d) AS deepest FROM ja GROUP BY ALL)
 SELECT gene_no, go_no, CASE WHEN count(own) = 0 THEN -1 ELSE CAST(coalesce(bool_or(go_no = own AND depth >= 3), false) AS INT) END AS is_correct,
@@ -96,30 +98,31 @@ CASE WHEN count(own) = 0 THEN -1 ELSE CAST(coalesce(max(deepest) >= 3, false) AS
 
 @query("o12_judge", f"{HEAD}, {DISTANCES}, {JUDGE}")
 def judge(spark: SparkSession, d: str) -> DataFrame:
-    p = paths(spark)
-    predicted = A.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no"))
+    p = paths(spark, d)
+    predicted = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no"))
     known = annotations(spark, d).where("probe % 4 <> 0").withColumnRenamed("probe", "gene_no")
     return O.judge(predicted, known, p, 3).drop("lca")
 
 
 @query("o19_common_ancestors", f"{HEAD} SELECT ancestor AS go_no, count(*) AS terms FROM clo WHERE term IN (12, 18, 30, 50) GROUP BY ancestor")
 def common_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    return O.closure(paths(spark)).where("term in (12, 18, 30, 50)").groupBy(F.col("ancestor").alias("go_no")).agg(F.count("*").alias("terms"))
+    return O.closure(paths(spark, d)).where("term in (12, 18, 30, 50)").groupBy(F.col("ancestor").alias("go_no")).agg(F.count("*").alias("terms"))
 
 
 @query("o20_subgraph", f"{HEAD} SELECT parent, child FROM t2t WHERE parent IN (SELECT term FROM clo WHERE ancestor = 2)")
 def subgraph(spark: SparkSession, d: str) -> DataFrame:
-    below = O.closure(paths(spark)).where("ancestor = 2").select(F.col("term").alias("parent"))
-    return A.term_edges(spark).join(below, "parent", "left_semi").select("parent", "child")
+    below = O.closure(paths(spark, d)).where("ancestor = 2").select(F.col("term").alias("parent"))
+    return A.term_edges(spark, d).join(below, "parent", "left_semi").select("parent", "child")
 
 
-@query("o21_common_prefix", f"{HEAD} SELECT a.term AS t1, b.term AS t2, max(CAST(len(list_filter(list_zip(a.path, b.path), lambda p: p[1] = p[2])) AS BIGINT)) AS shared FROM pth a JOIN pth b ON a.term < b.term AND len(a.path) = 3 AND len(b.path) = 3 AND a.path[1:2] = b.path[1:2] GROUP BY ALL")
+@query("o21_common_prefix", f"{HEAD} SELECT a.term AS t1, b.term AS t2, max(CAST(coalesce(list_position(list_transform(list_zip(a.path, b.path), lambda p: coalesce(p[1] = p[2], false)), false) - 1, len(a.path)) AS BIGINT)) AS shared FROM pth a JOIN pth b ON a.term < b.term GROUP BY ALL")
 def common_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of one length that share their first terms meet in the longest common beginning; the last terms differ, so all
-    pairs of a beginning are those that the join on it makes."""
-    p = paths(spark).where("size(path) = 3").withColumn("head", F.slice("path", 1, 2))
-    a, b = p.select(F.col("term").alias("t1"), F.col("path").alias("p1"), "head"), p.select(F.col("term").alias("t2"), F.col("path").alias("p2"), "head")
-    return a.join(b, "head").where("t1 < t2").groupBy("t1", "t2").agg(F.max(O.common_prefix(F.col("p1"), F.col("p2"))).cast("long").alias("shared"))
+    """The longest beginning that any paths of two terms share: each beginning of a path is met by those of other paths that
+    are equal to it, so that deep pairs come from small groups; the root, which all share, is left to the last line."""
+    p = paths(spark, d)
+    heads = p.select("term", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size("path"), F.lit(2))), lambda n: F.slice("path", 1, n))).alias("head")).where("size(head) >= 2").distinct()
+    met = heads.withColumnRenamed("term", "t1").join(heads.withColumnRenamed("term", "t2"), "head").where("t1 < t2").groupBy("t1", "t2").agg(F.max(F.size("head")).cast("long").alias("shared"))
+    return O.with_root(met, p)
 
 
 GENES = "(SELECT count(*) FROM part)"

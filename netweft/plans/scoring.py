@@ -15,7 +15,7 @@ from netweft.plans import adapters as A
 from netweft.plans.annotation import text
 from netweft.plans.expression import LOO
 from netweft.plans.network import CLUSTERS, DATASETS, RECURRENCE, brand_clusters, recurrences
-from netweft.plans.ontology import ANNOT, DISTANCES, HEAD, TAIL, annotations, paths
+from netweft.plans.ontology import OWN_TERMS, DISTANCES, HEAD, TAIL, annotations, paths
 from netweft.plans.registry import ORACLES, query
 
 # Patterns: brand clusters with the edges that three datasets share. A brand has two functions, by its two digits, and is of
@@ -87,7 +87,7 @@ SELECT mcl_id, gene_no, go_no, round(p, 6) AS p, round(unknown, 6) AS unknown FR
 
 
 def scan(spark: SparkSession, d: str, **how) -> DataFrame:
-    found = S.cluster_scan(A.members(spark, d), A.associations(spark, d), O.depths(paths(spark)), A.table(spark, d, "part").count(), **how)
+    found = S.cluster_scan(A.members(spark, d), A.associations(spark, d), O.depths(paths(spark, d)), A.table(spark, d, "part").count(), **how)
     return found.select("mcl_id", "gene_no", "go_no", F.round("p", 6).alias("p"), F.round("unknown", 6).alias("unknown"))
 
 
@@ -126,7 +126,7 @@ FOLD = "list_reduce(list_transform(g, lambda x: [x]), lambda acc, x: CASE WHEN l
 
 @query("o14_related_predictions", f"WITH {A.PREDICTIONS}, f AS (SELECT gene_no, go_no, min(p_gene_id) AS pos FROM pred GROUP BY ALL), l AS (SELECT gene_no, list(go_no ORDER BY pos, go_no) AS g FROM f GROUP BY gene_no), s AS (SELECT gene_no, {FOLD} AS sources FROM l) SELECT gene_no, go_no, list_filter(sources, lambda s: s % go_no = 0 OR go_no % s = 0)[1] AS source FROM f JOIN s USING (gene_no)")
 def related_predictions(spark: SparkSession, d: str) -> DataFrame:
-    return S.collapse_related(A.predictions(spark, d), O.closure(paths(spark)), "gene_no", "p_gene_id")
+    return S.collapse_related(A.predictions(spark, d), O.closure(paths(spark, d)), "gene_no", "p_gene_id")
 
 
 @query("o17_related_functions", f"WITH {A.PREDICTIONS}, f AS (SELECT go_no, count(*) FILTER (is_correct = 1) AS c, count(*) FILTER (is_correct >= 0) AS k FROM pred GROUP BY go_no), l AS (SELECT list(go_no ORDER BY go_no DESC) AS g FROM f), s AS (SELECT {FOLD} AS sources FROM l), m AS (SELECT list_filter(sources, lambda s: s % go_no = 0 OR go_no % s = 0)[1] AS source, c, k FROM f, s) SELECT source, count(*) AS functions, sum(c)::BIGINT AS correct, sum(k)::BIGINT AS known FROM m GROUP BY source")
@@ -135,7 +135,7 @@ def related_functions(spark: SparkSession, d: str) -> DataFrame:
     p = A.predictions(spark, d)
     counts = p.groupBy("go_no").agg(F.count_if(F.col("is_correct") == 1).alias("c"), F.count_if(F.col("is_correct") >= 0).alias("k"))
     one = counts.select(F.lit(1).alias("all"), "go_no", (-F.col("go_no")).alias("at"))
-    groups = S.collapse_related(one, O.closure(paths(spark)), "all", "at")
+    groups = S.collapse_related(one, O.closure(paths(spark, d)), "all", "at")
     return groups.join(counts, "go_no").groupBy("source").agg(F.count("*").alias("functions"), F.sum("c").alias("correct"), F.sum("k").alias("known"))
 
 
@@ -163,15 +163,15 @@ def merged_contexts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("gene_no", "go_no", text(F.col("members")).alias("members"), F.size("context").alias("genes"), "is_correct")
 
 
-@query("o4_term_distances", f"{HEAD}, {DISTANCES}, {ANNOT}, q AS (SELECT DISTINCT a.go_no AS a, b.go_no AS b FROM an a JOIN an b USING (probe) WHERE probe % 16 = 0) SELECT a, b, CASE WHEN a = b THEN 0 ELSE shorter_leg END AS distance FROM q LEFT JOIN ds ON t1 = least(a, b) AND t2 = greatest(a, b)")
+@query("o4_term_distances", f"{HEAD}, {DISTANCES}, {OWN_TERMS}, q AS (SELECT DISTINCT a.go_no AS a, b.go_no AS b FROM an a JOIN an b USING (probe)) SELECT a, b, CASE WHEN a = b THEN 0 ELSE shorter_leg END AS distance FROM q LEFT JOIN ds ON t1 = least(a, b) AND t2 = greatest(a, b)")
 def term_distances(spark: SparkSession, d: str) -> DataFrame:
     """Distances of the pairs of functions that a gene's annotations make, in either order."""
-    an = annotations(spark, d).where("probe % 16 = 0")
+    an = annotations(spark, d)
     pairs = an.select("probe", F.col("go_no").alias("a")).join(an.select("probe", F.col("go_no").alias("b")), "probe").select("a", "b").distinct()
-    return O.distance_of(pairs, paths(spark)).select("a", "b", F.col("distance").cast("long").alias("distance"))
+    return O.distance_of(pairs, paths(spark, d)).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
-OLDER = f"{ANNOT}, kn AS (SELECT probe AS gene_no, go_no AS own FROM an WHERE probe % 4 <> 0), pd AS (SELECT DISTINCT l_orderkey AS gene_no, CAST(l_quantity AS INT) AS go_no FROM lineitem WHERE l_linenumber = 1)"
+OLDER = f"{OWN_TERMS}, kn AS (SELECT probe AS gene_no, go_no AS own FROM an WHERE probe % 4 <> 0), pd AS (SELECT DISTINCT l_orderkey AS gene_no, CAST(l_quantity AS INT) AS go_no FROM lineitem)"
 
 
 @query(
@@ -181,11 +181,11 @@ SELECT gene_no, go_no, CASE WHEN count(own) = 0 THEN -1 ELSE bool_or(below)::INT
 )
 def judged_by_relation(spark: SparkSession, d: str) -> DataFrame:
     """Correct if a known function is the predicted one or below it; on the next level also if it is its parent, child or sibling."""
-    e = A.term_edges(spark)
-    below = O.closure(paths(spark)).select(F.col("ancestor").alias("go_no"), F.col("term").alias("own"), F.lit(True).alias("below"))
+    e = A.term_edges(spark, d)
+    below = O.closure(paths(spark, d)).select(F.col("ancestor").alias("go_no"), F.col("term").alias("own"), F.lit(True).alias("below"))
     sibling = e.select("parent", F.col("child").alias("go_no")).join(e.select("parent", F.col("child").alias("own")), "parent").select("go_no", "own")
     beside = e.select(F.col("parent").alias("go_no"), F.col("child").alias("own")).unionByName(e.select(F.col("child").alias("go_no"), F.col("parent").alias("own"))).unionByName(sibling).distinct().withColumn("beside", F.lit(True))
-    predicted = A.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no")).distinct()
+    predicted = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no")).distinct()
     known = annotations(spark, d).where("probe % 4 <> 0").select(F.col("probe").alias("gene_no"), F.col("go_no").cast("int").alias("own"))
     j = predicted.join(known, "gene_no", "left").join(below, ["go_no", "own"], "left").join(beside, ["go_no", "own"], "left")
     flag = lambda c: F.when(F.count("own") == 0, -1).otherwise(F.coalesce(F.bool_or(c), F.lit(False)).cast("int"))
@@ -200,9 +200,9 @@ SELECT pd.gene_no, pd.go_no, round(CASE WHEN deepest >= 2 THEN (deepest - 2 + 1)
 )
 def graded(spark: SparkSession, d: str) -> DataFrame:
     """Depth of the first common ancestor over that of the predicted term, both from the cut of 2 on; 0 where wrong."""
-    p = paths(spark)
+    p = paths(spark, d)
     depth = O.depths(p)
-    predicted = A.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no"))
+    predicted = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no"))
     known = annotations(spark, d).where("probe % 4 <> 0").withColumnRenamed("probe", "gene_no")
     judged = O.judge(predicted, known, p, 2).where("is_correct_lca >= 0")
     own = judged.join(depth.select(F.col("term").alias("go_no"), "depth"), "go_no").join(depth.select(F.col("term").alias("first"), F.col("depth").alias("deepest")), F.col("first") == F.get("lca", F.lit(0)), "left")
@@ -213,10 +213,10 @@ def graded(spark: SparkSession, d: str) -> DataFrame:
 @query("a27_confirmed_later", f"{HEAD}, {OLDER}, wr AS (SELECT pd.* FROM pd WHERE EXISTS (SELECT 1 FROM an WHERE probe = pd.gene_no) AND NOT EXISTS (SELECT 1 FROM kn JOIN clo ON term = own WHERE kn.gene_no = pd.gene_no AND ancestor = pd.go_no)) SELECT go_no, count(*) AS wrong, count(*) FILTER (EXISTS (SELECT 1 FROM an JOIN clo ON term = an.go_no WHERE probe = wr.gene_no AND ancestor = wr.go_no)) AS confirmed FROM wr GROUP BY go_no")
 def confirmed_later(spark: SparkSession, d: str) -> DataFrame:
     """Predictions that older annotations make wrong, and those of them that all annotations confirm, by function."""
-    closed = O.closure(paths(spark))
+    closed = O.closure(paths(spark, d))
     an = annotations(spark, d)
     true = lambda rows: rows.select(F.col("probe").alias("gene_no"), F.col("go_no").alias("term")).join(closed, "term").select("gene_no", F.col("ancestor").alias("go_no")).distinct()
-    predicted = A.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no")).distinct()
+    predicted = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("gene_no"), F.col("l_quantity").cast("int").alias("go_no")).distinct()
     wrong = predicted.join(an.select(F.col("probe").alias("gene_no")).distinct(), "gene_no", "left_semi").join(true(an.where("probe % 4 <> 0")), ["gene_no", "go_no"], "left_anti")
     return wrong.join(true(an).withColumn("ok", F.lit(1)), ["gene_no", "go_no"], "left").groupBy("go_no").agg(F.count("*").alias("wrong"), F.count("ok").alias("confirmed"))
 
@@ -304,7 +304,7 @@ def good_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j4_grandparents", f"WITH {A.TERMS} SELECT x.parent AS top, y.child AS bottom, count(*) AS ways FROM t2t x JOIN t2t y ON x.child = y.parent GROUP BY ALL")
 def grandparents(spark: SparkSession, d: str) -> DataFrame:
-    e = A.term_edges(spark)
+    e = A.term_edges(spark, d)
     return e.select(F.col("parent").alias("top"), F.col("child").alias("mid")).join(e.select(F.col("parent").alias("mid"), F.col("child").alias("bottom")), "mid").groupBy("top", "bottom").agg(F.count("*").alias("ways"))
 
 
