@@ -46,9 +46,10 @@ def sample(docs: DataFrame, per_language: int, modulus: int, held_out: int) -> D
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = docs.select(F.col("lang").cast("string").alias("lang"), "doc_id", text.alias("text")).where("lang is not null").where(remainder(F.col("doc_id"), modulus) != held_out)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 200) / F.col("n"))
-    near = known.withColumn("h", F.xxhash64("doc_id", "text")).join(sizes, "lang").where(F.shiftrightunsigned("h", 1) <= share * (2.0**63))
+    # as many as languages; a join would deal all texts by language
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    limits = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2.0 * per_language + 200) / n) * 2.0**63)]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    near = known.withColumn("h", F.xxhash64("doc_id", "text")).where(F.shiftrightunsigned("h", 1) <= limits[F.col("lang")])
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return near.select("lang", "h", "text").distinct().withColumn("r", first).where(F.col("r") <= per_language).select("lang", "text")
 
@@ -171,11 +172,13 @@ def fit(docs: DataFrame, per_language: int = 1_000, contexts: int = 30_000, orde
     pairs = materialise(pairs, "language-pairs")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "k", "context"))
     kept = pairs.groupBy("lang", "k", "context").agg(F.sum("n").alias("total")).withColumn("r", first).where(F.col("r") <= contexts)
-    found = pairs.join(kept.select("lang", "k", "context"), ["lang", "k", "context"], "left_semi").select("lang", "k", "code", "n").toPandas()
-    if found.empty:
+    found = pairs.join(kept.select("lang", "k", "context"), ["lang", "k", "context"], "left_semi").select("lang", F.col("k").cast("long").alias("k"), "code", "n").toArrow()
+    if not found.num_rows:
         return None
-    langs, lang = np.unique(found["lang"].to_numpy(dtype=str), return_inverse=True)
-    return Trees([str(x) for x in langs], order, lang, *(found[c].to_numpy(np.int64) for c in ("k", "code", "n")))
+    names = found["lang"].combine_chunks().dictionary_encode()
+    langs = names.dictionary.to_pylist()
+    rank = np.argsort(np.argsort(np.array(langs, dtype=object)))
+    return Trees(sorted(langs), order, rank[names.indices.to_numpy()], *(found[c].to_numpy() for c in ("k", "code", "n")))
 
 
 def code_lengths(trees: Trees, texts: list[bytes], batch: int = PIECE) -> np.ndarray:
