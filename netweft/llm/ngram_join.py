@@ -459,7 +459,9 @@ def _set_table(docs: DataFrame, size: int, percent: int, key: str | None) -> Dat
     chars = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     owners = max(4, -(-chars // (6 * OWNER_TOKENS)))  # about six bytes a word
     blocks = max(4, -(-chars // (6 * BLOCK_TOKENS)))
-    packed = given.mapInArrow(_sets(size, owners), PACKED).repartition(owners, "target").mapInArrow(_count, PACKED)
+    # an owner has a task of its own; rows of blocks only pass through
+    own = F.when(F.col("target") >= 0, F.col("target")).otherwise(F.pmod(F.xxhash64("block"), F.lit(owners))).cast("int")
+    packed = given.mapInArrow(_sets(size, owners), PACKED).repartitionById(owners, own).mapInArrow(_count, PACKED)
     return materialise(packed.repartition(blocks, "block").mapInArrow(_filter(percent), SETS), "ngram-sets")
 
 
