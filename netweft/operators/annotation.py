@@ -84,3 +84,16 @@ def permuted_genes(members: DataFrame, seed: int) -> DataFrame:
     here = numbered(genes, ["gene_no"], "r")
     there = numbered(genes.select(F.col("gene_no").alias("other"), F.xxhash64(F.lit(seed), "gene_no").alias("h")), ["h", "other"], "r").drop("h")
     return members.join(here.join(there, "r").select("gene_no", "other"), "gene_no").select("mcl_id", F.col("other").alias("gene_no"))
+
+
+def organism_of(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``rows`` (with tax_id) with their organism, null where the taxonomy (tax_id, organism) has none; of several the first
+    in alphabetical order (F26)."""
+    one = taxonomy.groupBy("tax_id").agg(F.min("organism").alias("organism"))
+    return rows.join(one, "tax_id", "left")
+
+
+def tax_id_of(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``rows`` (with organism) with their tax_id, null where there is none; of several the smallest."""
+    one = taxonomy.groupBy("organism").agg(F.min("tax_id").alias("tax_id"))
+    return rows.join(one, "organism", "left")

@@ -146,3 +146,27 @@ def with_root(shared: DataFrame, paths: DataFrame) -> DataFrame:
     a, b = terms.select(F.col("term").alias("t1"), F.col("b").alias("i"), every.alias("j")), terms.select(F.col("term").alias("t2"), every.alias("i"), F.col("b").alias("j"))
     pairs = a.join(b, ["i", "j"]).where("t1 < t2").select("t1", "t2")
     return pairs.join(shared, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("shared", F.lit(1)).cast("long").alias("shared"))
+
+
+def index_strings(paths: DataFrame) -> DataFrame:
+    """term, index: every path as the string of its terms."""
+    return paths.select("term", F.array_join(F.transform("path", lambda t: t.cast("string")), ",").alias("index"))
+
+
+def _beginnings(index: Column) -> Column:
+    """All proper beginnings of an index string that end before a comma."""
+    parts = F.split(index, ",")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.when(n < F.size(parts), F.array_join(F.slice(parts, 1, n), ",")))
+
+
+def informative_indexes(indexes: DataFrame, associations: DataFrame, least: int) -> DataFrame:
+    """go_no, index, genes: index strings with at least ``least`` genes at or below them and none such below.
+
+    Genes move to all beginnings of their index, which an equi-join on the beginnings finds; an index that has a beginning of
+    enough genes strikes it out. A term with several such indexes has several rows.
+    """
+    own = indexes.join(associations.withColumnRenamed("go_no", "term"), "term").select("index", "gene_no").distinct()
+    up = own.unionByName(own.select(F.explode(_beginnings(F.col("index"))).alias("index"), "gene_no").where("index IS NOT NULL"))
+    sizes = up.distinct().groupBy("index").agg(F.count("*").alias("genes")).where(F.col("genes") >= least)
+    struck = sizes.select(F.explode(_beginnings(F.col("index"))).alias("index")).where("index IS NOT NULL").distinct()
+    return sizes.join(struck, "index", "left_anti").join(indexes, "index").select(F.col("term").alias("go_no"), "index", "genes")

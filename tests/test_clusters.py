@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netweft.operators import matrices, tight
+from netweft.operators import biclusters, kernels, matrices, tight
 
 
 def test_function_matrices(spark):
@@ -123,3 +123,45 @@ def sql_of(spark, sf, name):
 @pytest.mark.parametrize("name", ["g17_spread_columns", "g7_core_sets"])
 def test_cluster_query_matches_sql(spark, sf, name):
     sql_of(spark, sf, name)
+
+
+def test_bicluster_of_a_tall_matrix(spark):
+    """Rounds over 20,000 rows end where deleting on the whole matrix does."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(20_000, 8))
+    m[5_000:5_160] = rng.normal(size=(160, 1)) + rng.normal(size=8) + rng.normal(size=(160, 8)) * 0.01
+    df = spark.createDataFrame([(1, i, [float(x) for x in r]) for i, r in enumerate(m)], "g int, id long, v array<double>")
+    for most in (0.3, 0.01):
+        rows, columns, score = kernels.find_bicluster(m, most, 100, 5, 4)
+        got = biclusters.biclusters(df.repartition(6), "g", "id", "v", most, tries=1).collect()
+        assert sorted(r["key"] for r in got) == rows.tolist()
+        assert all(r["columns"] == columns.tolist() and abs(r["score"] - score) < 1e-9 for r in got)
+
+
+def test_biclusters_of_several_groups(spark):
+    """Planted blocks are found one after another; odd rows are left out; a group without a bicluster has no row."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(150):
+        v = rng.normal(size=6) * 3
+        if i < 40:
+            v = np.arange(6) + i / 10
+        elif i < 70:
+            v = np.array([5.0, 1, 4, 2, 8, 0]) - i / 7
+        rows.append((1, i, [float(x) for x in v]))
+    rows += [(2, i, [float(x) for x in rng.normal(size=6) * 9]) for i in range(20)]
+    rows += [(1, 900, [None] + [1.0] * 5), (1, None, [1.0] * 6), (None, 901, [1.0] * 6), (1, 902, None)]
+    df = spark.createDataFrame(rows, "g int, id long, v array<double>")
+    got = biclusters.biclusters(df, "g", "id", "v", 1e-6, tries=3, batch=50).collect()
+    found = defaultdict(set)
+    for r in got:
+        found[r["g"], r["no"]].add(r["key"])
+    assert {frozenset(x) for (g, _), x in found.items() if g == 1} == {frozenset(range(40)), frozenset(range(40, 70))}
+    assert not any(g == 2 for g, _ in found)
+    assert biclusters.biclusters(df.limit(0), "g", "id", "v", 0.1).count() == 0
+
+
+def test_components_of_groups(spark):
+    e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 7, 8), (2, 1, 9), (2, 3, 2)], "p int, g1 long, g2 long")
+    got = {(r["p"], tuple(r["vertices"])) for r in biclusters.components(e, ["p"]).collect()}
+    assert got == {(1, (1, 2, 3)), (1, (7, 8)), (2, (1, 9)), (2, (2, 3))}
