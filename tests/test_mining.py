@@ -82,7 +82,7 @@ def test_mining_matches_sql(spark, sf, name):
     test_query_matches_sql(spark, sf, name)
 
 
-@pytest.mark.parametrize("name", ["t14_logistic_model", "t16_decision_tree"])
+@pytest.mark.parametrize("name", ["t14_logistic_model"])
 def test_mining_query_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
