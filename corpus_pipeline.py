@@ -53,10 +53,15 @@ def _unpacked(rows: DataFrame) -> DataFrame:
 
 
 def _kept(keyed: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
-    """Documents that the verdicts keep; the keys kept are written, so that the operator's own tables can go at once."""
-    keys = cut(verdicts.where("kept").select(KEY), name)
+    """Documents that the verdicts keep. Their keys are written as bitmaps, a bit a row, so that the operator's own tables can go
+    at once, and the join sends bitmaps to the documents as long as Spark finds them small enough."""
+    bits = verdicts.where("kept").groupBy(F.bitmap_bucket_number(KEY).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(KEY)).alias("bits"))
+    kept = cut(bits, name, compression="zstd")
     discard(verdicts)
-    return _unpacked(keyed.join(keys, KEY, "left_semi"))
+    at = F.bitmap_bit_position(KEY)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.getbit(byte, (at % 8).cast("int")) == 1
+    return _unpacked(keyed.withColumn("bucket", F.bitmap_bucket_number(KEY)).join(kept, "bucket").where(on))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
