@@ -19,7 +19,7 @@ def reverse_complement(sequence: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1))))
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
 def mismatches(a: Column, b: Column) -> Column:

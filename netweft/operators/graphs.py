@@ -81,12 +81,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("g1").alias("u"), F.col("g2").alias("v")).unionByName(edges.select(F.col("g2").alias("u"), F.col("g1").alias("v")))
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_length: int) -> DataFrame:
-    """u, v, distance up to ``max_length``: breadth-first frontiers as joins, one step a round, cut after each."""
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_length: int | None = None) -> DataFrame:
+    """u, v, distance (up to ``max_length``, if given): breadth-first frontiers as joins, one step a round, cut after each, until
+    nothing new is met."""
     both = cut(neighbours(edges).distinct(), "paths").select(F.col("u").alias("w"), "v")
     front = cut(starts.select(F.col("u"), F.col("u").alias("v"), F.lit(0).alias("distance")), "paths")
-    seen = [front]
-    for step in range(1, max_length + 1):
+    seen, step = [front], 0
+    while (max_length is None or step < max_length) and not front.isEmpty():
+        step += 1
         nxt = front.select("u", F.col("v").alias("w")).join(both, "w").select("u", "v").distinct()
         # what lies one step on was met in this, the last or the last but one step, or is new
         for earlier in seen[-2:]:

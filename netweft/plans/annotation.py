@@ -333,10 +333,10 @@ def permuted(spark: SparkSession, d: str) -> DataFrame:
     return N.permuted_genes(A.members(spark, d), 17)
 
 
-@query("u1_set_operations", f"WITH {A.MEMBERS}, a AS (SELECT gene_no FROM mem WHERE mcl_id = 1), b AS (SELECT gene_no FROM mem WHERE mcl_id = 2) SELECT 'union' AS op, count(*) AS n FROM (FROM a UNION FROM b) UNION ALL SELECT 'intersect', count(*) FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'except', count(*) FROM (FROM a EXCEPT FROM b)")
+@query("u1_set_operations", f"WITH {A.MEMBERS}, {A.ASSOC}, a AS (SELECT gene_no FROM mem), b AS (SELECT gene_no FROM assoc) SELECT 'union' AS op, count(*) AS n FROM (FROM a UNION FROM b) UNION ALL SELECT 'intersect', count(*) FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'except', count(*) FROM (FROM a EXCEPT FROM b)")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    m = A.members(spark, d)
-    a, b = (m.where(F.col("mcl_id") == i).select("gene_no") for i in (1, 2))
+    """Genes in clusters and genes of known function."""
+    a, b = A.members(spark, d).select("gene_no"), A.associations(spark, d).select("gene_no")
     count = lambda name, x: x.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
     return count("union", a.union(b).distinct()).unionByName(count("intersect", a.intersect(b))).unionByName(count("except", a.subtract(b)))
 

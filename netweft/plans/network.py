@@ -139,11 +139,11 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "g2_shortest_paths",
     f"""WITH RECURSIVE {A.EDGES}, o AS (SELECT g1, g2 FROM edge GROUP BY g1, g2 HAVING count(*) >= 3), bo AS (SELECT g1 AS u, g2 AS v FROM o UNION ALL SELECT g2, g1 FROM o),
-re AS (SELECT u, u AS v, 0 AS distance FROM bo UNION SELECT re.u, bo.v, distance + 1 FROM re JOIN bo ON re.v = bo.u WHERE distance < 4) SELECT u, v, min(distance) AS distance FROM re GROUP BY u, v""",
+re AS (SELECT u, u AS v, 0 AS distance FROM bo UNION SELECT re.u, bo.v, distance + 1 FROM re JOIN bo ON re.v = bo.u WHERE distance < (SELECT count(DISTINCT u) FROM bo)) SELECT u, v, min(distance) AS distance FROM re GROUP BY u, v""",
 )
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     e = graphs.overlay(A.edges(spark, d), 3)
-    return graphs.shortest_paths(e, graphs.endpoints(e).distinct().withColumnRenamed("gene", "u"), 4)
+    return graphs.shortest_paths(e, graphs.endpoints(e).distinct().withColumnRenamed("gene", "u"))
 
 
 @query("a7_presence_matrix", f"WITH {A.BRANDS} SELECT gene, count(DISTINCT dataset_no) AS frequency, string_agg(DISTINCT dataset_no::VARCHAR, ' ' ORDER BY dataset_no::VARCHAR) AS datasets FROM lq GROUP BY gene")

@@ -387,28 +387,28 @@ def homogeneity_curve(spark: SparkSession, d: str) -> DataFrame:
     return s.select("freq", "cliques", F.round("m", 6).alias("mean"), F.round(F.col("m") - band, 6).alias("low"), F.round(F.col("m") + band, 6).alias("high"))
 
 
-@query("c9_columns_side_by_side", f"WITH {A.EDGE_COUNTS} SELECT g1, g2, " + ", ".join(f"sum(n) FILTER (dataset_no = {i})::BIGINT AS d{i}" for i in range(1, 5)) + " FROM ec WHERE dataset_no BETWEEN 1 AND 4 GROUP BY g1, g2")
+@query("c9_columns_side_by_side", f"WITH {A.EDGE_COUNTS} SELECT g1, g2, " + ", ".join(f"sum(n) FILTER (dataset_no = {i})::BIGINT AS d{i}" for i in range(1, DATASETS + 1)) + " FROM ec GROUP BY g1, g2")
 def columns_side_by_side(spark: SparkSession, d: str) -> DataFrame:
-    """The edge tables of four datasets as columns of one: an edge has a row if any of them has it."""
-    e = A.edge_counts(spark, d).where("dataset_no BETWEEN 1 AND 4")
-    return e.groupBy("g1", "g2").agg(*[F.sum(F.when(F.col("dataset_no") == i, F.col("n"))).alias(f"d{i}") for i in range(1, 5)])
+    """The edge tables of all datasets as columns of one: an edge has a row if any of them has it."""
+    e = A.edge_counts(spark, d)
+    return e.groupBy("g1", "g2").agg(*[F.sum(F.when(F.col("dataset_no") == i, F.col("n"))).alias(f"d{i}") for i in range(1, DATASETS + 1)])
 
 
 @query(
     "g11_second_order_graph",
-    f"""WITH {A.EDGES}, {CLUSTERS}, o AS (SELECT g1, g2 FROM edge GROUP BY g1, g2 HAVING count(*) >= 5), ce AS (SELECT a.mcl_id, g1, g2 FROM o JOIN cl a ON a.gene_no = g1 JOIN cl b ON b.gene_no = g2 AND a.mcl_id = b.mcl_id),
+    f"""WITH {A.EDGES}, {CLUSTERS}, o AS (SELECT g1, g2 FROM edge GROUP BY g1, g2 HAVING count(*) >= 3), ce AS (SELECT a.mcl_id, g1, g2 FROM o JOIN cl a ON a.gene_no = g1 JOIN cl b ON b.gene_no = g2 AND a.mcl_id = b.mcl_id),
 p AS (SELECT x.mcl_id, x.g1 AS a1, x.g2 AS a2, y.g1 AS b1, y.g2 AS b2 FROM ce x JOIN ce y ON x.mcl_id = y.mcl_id AND (x.g1, x.g2) < (y.g1, y.g2))
-SELECT mcl_id, a1, a2, b1, b2, round(corr(u.n, v.n), 6) AS cor FROM p JOIN edge u ON u.g1 = a1 AND u.g2 = a2 JOIN edge v ON v.g1 = b1 AND v.g2 = b2 AND v.dataset_no = u.dataset_no GROUP BY ALL HAVING count(*) >= 5 AND round(corr(u.n, v.n), 6) BETWEEN 0.5 AND 1""",
+SELECT mcl_id, a1, a2, b1, b2, round(corr(u.n, v.n), 6) AS cor FROM p JOIN edge u ON u.g1 = a1 AND u.g2 = a2 JOIN edge v ON v.g1 = b1 AND v.g2 = b2 AND v.dataset_no = u.dataset_no GROUP BY ALL HAVING count(*) >= 3 AND round(corr(u.n, v.n), 6) BETWEEN 0.5 AND 1""",
 )
 def second_order_graph(spark: SparkSession, d: str) -> DataFrame:
     """Edges of a cluster as vertices, linked where their strengths go together over the datasets that have both."""
     e = A.edges(spark, d)
     entries = F.map_from_entries(F.collect_list(F.struct("dataset_no", "n")))
-    o = e.groupBy("g1", "g2").agg(entries.alias("m")).where("size(m) >= 5")
+    o = e.groupBy("g1", "g2").agg(entries.alias("m")).where("size(m) >= 3")
     v = o.select("g1", "g2", F.transform(F.sequence(F.lit(1), F.lit(DATASETS)), lambda i: F.try_element_at("m", i).cast("double")).alias("v"))
     inside = graphs.cluster_edges(brand_clusters(spark, d), v)
     x, y = (inside.select("mcl_id", F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"), F.col("v").alias(f"v{k}")) for k in "ab")
     pairs = x.join(y, "mcl_id").where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
     s = C.sums(F.col("va"), F.col("vb"))
     cor = F.round(C.pearson(F.col("va"), F.col("vb")), 6)
-    return pairs.withColumns({"n": s["n"], "cor": cor}).where("n >= 5 AND cor BETWEEN 0.5 AND 1").select("mcl_id", "a1", "a2", "b1", "b2", "cor")
+    return pairs.withColumns({"n": s["n"], "cor": cor}).where("n >= 3 AND cor BETWEEN 0.5 AND 1").select("mcl_id", "a1", "a2", "b1", "b2", "cor")

@@ -13,12 +13,12 @@ from netweft.plans.annotation import text
 from netweft.plans.network import CLUSTERS, DATASETS, brand_clusters
 from netweft.plans.registry import query
 
-# Sequences: the letters a, c, g and t of the first 60 characters of a text, as upper case.
-BASES = "sq AS (SELECT doc_id, regexp_replace(upper(left(coalesce(text, ''), 60)), '[^ACGT]', '', 'g') AS s FROM documents)"
+# Sequences: the letters a, c, g and t of a whole text, as upper case.
+BASES = "sq AS (SELECT doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS s FROM documents)"
 
 
 def sequences_of(spark: SparkSession, d: str) -> DataFrame:
-    s = F.regexp_replace(F.upper(F.left(F.coalesce("text", F.lit("")), F.lit(60))), "[^ACGT]", "")
+    s = F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "")
     return A.table(spark, d, "documents").select("doc_id", s.alias("s"))
 
 
@@ -27,12 +27,14 @@ def reverse_complement(spark: SparkSession, d: str) -> DataFrame:
     return sequences_of(spark, d).select("doc_id", X.reverse_complement(F.col("s")).alias("r"))
 
 
-@query("f16_mismatches", f"WITH {BASES}, p AS (SELECT a.doc_id, left(a.s, 8) AS x, left(b.s, 8) AS y FROM sq a JOIN sq b ON b.doc_id = a.doc_id + 1) SELECT doc_id, CASE WHEN length(x) = length(y) THEN len(list_filter(range(1, length(x) + 1), lambda i: x[i] <> y[i]))::INT END AS n, CASE WHEN length(x) = 8 THEN len(list_filter(range(1, 9), lambda i: NOT contains(['AG', 'ACGT', 'CT', 'A', 'ACGT', 'CG', 'GT', 'ACT'][i], x[i])))::INT END AS c FROM p")
+@query("f16_mismatches", f"WITH {BASES}, p AS (SELECT doc_id, string_split(s, '') AS x, string_split(reverse(translate(s, 'ACGT', 'TGCA')), '') AS y, regexp_extract_all(s, '.{{8}}') AS w FROM sq) SELECT doc_id, CAST(len(list_filter(list_zip(x, y), lambda z: z[1] <> z[2])) AS INT) AS n, CAST(coalesce(list_sum(list_transform(w, lambda v: len(list_filter(range(1, 9), lambda i: NOT contains(['AG', 'ACGT', 'CT', 'A', 'ACGT', 'CG', 'GT', 'ACT'][i], v[i]))))), 0) AS BIGINT) AS c FROM p")
 def mismatches(spark: SparkSession, d: str) -> DataFrame:
-    """Places where the first eight bases differ from those of the next text, and from the consensus RNYANSKH."""
-    s = sequences_of(spark, d).select("doc_id", F.left("s", F.lit(8)).alias("x"))
-    p = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
-    return p.select("doc_id", X.mismatches(F.col("x"), F.col("y")).alias("n"), X.consensus_mismatches(F.lit("RNYANSKH"), F.col("x")).alias("c"))
+    """Places where a sequence differs from its reverse complement, and where its pieces of eight bases, side by side, differ from
+    the consensus RNYANSKH."""
+    s = sequences_of(spark, d)
+    pieces = sequences.chunked(s, "doc_id", "s", 8).where("length(piece) = 8")
+    found = pieces.groupBy("doc_id").agg(F.sum(X.consensus_mismatches(F.lit("RNYANSKH"), F.col("piece"))).alias("c"))
+    return s.join(found, "doc_id", "left").select("doc_id", X.mismatches(F.col("s"), X.reverse_complement(F.col("s"))).alias("n"), F.coalesce("c", F.lit(0)).cast("long").alias("c"))
 
 
 @query("f17_allowed_mismatches", f"WITH {BASES} SELECT doc_id, CASE WHEN length(s) <= 5 THEN 0 ELSE greatest(1, floor(length(s) * 0.1))::INT END AS n FROM sq")

@@ -29,6 +29,14 @@ def graph_edges(spark: SparkSession, path: str, min_weight: float | None = None)
     return e if min_weight is None else e.where(F.col("weight") >= min_weight)
 
 
+def adjacency_matrix(spark: SparkSession, path: str, min_weight: float) -> DataFrame:
+    """g1 < g2 (row and column from 0), weight of the upper half of a matrix of ``min_weight`` at least; a line is the row's number
+    and its values (S3)."""
+    w = spark.read.text(path).select(_words().alias("w")).where("size(w) >= 2")
+    cell = w.select(F.col("w")[0].cast("int").alias("g1"), F.posexplode(_rest(F.col("w"), 2, "double")).alias("g2", "weight"))
+    return cell.where((F.col("g1") < F.col("g2")) & (F.col("weight") >= min_weight))
+
+
 def edge_vectors(spark: SparkSession, path: str, min_support: int = 0, max_support: int = 200) -> DataFrame:
     """g1 <= g2 and the 0/1 vector of the lines ``g1 g2 0 1 ...`` with a sum inside the window."""
     w = spark.read.text(path).select(_words().alias("w")).where("size(w) >= 3")
@@ -75,7 +83,7 @@ def without_overhead(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").rlike(r"^[c(*]"))
 
 
-def codense_clusters(spark: SparkSession, path: str) -> DataFrame:
+def cluster_table(spark: SparkSession, path: str) -> DataFrame:
     """cluster_id, no_of_edges, connectivity, vertex_set of tab-separated lines ``id nodes edges v1 v2 ...``."""
     w = spark.read.text(path).select(F.split("value", "\t").alias("w")).where("size(w) > 3")
     n, e = F.col("w")[1].cast("int"), F.col("w")[2].cast("int")
@@ -205,3 +213,52 @@ def dataset_ids(spark: SparkSession, path: str) -> DataFrame:
     from netweft.functions.text import trailing_number
 
     return spark.read.text(path).where("value <> ''").select(trailing_number(F.trim("value")).alias("dataset_no"), F.trim("value").alias("dataset_id"))
+
+
+def index_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """go_id, indexes: all index strings of a term, sorted, of tab-separated lines ``term index``."""
+    w = spark.read.text(path).select(F.split("value", "\t").alias("w")).where("size(w) >= 2 AND w[0] <> ''")
+    return w.groupBy(F.col("w")[0].alias("go_id")).agg(F.array_sort(F.collect_set(F.trim(F.col("w")[1]))).alias("indexes"))
+
+
+def cluster_statistics(spark: SparkSession, path: str, limit_id: int | None = None) -> DataFrame:
+    """mcl_id, leave_one_out, p_values of tab-separated lines ``mcl_id gene p1 p2 ...``; of clusters below ``limit_id``."""
+    w = spark.read.text(path).select(F.split("value", "\t").alias("w")).where("size(w) >= 2")
+    out = w.select(F.col("w")[0].try_cast("long").alias("mcl_id"), F.col("w")[1].try_cast("long").alias("leave_one_out"), _rest(F.col("w"), 3, "double").alias("p_values")).where("mcl_id IS NOT NULL")
+    return out if limit_id is None else out.where(F.col("mcl_id") < limit_id)
+
+
+#: The heads of a record's lines.
+TERM_TYPE, TERM_HEADS = "TERMTYPE:[", ("id:", "name:", "alt_id:", "namespace:", "def:", "comment:", "is_a:")
+
+
+def term_records(spark: SparkSession, path: str) -> DataFrame:
+    """term_type, id, name, alt_ids, namespace, parents, no_of_genes, genes of a flat file of terms.
+
+    A record is some lines ``def:`` and ``is_a:``, a line ``TERMTYPE:[...]``, ``id:``, ``name:`` and ``namespace:`` lines with
+    other heads among them, and a line ``n;gene;gene...``. Blank lines may follow, none stand inside, so that tasks split the
+    file at them; records without one between them are parted behind the data line, which alone begins with digits and a
+    semicolon. A line that has no head continues the line before. Records without a type, an id or a data line are left out;
+    so is what follows the last data line. Lines end in a newline.
+    """
+    r = spark.read.option("lineSep", "\n\n").text(path)
+    ended = F.regexp_replace(F.concat(F.lit("\n"), "value", F.lit("\n")), r"(?m)^(\d+;[^\n]*)\n", "$1\n\u0001")
+    record = r.select(F.explode(F.split(ended, "\u0001")).alias("t"))
+    heads = "|".join([*(h.replace(":", "") for h in TERM_HEADS), "TERMTYPE"])
+    joined = F.regexp_replace("t", rf"\n+[ \t]*+(?!(?:{heads}):|\d+;)(?=\S)", " ").alias("t")
+    record = record.select(joined)
+    every = lambda head: F.transform(F.regexp_extract_all("t", F.lit(rf"(?m)^{head}[ \t]*([^\n]*?)[ \t]*$"), 1), lambda x: x)
+    one = lambda head: F.try_element_at(every(head), F.lit(1))
+    kind = F.try_element_at(F.regexp_extract_all("t", F.lit(r"(?m)^TERMTYPE:\[([^\]\n]*)\]"), 1), F.lit(1))
+    data = F.try_element_at(F.regexp_extract_all("t", F.lit(r"(?m)^(\d+;[^\n]*)$"), 1), F.lit(1))
+    parts = F.split(data, ";")
+    genes = F.filter(F.slice(parts, 2, F.size(parts) - 1), lambda g: F.trim(g) != "")
+    return record.select(
+        kind.alias("term_type"), one("id:").alias("id"), one("name:").alias("name"), every("alt_id:").alias("alt_ids"), one("namespace:").alias("namespace"), every("is_a:").alias("parents"),
+        parts[0].cast("int").alias("no_of_genes"), F.transform(genes, lambda g: F.trim(g)).alias("genes"),
+    ).where("term_type IS NOT NULL AND id IS NOT NULL AND genes IS NOT NULL")
+
+
+def known_functions(records: DataFrame) -> DataFrame:
+    """gene, go_ids (sorted): what ``term_records`` says of each gene."""
+    return records.select("id", F.explode("genes").alias("gene")).groupBy("gene").agg(F.array_sort(F.collect_set("id")).alias("go_ids"))

@@ -57,3 +57,18 @@ def matrix_lines(edges: DataFrame) -> DataFrame:
 def itemset_lines(clusters: DataFrame) -> DataFrame:
     """Sorted vertex sets, one a line, by blanks: the input of frequent itemset programs."""
     return clusters.select(F.array_join(F.transform(F.array_sort("vertex_set"), lambda x: x.cast("string")), " ").alias("value"))
+
+
+def term_lines(terms: DataFrame) -> DataFrame:
+    """Records of a flat file of terms, of term_type, id, name, namespace, parents and genes (S21); each ends in a blank line."""
+    parents = F.array_join(F.transform("parents", lambda p: F.concat(F.lit("is_a: "), p, F.lit("\n"))), "")
+    genes = F.concat(F.size("genes").cast("string"), F.lit(";"), F.array_join("genes", ";"))
+    head = F.concat(F.lit("TERMTYPE:["), "term_type", F.lit("]\nid: "), "id", F.lit("\nname: "), "name", F.lit("\nnamespace: "), "namespace", F.lit("\n"))
+    return terms.select(F.concat(head, parents, genes, F.lit("\n")).alias("value"))
+
+
+def whole_documents(lines: DataFrame, head: str, foot: str, files: int = 8) -> DataFrame:
+    """The lines in ``files`` partitions, each between a head and a foot, so that every file written is a document."""
+    place = lines.select(F.pmod(F.xxhash64("value"), F.lit(files)).cast("int").alias("p"), F.lit(1).alias("o"), "value")
+    ends = lines.sparkSession.range(files).select(F.col("id").cast("int").alias("p"), F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("o"), F.lit(foot).alias("value")))).alias("e"))
+    return place.unionByName(ends.select("p", "e.o", "e.value")).repartitionById(files, "p").sortWithinPartitions("o").select("value")

@@ -20,7 +20,7 @@ def rows(df):
 
 
 def test_cluster_formats(spark, put):
-    c = formats.codense_clusters(spark, put("c", "7\t3\t2\t11\t12\t13\t\n"))
+    c = formats.cluster_table(spark, put("c", "7\t3\t2\t11\t12\t13\t\n"))
     assert rows(c) == [[7, 2, 2 / 3, [11, 12, 13]]]
     p = formats.pattern_lines(spark, put("p", "[3, 1, 2]\t[[3, 1], [2, 1]]\t[0.5, 1]\n[1, 2]\t[[1, 2]]\n"), 3)
     assert rows(p) == [[[1, 2, 3], [[1, 2], [1, 3]], [0.5, 1.0], None]]
@@ -69,3 +69,89 @@ def test_writers(spark, tmp_path):
     writers.write_predictions(p, f"file://{tmp_path}/csv")
     back = spark.read.option("header", True).csv(f"file://{tmp_path}/csv").collect()
     assert [tuple(r) for r in back] == [("1", "it's", "1 2", None)]
+
+
+FLAT = """def: opens a record
+is_a: T:9
+TERMTYPE:[P]
+id: T:1
+name: first
+ and more of it
+alt_id: T:01
+alt_id: T:02
+namespace: process
+comment: none
+is_a: T:0
+2;Y1;Y2
+
+TERMTYPE:[P]
+id: T:2
+name: second
+namespace: process
+1;Y2
+TERMTYPE:[F]
+id: T:3
+name: without genes
+namespace: function
+0;
+
+TERMTYPE:[P]
+id: T:4
+name: without a data line
+namespace: process
+
+TERMTYPE:[P]
+name: without an id
+namespace: process
+1;Y9
+
+id: T:5
+name: without a type
+namespace: process
+1;Y8
+
+
+TERMTYPE:[P]
+id: T:6
+name: last
+namespace: process
+3;Y1; Y3 ;
+"""
+
+
+def test_term_records(spark, put):
+    got = {r["id"]: r for r in formats.term_records(spark, put("terms", FLAT)).collect()}
+    assert set(got) == {"T:1", "T:2", "T:3", "T:6"}
+    first = got["T:1"]
+    assert (first["term_type"], first["name"], first["namespace"], first["no_of_genes"]) == ("P", "first and more of it", "process", 2)
+    assert first["alt_ids"] == ["T:01", "T:02"] and first["parents"] == ["T:9", "T:0"] and first["genes"] == ["Y1", "Y2"]
+    assert got["T:3"]["genes"] == [] and got["T:3"]["term_type"] == "F" and got["T:6"]["genes"] == ["Y1", "Y3"]
+    known = {r["gene"]: r["go_ids"] for r in formats.known_functions(formats.term_records(spark, put("terms", FLAT))).collect()}
+    assert known == {"Y1": ["T:1", "T:6"], "Y2": ["T:1", "T:2"], "Y3": ["T:6"]}
+    assert formats.term_records(spark, put("nothing", "")).count() == 0
+
+
+def test_small_loaders(spark, put):
+    assert rows(formats.index_arrays(spark, put("ix", "T:1\t1,2\nT:1\t1,1\n\nT:2\t1\n"))) == [["T:1", ["1,1", "1,2"]], ["T:2", ["1"]]]
+    s = formats.cluster_statistics(spark, put("cs", "1\t5\t0.5\tNA\nx\t1\t2\n7\t6\n9\t1\t1\n"), 9)
+    assert rows(s) == [[1, 5, [0.5, None]], [7, 6, []]]
+    m = formats.adjacency_matrix(spark, put("am", "0 0 5 1\n1 5 0 7\n2 1 7 0\n"), 5)
+    assert rows(m) == [[0, 1, 5.0], [1, 2, 7.0]]
+
+
+def test_term_lines_are_read_back(spark, put, tmp_path):
+    rec = formats.term_records(spark, put("terms", FLAT)).where("id <> 'T:3'")
+    path = f"file://{tmp_path}/flat"
+    writers.term_lines(rec).write.text(path)
+    cols = ["term_type", "id", "name", "namespace", "parents", "genes"]
+    assert sorted(map(tuple, formats.term_records(spark, path).select(*cols).collect())) == sorted(map(tuple, rec.select(*cols).collect()))
+
+
+ROUND_TRIPS = ["s1_expression_matrix", "s3_matrix_scan", "s9_block_records", "s13_site_report", "s15_interaction_entries", "s21_term_records", "k10_cluster_lines"]
+
+
+@pytest.mark.parametrize("name", ROUND_TRIPS)
+def test_round_trip_query_matches_sql(spark, sf, name):
+    from tests.test_library import test_query_matches_sql
+
+    test_query_matches_sql(spark, sf, name)
