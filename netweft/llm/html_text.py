@@ -2,15 +2,19 @@
 
 1. Markup is stripped: every block element becomes one line of text with character references decoded. Scripts, styles,
    menus, page headers and footers, sidebars, forms, notices, adverts and reader comments count as markup, told by element
-   name, role or a whole class or id name. A class or id doesn't count on an article or main element or on one that holds
-   most of the page's text, unless it names reader comments. What is markup gives no line, but a menu, header or footer parts
-   the lines before from those after it by a window of empty ones.
-2. Every line has a weight. Where the page names no article, it is the length outside links. Where it has article elements,
-   their lines weigh their length and ``surge`` more, other lines of a main element their length outside links, and all
-   others nothing; where it has a main element alone, that is the article.
-3. Weights are summed over a sliding window of ``window`` lines. A surge point is where the sum reaches ``surge`` (or the
+   name, role, or a class or id that is made of such words; a name that only holds one of them counts if most of the text is
+   links. Names count neither on an article or main element nor on one that holds most of the page's text, unless they name
+   reader comments. What is markup gives no line.
+2. The bounds of containers (div, section and the like) that stand between two lines become empty lines, paragraphs, headings
+   and list items none; one bound less counts between two lines that both stand in such a flow element, and none behind a
+   heading, which belongs to what follows. A menu, header or footer gives a whole window of empty lines. So lines of one block
+   of text stand together, and blocks apart.
+3. Every line weighs its length outside links. Article elements (or else main elements) that hold ``share`` of the text left
+   scale weights: their lines weigh their whole length times ``boost``, other lines of a main element stay, all others
+   weigh the ``outside`` part; bounds inside them part nothing. A page without such an element has one scale.
+4. Weights are summed over a sliding window of ``window`` lines. A surge point is where the sum reaches ``surge`` (or the
    page's highest sum, if lower), a dive point where it falls to zero. Text from the rise to the first surge up to the last
-   dive is kept, whatever its size, but for lines where the sum is zero.
+   dive is kept, whatever its size, but for lines where the sum is zero. On every page this decides what is text.
 
 A narrow map: every page by itself, no shuffle. Memory holds one batch of pages. The scan is linear in a page's length, for
 unclosed tags, quotes and elements too.
@@ -48,35 +52,48 @@ DROPPED = frozenset("nav footer aside form menu dialog button fieldset head sear
 PARTING = frozenset("nav header footer".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "title", "caption", "legend", "tbody", "thead", "tfoot", "tr"}
 BOILER = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies disqus discussion respond sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended newsletter subscribe signup login search widget pagination pager complementary contentinfo".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay comment comments reply replies disqus discussion respond sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended newsletter subscribe signup login search widget pagination pager complementary contentinfo".split()
 )
-COMMENTS = frozenset("comment comments reply replies disqus discussion respond".split())
+COMMENTS = frozenset("comment comments reply replies disqus".split())
+#: Words that articles use as well.
+WEAK = frozenset("discussion respond".split())
+#: Words that say nothing about what an element holds.
+IDLE = frozenset("js wp inline block".split())
 #: Words that may stand before a boilerplate word (site-footer) or after it (cookie-bar) in one name.
 BEFORE = frozenset("site page main global top bottom left right primary secondary article post entry story user reader".split())
-AFTER = frozenset("area bar block body box button buttons column container content form group holder inner item items link links list message panel section slot text thread unit widget wrap wrapper".split())
+AFTER = frozenset("area bar block body box button buttons column container content form group holder inner item items link links list message page pages panel post posts section slot stories story text thread unit widget wrap wrapper".split())
 TITLED = frozenset("article post entry story".split())
 CELLS = frozenset({"td", "th"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("article body center dialog div header hgroup html main section".split())
 OWN = ("article", "main")
 #: An element that starts ends an open one of the names given, up to the nearest of the bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
-def _boiler(name: str) -> str:
-    """The boilerplate word that a class, id or role names; '' if it names none."""
-    words = re.split("[_-]+", name.lower())
+def _boiler(name: str) -> tuple[str, bool]:
+    """A boilerplate word that a class, id or role holds ('' if none), and whether the whole name is made of such words."""
+    words = [w for w in re.split("[_-]+", name.lower()) if w and not w.isdigit() and w not in IDLE]
+    held = next((w for w in words if w in BOILER), "")
+    if not held:
+        return "", False
     if len(words) == 1:
-        return words[0] if words[0] in BOILER else ""
+        return held, held not in WEAK
     if words[-1] in BOILER and all(w in BOILER or w in BEFORE for w in words):
-        return "" if words[-1] == "header" and words[0] in TITLED else words[-1]
-    return words[0] if words[0] in BOILER and all(w in BOILER or w in AFTER for w in words[1:]) else ""
+        return ("", False) if words[-1] == "header" and words[0] in TITLED else (words[-1], words[-1] not in WEAK)
+    return words[0] if words[0] in BOILER else held, words[0] in BOILER - WEAK and all(w in BOILER or w in AFTER for w in words[1:])
 
 
-def _named(attributes: str) -> set[str]:
-    found = set()
+def _named(attributes: str) -> tuple[set[str], bool]:
+    """The words of whole boilerplate names, and whether another name holds such a word."""
+    found, weak = set(), False
     for m in NAMES.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
-            found.add(_boiler(name))
-    return found - {""}
+            word, whole = _boiler(name)
+            if whole:
+                found.add(word)
+            weak |= bool(word) and not whole
+    return found, weak
 
 
 def _events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -113,10 +130,11 @@ def _events(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Element:
-    __slots__ = ("name", "parent", "named", "before", "text", "gone")
+    __slots__ = ("name", "parent", "named", "weak", "before", "text", "linked", "gone")
 
-    def __init__(self, name: str, parent, named: set[str], before: int, gone: bool) -> None:
-        self.name, self.parent, self.named, self.before, self.text, self.gone = name, parent, named, before, 0, gone
+    def __init__(self, name: str, parent, named: set[str], weak: bool, before: int, linked: int, gone: bool) -> None:
+        self.name, self.parent, self.named, self.weak, self.gone = name, parent, named, weak, gone
+        self.before, self.text, self.linked = before, 0, linked
 
 
 def _tree(page: str) -> tuple[list[tuple[str, object, str]], int]:
@@ -124,12 +142,12 @@ def _tree(page: str) -> tuple[list[tuple[str, object, str]], int]:
     out: list[tuple[str, object, str]] = []
     stack: list[_Element] = []
     count: Counter[str] = Counter()
-    total = gone = own = 0
+    total = linked = gone = own = 0
 
     def pop(k: int) -> None:
         nonlocal gone, own
         for e in reversed(stack[k:]):
-            e.text = total - e.before
+            e.text, e.linked = total - e.before, linked - e.linked
             count[e.name] -= 1
             gone -= e.gone
             own -= e.name in OWN
@@ -141,6 +159,7 @@ def _tree(page: str) -> tuple[list[tuple[str, object, str]], int]:
             out.append(("text", stack[-1] if stack else None, name))
             if not gone:
                 total += len(name)
+                linked += len(name) if count["a"] else 0
             continue
         if kind == "close":
             if count[name]:
@@ -167,10 +186,10 @@ def _tree(page: str) -> tuple[list[tuple[str, object, str]], int]:
             out.append(("line" if name in BLOCK else "space" if name == "br" else "void", None, ""))
             continue
         away = name in DROPPED or (name == "header" and not own) or (bool(attributes) and HIDDEN.search(attributes) is not None and name not in ("html", "body"))
-        named = _named(attributes) if attributes and name not in ("html", "body") else set()
+        named, weak = _named(attributes) if attributes and name not in ("html", "body") else (set(), False)
         if own:  # the article's own header
             named.discard("header")
-        element = _Element(name, stack[-1] if stack else None, named, total, away)
+        element = _Element(name, stack[-1] if stack else None, named, weak, total, linked, away)
         stack.append(element)
         count[name] += 1
         gone += away
@@ -181,28 +200,43 @@ def _tree(page: str) -> tuple[list[tuple[str, object, str]], int]:
 
 
 def _away(e: _Element, total: int) -> bool:
-    if e.gone:
-        return True
-    if e.named & COMMENTS:
+    if e.gone or e.named & COMMENTS:
         return True
-    return bool(e.named) and e.name not in OWN and 2 * e.text <= total
+    if e.name in OWN or 2 * e.text > total:
+        return False
+    return bool(e.named) or (e.weak and 2 * e.linked > e.text)
+
+
+Line = tuple[str, int, tuple[_Element, ...]]
 
 
-def lines_of(page: str, window: int = 3) -> list[tuple[str, int, str]]:
-    """(text, its characters outside links, the article or main element that it is in) for each block that isn't markup;
-    empty lines where a menu, header or footer was."""
+def lines_of(page: str, window: int = 2) -> list[Line]:
+    """(text, its characters outside links, the article and main elements that it is in) for each block that isn't markup, and
+    the empty lines between them."""
     events, total = _tree(page)
-    lines: list[tuple[str, int, str]] = []
+    lines: list[Line] = []
     text: list[str] = []
     away = links = linked = 0
-    inside: Counter[str] = Counter()
+    inside: list[_Element] = []
+    blocks: list[str] = ["body"]
+    bounds: list[Line] = []
+    parted: list[Line] = []
+    before = "body"  # the innermost block of the line before
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, before
         if text:
             whole = SPACE.sub(" ", html_lib.unescape("".join(text))).strip()
             if whole:
-                lines.append((whole, max(0, len(whole) - linked), "article" if inside["article"] else "main" if inside["main"] else ""))
+                if before in HEADINGS:
+                    bounds.clear()
+                elif not {before, blocks[-1]} & CONTAINERS:
+                    del bounds[:1]
+                lines.extend([*bounds, *parted])
+                lines.append((whole, max(0, len(whole) - linked), tuple(inside)))
+                bounds.clear()
+                parted.clear()
+                before = blocks[-1]
             text.clear()
         linked = 0
 
@@ -218,23 +252,54 @@ def lines_of(page: str, window: int = 3) -> list[tuple[str, int, str]]:
             flush()
         elif kind != "void":
             opens = kind == "open"
+            gone = _away(e, total)
             if e.name in BLOCK:
                 flush()
+                if opens:
+                    blocks.append(e.name)
+                else:
+                    blocks.pop()
             elif e.name in CELLS:
                 text.append(" ")
             step = 1 if opens else -1
             links += step * (e.name == "a")
-            if e.name in OWN and not e.named & COMMENTS:
-                inside[e.name] += step
-            if _away(e, total):
-                away += step
-                if opens and e.name in PARTING:
-                    lines += [("", 0, "")] * window
+            own = e.name in OWN and not e.named & COMMENTS
+            if own and not opens:
+                inside.remove(e)
+            if gone:
+                if opens and not away and e.name in PARTING:
+                    parted.extend([("", 0, tuple(inside))] * window)
+            elif e.name in CONTAINERS and not away:
+                bounds.append(("", 0, tuple(inside)))
+            if own and opens:
+                inside.append(e)
+            away += step * gone
     flush()
     return lines
 
 
-def regions(sums: list[int], threshold: int) -> list[tuple[int, int]]:
+def weigh(lines: list[Line], boost: float = 8.0, outside: float = 0.25, share: float = 0.25) -> tuple[list[str], list[float]]:
+    """The lines and their weights, scaled by the article or main elements that hold ``share`` of the text. Bounds inside such
+    an element don't part its lines."""
+    held: Counter[int] = Counter()
+    kind: dict[int, str] = {}
+    for text, _, inside in lines:
+        for e in inside:
+            held[id(e)] += len(text)
+            kind[id(e)] = e.name
+    least = share * sum(len(text) for text, *_ in lines)
+    own = {k for k, n in held.items() if n >= least}
+    own = {k for k in own if kind[k] == "article"} or own
+    texts, weights = [], []
+    for text, plain, inside in lines:
+        scaled = any(id(e) in own for e in inside)
+        if text or not scaled:
+            texts.append(text)
+            weights.append(boost * len(text) if scaled else plain * (1.0 if not own or any(e.name == "main" for e in inside) else outside))
+    return texts, weights
+
+
+def regions(sums: list[float], threshold: float) -> list[tuple[int, int]]:
     """(start, dive) of every rise of the window sums between the first one that surges and the last one that does."""
     out, surges, start, surged = [], [], None, False
     for i, s in enumerate([*sums, 0]):
@@ -250,22 +315,18 @@ def regions(sums: list[int], threshold: int) -> list[tuple[int, int]]:
     return out[surges.index(True) : len(surges) - surges[::-1].index(True)]
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 86) -> str:
+def main_text(page: str | None, window: int = 2, surge: int = 130) -> str:
     if not page:
         return ""
-    lines = lines_of(page, window)
-    article = "article" if any(x == "article" for *_, x in lines) else "main"
-    named = any(x for *_, x in lines)
-    weights = [(len(text) + surge if x == article else plain if x or not named else 0) for text, plain, x in lines]
-    sums, s = [0] * len(weights), 0
-    for i in range(len(weights) - 1, -1, -1):
-        s += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
-        sums[i] = s
+    lines, weights = weigh(lines_of(page, window))
+    if not any(weights):  # nothing but links
+        weights = [float(len(text)) for text in lines]
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     out = []
-    for a, b in regions(sums, max(1, min(surge, max(sums, default=0)))):
+    for a, b in regions(sums, min(surge, max(sums, default=0))):
         while not weights[a]:  # the window reaches ahead of the rise
             a += 1
-        out += [text for text, _, x in lines[a:b] if text and (x or not named)]
+        out += [text for text in lines[a:b] if text]
     return "\n".join(out)
 
 
@@ -280,7 +341,7 @@ def _extract(window: int, surge: int):
     return run
 
 
-def extract(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url"), window: int = 3, surge: int = 86) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url"), window: int = 2, surge: int = 130) -> DataFrame:
     """``carry`` columns with text and n_chars (its code points)."""
     from pyspark.sql import types as T
 
