@@ -2,12 +2,14 @@
 
 Every stage takes the documents that the stage before kept and returns documents; the last returns their encodings.
 
-A stage decides by row, not by doc_id: rows are packed into a struct that passes through the operator, or have a key that the
-operator's verdict is joined on. Where documents are read from Parquet, as between the stages, the key is the row's place in
-its file, which needs no second copy of the texts; other DataFrames are written with keys first. Defined results: rows with a null doc_id or a repeated one are
-documents like any others; null texts are empty; all empty texts are one group of exact duplicates, of which one stays, and
-have no shingles, so no near duplicates; of rows equal in text and id one stays; columns of documents may have any names
-besides doc_id and text and come out as they were; an empty table gives no rows.
+A stage decides by row, not by doc_id: rows have a key that passes through the operator, and its verdict is joined on it.
+Where documents are read from Parquet, as between the stages, the key is the row's place in its file, which needs no second
+copy of the texts; other DataFrames are written with keys first.
+
+Defined results: rows with a null doc_id or a repeated one are documents like any others; null texts are empty; all empty
+texts are one group of exact duplicates, of which one stays, and have no shingles, so no near duplicates; of rows equal in
+text and id one stays; columns of documents may have any names besides doc_id and text and come out as they were; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,12 +54,14 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     return rows.select(F.col(f"`{DOC}`.*"))
 
 
-def _kept(keyed: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
-    """Documents that the verdicts keep. Their keys are written as bitmaps, a bit a row, so that the operator's own tables can go
-    at once, and the join sends bitmaps to the documents as long as Spark finds them small enough."""
+def _kept(keyed: DataFrame, verdicts: DataFrame, name: str, own: bool = True) -> DataFrame:
+    """Documents that the verdicts keep. Their keys are written as bitmaps, a bit a row, and the join sends bitmaps to the
+    documents as long as Spark finds them small enough. Tables that the verdicts read are deleted if they are the operator's
+    ``own``."""
     bits = verdicts.where("kept").groupBy(F.bitmap_bucket_number(KEY).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(KEY)).alias("bits"))
     kept = cut(bits, name, compression="zstd")
-    discard(verdicts)
+    if own:
+        discard(verdicts)
     at = F.bitmap_bit_position(KEY)
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     on = F.getbit(byte, (at % 8).cast("int")) == 1
@@ -65,8 +69,10 @@ def _kept(keyed: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
-    return _unpacked(toxicity.score(_packed(docs), table(spark, sf_dir, "labels"), carry=(DOC,)).where("predicted = 0"))
+    """Documents that the classifier doesn't reject; only texts and keys pass through it."""
+    keyed = _keyed(docs, "toxicity-keyed")
+    scored = toxicity.score(keyed, table(spark, sf_dir, "labels"), carry=(KEY,))
+    return _kept(keyed, scored.select(KEY, (F.col("predicted") == 0).alias("kept")), "toxicity-kept", own=False)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,8 +89,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
-    found = decontaminate.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"), carry=[DOC])
-    return _unpacked(found.where(~decontaminate.contaminated()))
+    keyed = _keyed(docs, "benchmark-keyed")
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), carry=[KEY])
+    return _kept(keyed, found.select(KEY, (~decontaminate.contaminated()).alias("kept")), "benchmark-kept", own=False)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
