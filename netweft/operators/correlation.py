@@ -181,12 +181,13 @@ def top_correlations(expression: DataFrame, share: float = 0.01, blocks: int | N
     return top_by_bins(c, ["dataset_no", "top"], F.col("cor"), ["g1", "g2"], F.col("top"), scale).select("dataset_no", "g1", "g2", "cor")
 
 
-def significant(pairs: DataFrame, cut_offs: DataFrame) -> DataFrame:
-    """``pairs`` (with min_cor, df) with sig: 1 where cut-off of its degrees of freedom <= min_cor <= 1."""
-    return pairs.join(cut_offs.select("df", "cut"), "df", "left").withColumn("sig", F.coalesce((F.col("min_cor") >= F.col("cut")) & (F.col("min_cor") <= 1), F.lit(False)).cast("int"))
+def significant(pairs: DataFrame, p: float, fixed: float = 0.6) -> DataFrame:
+    """``pairs`` (with min_cor, df) with sig: 1 where cut-off of its degrees of freedom <= min_cor <= 1; pairs without any have 0."""
+    cut_offs = cut_off_table(pairs.select("df"), p, fixed)
+    return pairs.join(cut_offs, "df", "left").withColumn("sig", F.coalesce((F.col("min_cor") >= F.col("cut")) & (F.col("min_cor") <= 1), F.lit(False)).cast("int"))
 
 
-# Student's t, for the table of cut-offs: built once for all degrees of freedom, then broadcast
+# Student's t, for the table of cut-offs: once for all degrees of freedom that occur
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -228,9 +229,17 @@ def correlation_cut_off(p: float, df: int) -> float:
     return (low + high) / 2
 
 
-def cut_off_table(spark, p: float, max_df: int = 500, fixed: float = 0.6) -> DataFrame:
-    """df, cut; with p = 0 the fixed cut-off for all."""
-    return spark.createDataFrame([(df, correlation_cut_off(p, df) if p else fixed) for df in range(1, max_df + 1)], "df int, cut double")
+def cut_off_table(degrees: DataFrame, p: float, fixed: float = 0.6) -> DataFrame:
+    """df, cut for every df >= 1 in the first column of ``degrees`` (F23); with p = 0 the fixed cut-off for all."""
+    found = degrees.select(F.col(degrees.columns[0]).cast("int").alias("df")).where("df >= 1").distinct()
+    if not p:
+        return found.withColumn("cut", F.lit(fixed))
+
+    def run(batches):
+        for rows in batches:
+            yield rows.assign(cut=[correlation_cut_off(p, int(n)) for n in rows["df"]])
+
+    return found.mapInPandas(run, "df int, cut double")
 
 
 def merge_duplicates(expression: DataFrame) -> DataFrame:

@@ -37,11 +37,31 @@ def degree_distribution(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame, by: list[str]) -> DataFrame:
-    """a < b < c of each dataset, by joining edges that start alike with the edge that closes them."""
-    x = edges.select(*by, F.col("g1").alias("a"), F.col("g2").alias("b"))
-    y = edges.select(*by, F.col("g1").alias("a"), F.col("g2").alias("c"))
-    z = edges.select(*by, F.col("g1").alias("b"), F.col("g2").alias("c"))
-    return x.join(y, [*by, "a"]).where("b < c").join(z, [*by, "b", "c"]).select(*by, "a", "b", "c")
+    """a < b < c of each dataset: two edges that start alike and the edge that closes them.
+
+    Edges run from the vertex of the smaller degree (ties: the smaller name) to the other, so that a hub starts few of them and
+    the pairs formed stay near the number of edges times its square root.
+    """
+    e = edges.select(*by, F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).where("g1 < g2").distinct()
+    degree = e.select(*by, F.explode(F.array("g1", "g2")).alias("g")).groupBy(*by, "g").agg(F.count("*").alias("d"))
+    ranked = lambda g, d: degree.select(*by, F.col("g").alias(g), F.col("d").alias(d))
+    e = e.join(ranked("g1", "d1"), [*by, "g1"]).join(ranked("g2", "d2"), [*by, "g2"])
+    p, q = F.struct(F.col("d1").alias("d"), F.col("g1").alias("g")), F.struct(F.col("d2").alias("d"), F.col("g2").alias("g"))
+    e = e.select(*by, F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
+    one = lambda u, v: e.select(*by, F.col("u").alias(u), F.col("v").alias(v))
+    met = one("u", "v").join(one("u", "w"), [*by, "u"]).where("v < w").join(one("v", "w"), [*by, "v", "w"])
+    names = F.array_sort(F.array("u.g", "v.g", "w.g"))
+    return met.select(*by, names.alias("n")).select(*by, *[F.col("n")[i].alias(k) for i, k in enumerate("abc")])
+
+
+def in_blocks(rows: DataFrame, key: str, within: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """The rows twice, with columns __i and __j: joined on the key and these, all rows of a key meet each other, but no task
+    holds more than some ``within`` of a key on either side, however many it has."""
+    many = rows.groupBy(key).agg(F.ceil(F.count("*") / within).cast("int").alias("__n"))
+    own = rows.join(many, key).withColumn("__b", F.pmod(F.xxhash64(*rows.columns), F.col("__n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    left = own.withColumn("__i", F.col("__b")).withColumn("__j", every).drop("__b", "__n")
+    return left, own.withColumn("__i", every).withColumn("__j", F.col("__b")).drop("__b", "__n")
 
 
 def four_cliques(edges: DataFrame, by: list[str]) -> DataFrame:

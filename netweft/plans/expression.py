@@ -113,9 +113,17 @@ def fill_missing(spark: SparkSession, d: str) -> DataFrame:
     return filled.groupBy("dataset_no").agg(F.count(x).alias("n"), F.count_if(h == x).alias("present"), F.count_if(h.isNull() & x.between(-1, 1)).alias("inside"), F.round(F.sum(F.when(h == x, x)), 4).alias("total"))
 
 
-@query("f23_cut_off_table")
+# The tail of Student's t has a closed form for whole degrees of freedom, with the correlation as the sine of the angle.
+INSIDE = """CASE WHEN df % 2 = 0 THEN mid * list_sum(list_transform(range(0, df // 2), lambda k: exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln((2 * j - 1) / (2 * j)))), 0)) * pow(1 - mid * mid, k)))
+ELSE 2 / pi() * (asin(mid) + mid * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln((2 * j) / (2 * j + 1)))), 0)) * pow(1 - mid * mid, k + 0.5))), 0)) END"""
+
+
+@query("f23_cut_off_table", f"WITH RECURSIVE g AS (SELECT CAST(len(list_filter(embedding, lambda x: x > 0)) - 2 AS INT) AS df, count(*) AS genes FROM embeddings GROUP BY 1), b AS (SELECT df, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS i FROM g WHERE df >= 1 UNION ALL SELECT df, CASE WHEN tail > 0.01 THEN mid ELSE lo END, CASE WHEN tail > 0.01 THEN hi ELSE mid END, i + 1 FROM (SELECT *, (1 - {INSIDE}) / 2 AS tail FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE i < 50))) SELECT df, genes, round(lo, 7) AS cut FROM b JOIN g USING (df) WHERE i = 50")
 def cut_off_table(spark: SparkSession, d: str) -> DataFrame:
-    return C.cut_off_table(spark, 0.01)
+    """How many genes have so many positive values, and the correlation that is significant with as many."""
+    n = A.table(spark, d, "embeddings").select((F.size(F.filter("embedding", lambda x: x > 0)) - 2).alias("df"))
+    genes = n.groupBy("df").agg(F.count("*").alias("genes"))
+    return genes.join(C.cut_off_table(n, 0.01), "df").select("df", "genes", F.round("cut", 7).alias("cut"))
 
 
 @query("t21_spread_histogram", f"WITH {A.EXPRESSION}, s AS (SELECT round(stddev_samp(x), 9) AS s FROM (SELECT dataset_no, gene_no, unnest(v) AS x FROM expr) GROUP BY dataset_no, gene_no) SELECT CAST(floor(s * 20) AS INT) AS bin, count(*) AS genes FROM s GROUP BY 1")

@@ -251,8 +251,8 @@ def second_order(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of a cluster's edges, with the datasets in which both are significant."""
     o = graphs.edge_vectors(A.edges(spark, d), DATASETS).where("size(occ) >= 3").select("g1", "g2", "occ")
     inside = graphs.cluster_edges(brand_clusters(spark, d), o)
-    x, y = (inside.select("mcl_id", F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"), F.col("occ").alias(f"s{k}")) for k in "ab")
-    pairs = x.join(y, "mcl_id").where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
+    x, y = (side.select("mcl_id", "__i", "__j", F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"), F.col("occ").alias(f"s{k}")) for k, side in zip("ab", graphs.in_blocks(inside, "mcl_id")))
+    pairs = x.join(y, ["mcl_id", "__i", "__j"]).where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
     return pairs.select("mcl_id", "a1", "a2", "b1", "b2", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
 
 

@@ -407,8 +407,8 @@ def second_order_graph(spark: SparkSession, d: str) -> DataFrame:
     o = e.groupBy("g1", "g2").agg(entries.alias("m")).where("size(m) >= 3")
     v = o.select("g1", "g2", F.transform(F.sequence(F.lit(1), F.lit(DATASETS)), lambda i: F.try_element_at("m", i).cast("double")).alias("v"))
     inside = graphs.cluster_edges(brand_clusters(spark, d), v)
-    x, y = (inside.select("mcl_id", F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"), F.col("v").alias(f"v{k}")) for k in "ab")
-    pairs = x.join(y, "mcl_id").where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
+    x, y = (side.select("mcl_id", "__i", "__j", F.col("g1").alias(f"{k}1"), F.col("g2").alias(f"{k}2"), F.col("v").alias(f"v{k}")) for k, side in zip("ab", graphs.in_blocks(inside, "mcl_id")))
+    pairs = x.join(y, ["mcl_id", "__i", "__j"]).where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
     s = C.sums(F.col("va"), F.col("vb"))
     cor = F.round(C.pearson(F.col("va"), F.col("vb")), 6)
     return pairs.withColumns({"n": s["n"], "cor": cor}).where("n >= 3 AND cor BETWEEN 0.5 AND 1").select("mcl_id", "a1", "a2", "b1", "b2", "cor")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netweft.operators import biclusters, kernels, matrices, tight
+from netweft.operators import biclusters, correlation, graphs, kernels, matrices, tight
 
 
 def test_function_matrices(spark):
@@ -165,3 +165,38 @@ def test_components_of_groups(spark):
     e = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 7, 8), (2, 1, 9), (2, 3, 2)], "p int, g1 long, g2 long")
     got = {(r["p"], tuple(r["vertices"])) for r in biclusters.components(e, ["p"]).collect()}
     assert got == {(1, (1, 2, 3)), (1, (7, 8)), (2, (1, 9)), (2, (2, 3))}
+
+
+def test_pairs_in_blocks_meet_once(spark):
+    """However many blocks a key is dealt to, every two of its rows meet in both orders, once each."""
+    rows = [("a", i) for i in range(40)] + [("b", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, x int")
+    x, y = graphs.in_blocks(df, "k", 7)
+    met = x.join(y.withColumnRenamed("x", "y"), ["k", "__i", "__j"]).select("k", "x", "y").collect()
+    assert sorted(map(tuple, met)) == sorted((k, a, b) for k, n in (("a", 40), ("b", 3)) for a in range(n) for b in range(n))
+    assert x.groupBy("k", "__i", "__j").count().agg(F.max("count")).first()[0] < 20
+
+
+def test_triangles_of_a_hub(spark):
+    """A hub with the smallest name, doubled and turned edges, several datasets."""
+    rng = np.random.default_rng(9)
+    edges = {(0, i) for i in range(1, 40)} | {tuple(sorted(map(int, rng.choice(np.arange(1, 40), 2, replace=False)))) for _ in range(90)}
+    rows = [(d, a, b) for d in (1, 2) for a, b in edges if (a + b + d) % 5] + [(1, 7, 7)]
+    df = spark.createDataFrame(rows + [(d, b, a) for d, a, b in rows[:9]], "dataset_no int, g1 int, g2 int")
+    want = set()
+    for d in (1, 2):
+        own = {(a, b) for x, a, b in rows if x == d and a != b}
+        want |= {(d, a, b, c) for a, b in own for b2, c in own if b2 == b and (a, c) in own}
+    got = graphs.triangles(df, ["dataset_no"]).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_cut_offs_of_the_degrees_that_occur(spark):
+    """Known upper 1 percent points of Student's t: 31.821 (1), 6.965 (2), 2.764 (10), 2.326 (very many)."""
+    df = spark.createDataFrame([(1,), (2,), (10,), (10,), (100_000,), (0,), (None,)], "n int")
+    got = {r["df"]: r["cut"] for r in correlation.cut_off_table(df, 0.01).collect()}
+    for n, t in ((1, 31.8205), (2, 6.9646), (10, 2.7638), (100_000, 2.3264)):
+        assert abs(got.pop(n) - t / np.sqrt(t * t + n)) < 1e-5
+    assert not got
+    pairs = spark.createDataFrame([(0.9, 10), (0.5, 10), (1.1, 10), (0.9, None), (0.02, 100_000)], "min_cor double, df int")
+    assert [r["sig"] for r in correlation.significant(pairs, 0.01).orderBy(F.desc("df"), F.desc("min_cor")).collect()] == [1, 0, 1, 0, 0]
