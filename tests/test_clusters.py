@@ -200,3 +200,29 @@ def test_cut_offs_of_the_degrees_that_occur(spark):
     assert not got
     pairs = spark.createDataFrame([(0.9, 10), (0.5, 10), (1.1, 10), (0.9, None), (0.02, 100_000)], "min_cor double, df int")
     assert [r["sig"] for r in correlation.significant(pairs, 0.01).orderBy(F.desc("df"), F.desc("min_cor")).collect()] == [1, 0, 1, 0, 0]
+
+
+def test_candidates_join_biclusters(spark):
+    """Against brute force: correlation and distance to the column means over the bicluster's columns."""
+    rng = np.random.default_rng(12)
+    m = {(g, i): rng.normal(size=6) for g in (1, 2) for i in range(8)}
+    found = [(g, no, i, [0, 2, 3, 5] if no else [1, 2, 4, 5]) for g in (1, 2) for no in (0, 1) for i in range(no, 6)]
+    others = {100 + i: rng.normal(size=6) for i in range(200)} | {3: m[1, 3]}
+    for i in range(40):
+        g, no = 1 + i % 2, i // 2 % 2
+        others[400 + i] = np.mean([m[g, k] for k in range(no, 6)], axis=0) + rng.normal(size=6) * 0.05
+    schema = "go long, id long, v array<double>"
+    mats = spark.createDataFrame([(g, i, [float(x) for x in v]) for (g, i), v in m.items()], schema)
+    cands = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in others.items()] + [(900, [None] * 6), (901, [1.0] * 6), (902, None)], "id long, v array<double>")
+    f = spark.createDataFrame(found, "go long, no int, key long, columns array<int>")
+    want = set()
+    for g in (1, 2):
+        for no in (0, 1):
+            cols = [0, 2, 3, 5] if no else [1, 2, 4, 5]
+            mean = np.mean([m[g, k][cols] for k in range(no, 6)], axis=0)
+            for i, v in others.items():
+                if (g, i) not in m and np.corrcoef(v[cols], mean)[0, 1] >= 0.8 and np.linalg.norm(v[cols] - mean) / 4 <= 0.2:
+                    want.add((g, no, i))
+    got = biclusters.grown(f, mats, cands.repartition(3), "go", "id", "v", 0.8, 0.2).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
+    assert biclusters.grown(f.limit(0), mats, cands, "go", "id", "v").count() == 0
