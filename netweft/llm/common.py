@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweft.operators.tables import cut
 
-__all__ = ["materialise", "sha_hex", "table"]
+__all__ = ["giving_back", "materialise", "sha_hex", "table"]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -21,3 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sha_hex(column) -> "F.Column":
     return F.sha2(F.encode(column, "UTF-8"), 256)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The mapper, whose worker returns Arrow's unused memory once a partition is done: workers live on for the next stages."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return mapped

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netweft.llm.common import materialise
+from netweft.llm.common import giving_back, materialise
 
 #: Lower-cases A-Z and turns every ASCII byte that is no word character into a space; bytes of other code points stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -172,7 +172,7 @@ def decontaminate(
         last = b == blocks - 1
         fields = [f for f in out.schema if f.name not in ("__runs", "__items")]
         more = list(ADDED) if last else [T.StructField("__items", T.ArrayType(T.LongType())), T.StructField("__runs", SPANS)]
-        out = out.mapInArrow(_scanner(shared, text, last), T.StructType(fields + more))
+        out = out.mapInArrow(giving_back(_scanner(shared, text, last)), T.StructType(fields + more))
         if not last:
             out = materialise(out, "decontaminate")
     return out.select(*carry, *added)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweft.llm.common import materialise
+from netweft.llm.common import giving_back, materialise
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -247,9 +247,9 @@ def exact_groups(docs: DataFrame, local_budget: int = 64_000_000, owner_budget:
     Budgets: bytes of text that a task's trie may hold.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(key) if key else F.lit(0)).cast("long").alias("row"))
-    groups = materialise(given.mapInArrow(_local(local_budget), LOCAL), "exact-local")
+    groups = materialise(given.mapInArrow(giving_back(_local(local_budget)), LOCAL), "exact-local")
     dealt = groups.repartition("key_len", "key_hash").select("norm", "lid", "n", "cp", "id")
-    owners = dealt.mapInArrow(_owners(owner_budget), "lid long, keep_lid long, keep_id long, group_size long")
+    owners = dealt.mapInArrow(giving_back(_owners(owner_budget)), "lid long, keep_lid long, keep_id long, group_size long")
     members = groups.select("lid", "sha", F.arrays_zip("ids", "rows").alias("members"), "best").join(owners, "lid")
     return members.select("*", F.posexplode("members").alias("at", "member")).select(
         *([F.col("member.rows").alias(key)] if key else []),

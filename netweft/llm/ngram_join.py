@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweft.llm.common import materialise
+from netweft.llm.common import giving_back, materialise
 from netweft.operators.components import connected_components
 from netweft.operators.tables import cut, discard, release
 
@@ -394,7 +394,7 @@ def _ask_blocks(percent: int):
 def _by_comp(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
     """(rid, root) of rows (rid, n, shared) whose sets are joined with those of equal keys."""
     keyed = rows.withColumn("key", F.xxhash64(*keys)).select("key", "rid", "n", "shared")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_join_classes(percent), "rid long, root long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(giving_back(_join_classes(percent)), "rid long, root long")
 
 
 def _blocks(light: DataFrame, most: int, room: int) -> DataFrame:
@@ -437,7 +437,7 @@ def _large(light: DataFrame, payload: DataFrame, tokens: DataFrame, percent: int
     cols = ["comp", "part", "chunk", "rid", "n", "root"]
     every = stored.select(*cols, F.lit(0).alias("asks")).unionByName(asked.select(*cols, F.lit(1).alias("asks"))).join(payload, "rid")
     keyed = every.withColumn("key", F.xxhash64("comp", "part", "chunk")).select("key", "rid", "n", "shared", "root", "asks")
-    across = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_ask_blocks(percent), "a long, b long")
+    across = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(giving_back(_ask_blocks(percent)), "a long, b long")
     return connected_components(pairs(merged).unionByName(across)).select(F.col("id").alias("rid"), F.col("component").alias("root"))
 
 
@@ -461,8 +461,8 @@ def _set_table(docs: DataFrame, size: int, percent: int, key: str | None) -> Dat
     blocks = max(4, -(-chars // (6 * BLOCK_TOKENS)))
     # an owner has a task of its own; rows of blocks only pass through
     own = F.when(F.col("target") >= 0, F.col("target")).otherwise(F.pmod(F.xxhash64("block"), F.lit(owners))).cast("int")
-    packed = given.mapInArrow(_sets(size, owners), PACKED).repartitionById(owners, own).mapInArrow(_count, PACKED)
-    return materialise(packed.repartition(blocks, "block").mapInArrow(_filter(percent), SETS), "ngram-sets")
+    packed = given.mapInArrow(giving_back(_sets(size, owners)), PACKED).repartitionById(owners, own).mapInArrow(giving_back(_count), PACKED)
+    return materialise(packed.repartition(blocks, "block").mapInArrow(giving_back(_filter(percent)), SETS), "ngram-sets")
 
 
 def classes(docs: DataFrame, size: int = 4, percent: int = 85, most: int = 1_000, room: int = 16_000_000, key: str | None = None) -> DataFrame:

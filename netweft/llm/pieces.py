@@ -44,6 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweft.llm.common import giving_back
+
 SPACE = "▁"
 CACHE = 500_000
 GROUP = 64
@@ -605,7 +607,7 @@ def _given(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, model: str | None = None, k: int = 3, alpha: float = 1.0, seed: int = 7) -> DataFrame:
     """doc_id, ids of the text, and its sampled segmentations."""
-    return _given(docs).mapInArrow(_full(model or default_model(), k, alpha, seed), f"doc_id long, ids array<int>, {SAMPLES}")
+    return _given(docs).mapInArrow(giving_back(_full(model or default_model(), k, alpha, seed)), f"doc_id long, ids array<int>, {SAMPLES}")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
@@ -644,4 +646,4 @@ def _digest(model: str, k: int, alpha: float, seed: int):
 def digest(docs: DataFrame, model: str | None = None, k: int = 3, alpha: float = 1.0, seed: int = 7) -> DataFrame:
     """``encode`` followed by ``decode`` in one map: token counts, SHA-256 of the ids (little-endian int32) of the encoding
     and of every sample, log-probabilities, log inclusion scores, and whether all of them decode to the text."""
-    return _given(docs).mapInArrow(_digest(model or default_model(), k, alpha, seed), DIGEST)
+    return _given(docs).mapInArrow(giving_back(_digest(model or default_model(), k, alpha, seed)), DIGEST)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweft.llm.common import giving_back
 from netweft.llm.labelled import add_score, sample, with_scores
 
 SIZES = (3, 4, 5, 6)
@@ -127,7 +128,8 @@ def _score(model):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **how) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row, with the columns to ``carry``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    return add_score(docs, _score(model), 3, 1, carry=carry)
+def score(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), model: tuple[np.ndarray, float] | None = None, **how) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, with the columns to ``carry``, by the ``model`` of ``fit`` (null: one
+    fitted to these rows)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, **how))
+    return add_score(docs, giving_back(_score(shared)), 3, 1, carry=carry)
