@@ -70,8 +70,8 @@ def _kept(keyed: DataFrame, verdicts: DataFrame, name: str, own: bool = True) ->
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; only texts and keys pass through it."""
-    keyed = _keyed(docs, "toxicity-keyed")
-    scored = toxicity.score(keyed, table(spark, sf_dir, "labels"), carry=(KEY,))
+    keyed, labels = _keyed(docs, "toxicity-keyed"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(keyed, labels, carry=(KEY,), model=toxicity.fit(docs, labels))
     return _kept(keyed, scored.select(KEY, (F.col("predicted") == 0).alias("kept")), "toxicity-kept", own=False)
 
 
