@@ -42,11 +42,13 @@ def candidates(around: DataFrame, functions: DataFrame, least1: int, ratio1: flo
 
 
 def _summed(chosen: DataFrame, ends: DataFrame, functions: DataFrame, weights: DataFrame) -> DataFrame:
-    """mcl_id, gene_no, go_no, key, total: sum of the scores of ``ends`` (mcl_id, gene_no, key, v) for each function chosen."""
+    """mcl_id, gene_no, go_no, key, total: sum of the scores of ``ends`` (mcl_id, gene_no, key, v, and w, a score's factor, if they
+    differ) for each function chosen."""
+    each = F.col("w") if "w" in ends.columns else F.lit(1)
     keys = ["mcl_id", "gene_no"]
     known = functions.select(F.col("gene_no").alias("v"), F.lit(1).alias("known")).distinct()
-    all_known = ends.join(known, "v", "left").groupBy(*keys, "key").agg(F.count("known").alias("k"))
-    has = ends.join(functions.withColumnRenamed("gene_no", "v"), "v").groupBy(*keys, "key", "go_no").agg(F.count("*").alias("h"))
+    all_known = ends.join(known, "v", "left").groupBy(*keys, "key").agg(F.coalesce(F.sum(each * F.col("known")), F.lit(0)).alias("k"))
+    has = ends.join(functions.withColumnRenamed("gene_no", "v"), "v").groupBy(*keys, "key", "go_no").agg(F.sum(each).alias("h"))
     h = F.coalesce(F.col("h"), F.lit(0))
     every = chosen.join(all_known, keys).join(has, [*keys, "key", "go_no"], "left")
     return every.select(*keys, "go_no", "key", (HAS * h + OTHER * (F.col("k") - h)).alias("total")).join(weights, [*keys, "key"])
@@ -68,16 +70,18 @@ def layer_gradient(around: DataFrame, chosen: DataFrame, functions: DataFrame, e
     return summed.groupBy("mcl_id", "gene_no", "go_no").agg(F.sum(F.col("total") * F.col("weight")).alias("score"))
 
 
-def edge_gradient(pattern_edges: DataFrame, around: DataFrame, chosen: DataFrame, functions: DataFrame, exponent: float = 2.0, norm: float = 0.8, skip_mixed: bool = False) -> DataFrame:
+def edge_gradient(pattern_edges: DataFrame, around: DataFrame, chosen: DataFrame, functions: DataFrame, exponent: float = 2.0, norm: float = 0.8, skip_mixed: bool = False, p_value: str | None = None) -> DataFrame:
     """mcl_id, gene_no, go_no, score by edges (T11, T12): an edge's key is the sum of its ends' layers; it adds the scores of its
     ends, but for the gene itself. A key's sum is divided by a power of the number of edges that could have it and by
     key^exponent. ``skip_mixed`` leaves out edges whose first end has the function and whose second one has others only.
+    With ``p_value``, a column of the edges, an edge's scores count -log10 of it times (a null or no positive one: not at all).
     """
     keys = ["mcl_id", "gene_no"]
+    p = F.lit(1.0) if p_value is None else F.coalesce(F.when(F.col(p_value) > 0, -F.log10(p_value)), F.lit(0.0))
     at = lambda g, n: around.select(*keys, F.col("v").alias(g), F.col("layer").alias(n))
-    placed = pattern_edges.select("mcl_id", "g1", "g2").join(at("g1", "l1"), ["mcl_id", "g1"]).join(at("g2", "l2"), [*keys, "g2"])
+    placed = pattern_edges.select("mcl_id", "g1", "g2", p.alias("w")).join(at("g1", "l1"), ["mcl_id", "g1"]).join(at("g2", "l2"), [*keys, "g2"])
     placed = placed.withColumn("key", F.when(F.least("l1", "l2") == 0, 2 * F.greatest("l1", "l2") - 1).otherwise(F.col("l1") + F.col("l2")))
-    ends = placed.where("l1 > 0").select(*keys, "key", F.col("g1").alias("v")).unionByName(placed.where("l2 > 0").select(*keys, "key", F.col("g2").alias("v")))
+    ends = placed.where("l1 > 0").select(*keys, "key", "w", F.col("g1").alias("v")).unionByName(placed.where("l2 > 0").select(*keys, "key", "w", F.col("g2").alias("v")))
     n = around.groupBy(*keys, "layer").agg(F.count("*").cast("double").alias("n"))
     odd = n.where("layer >= 1").join(n.select(*keys, (F.col("layer") + 1).alias("layer"), F.col("n").alias("inner")), [*keys, "layer"])
     power = F.when(F.col("layer") == 1, norm - 0.2).otherwise(norm)
@@ -90,7 +94,7 @@ def edge_gradient(pattern_edges: DataFrame, around: DataFrame, chosen: DataFrame
     if skip_mixed:
         f1, f2 = functions.withColumnRenamed("gene_no", "g1"), functions.withColumnRenamed("gene_no", "g2")
         mixed = placed.where("l1 > 0 AND l2 > 0").join(f1, "g1").join(f2.select("g2").distinct(), "g2", "left_semi").join(f2, ["g2", "go_no"], "left_anti")
-        mixed = mixed.groupBy(*keys, "go_no", "key").agg(F.count("*").alias("mixed"))
+        mixed = mixed.groupBy(*keys, "go_no", "key").agg(F.sum("w").alias("mixed"))
         summed = summed.join(mixed, [*keys, "go_no", "key"], "left").withColumn("total", F.col("total") - (HAS + OTHER) * F.coalesce(F.col("mixed"), F.lit(0)))
     return summed.groupBy(*keys, "go_no").agg(F.sum(F.col("total") * F.col("weight")).alias("score"))
 

@@ -65,6 +65,17 @@ def edge_gradient(spark: SparkSession, d: str) -> DataFrame:
     return best(S.edge_gradient(e, near, chosen, f))
 
 
+WEIGHTED_SCORES = EDGE_SCORES.replace("SELECT x.mcl_id, x.gene_no, x.go_no,", "SELECT pe.g1, pe.g2, x.mcl_id, x.gene_no, x.go_no,") + ", ew AS (SELECT g1, g2, log10(1 + count(*)) AS lw FROM edge GROUP BY g1, g2)"
+
+
+@query("t11_weighted_edge_gradient", f"WITH RECURSIVE {PATTERNS}, {CANDIDATES}, {SCORED}, {WEIGHTED_SCORES}, sc AS (SELECT mcl_id, gene_no, go_no, sum(s * lw / w) AS score FROM es JOIN de USING (mcl_id, gene_no, key) JOIN ew USING (g1, g2) GROUP BY ALL) {BEST}")
+def weighted_edge_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Edges count by the p-value of the dataset number that they occur in, 1 / (1 + number)."""
+    e, near, f, chosen = around(spark, d)
+    p = graphs.overlay(A.edges(spark, d)).select("g1", "g2", (1 / (1 + F.col("recurrence"))).alias("p"))
+    return best(S.edge_gradient(e.join(p, ["g1", "g2"]), near, chosen, f, p_value="p"))
+
+
 @query("t12_edge_gradient_unmixed", f"WITH RECURSIVE {PATTERNS}, {CANDIDATES}, {SCORED}, {EDGE_SCORES}, sc AS (SELECT mcl_id, gene_no, go_no, sum(CASE WHEN mixed THEN 0 ELSE s / w END) AS score FROM es JOIN de USING (mcl_id, gene_no, key) GROUP BY ALL) {BEST}")
 def edge_gradient_unmixed(spark: SparkSession, d: str) -> DataFrame:
     e, near, f, chosen = around(spark, d)
