@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from netweft.operators import annotation, kernels, ranking, scoring
+from netweft.operators import annotation, biclusters, kernels, ranking, scoring
 from netweft.operators import ontology as O
 from netweft.operators import statistics as T
 
@@ -119,6 +119,9 @@ def test_gradients_by_hand(spark):
     # key 1: three edges to the middle, 3 + 3 - 1; key 2: the edge 2-3, 6; key 3: the edge 4-5, -1
     want = 5 / 3**0.6 + 6 / (3**0.8 * 4) - 1 / (3**0.8 * 9)
     assert math.isclose(one(scoring.edge_gradient(edges, around, chosen, f)), want)
+    for p, factor in ((0.1, 1), (0.01, 2), (None, 0), (0.0, 0)):
+        weighted = edges.withColumn("p", F.lit(p).cast("double"))
+        assert math.isclose(one(scoring.edge_gradient(weighted, around, chosen, f, p_value="p")), factor * want, abs_tol=1e-12)
     mixed = edges.unionByName(spark.createDataFrame([(0, 2, 4)], "mcl_id int, g1 int, g2 int"))
     near = scoring.layers(mixed, 5)
     plain, skipped = (one(scoring.edge_gradient(mixed, near, chosen, f, skip_mixed=s)) for s in (False, True))
@@ -130,8 +133,8 @@ def test_planted_bicluster(spark):
     m = rng.uniform(-5, 5, (60, 12))
     m[10:30, 2:9] = rng.normal(size=(20, 1)) + rng.normal(size=(1, 7)) + rng.normal(0, 0.01, (20, 7))
     df = spark.createDataFrame([(1, i, [float(x) for x in r]) for i, r in enumerate(m)], "f int, k int, v array<double>")
-    first = kernels.biclusters(df, "f", "k", "v", 0.05, batch=1_000).orderBy("no").first()
-    assert set(first["keys"]) >= set(range(12, 28)) and set(first["columns"]) <= set(range(2, 9)) and first["score"] <= 0.05
+    first = biclusters.biclusters(df, "f", "k", "v", 0.05, batch=1_000).where("no = 0").collect()
+    assert {r["key"] for r in first} >= set(range(12, 28)) and all(set(r["columns"]) <= set(range(2, 9)) and r["score"] <= 0.05 for r in first)
     rows, columns, score = kernels.find_bicluster(m, 0.05, 1_000, 5, 4)
     r = m[np.ix_(rows, columns)]
     assert math.isclose(score, np.mean([(r[i, j] - r[i].mean() - r[:, j].mean() + r.mean()) ** 2 for i in range(len(rows)) for j in range(len(columns))]), rel_tol=1e-9)
