@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,10 +28,14 @@ def sha_hex(column) -> "F.Column":
 
 
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The mapper, whose worker returns Arrow's unused memory once a partition is done: workers live on for the next stages."""
+    """The mapper, whose worker returns unused memory, Arrow's and that of freed arrays, once a partition is done: workers live on
+    for the next stages."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+        if trim:
+            trim(0)
 
     return mapped
