@@ -49,7 +49,7 @@ from netweft.llm.common import giving_back
 SPACE = "▁"
 CACHE = 500_000
 GROUP = 64
-CHARACTERS = 500_000
+CHARACTERS = 2_000_000
 STEP, UNITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 ONE = int(UNITS)
 SLOTS = 18  # log of the size of the table of the pieces' beginnings
@@ -562,12 +562,12 @@ def segment(vocabulary: Vocabulary, texts: list[str], keys: list[int | None], k:
     return out
 
 
-def _rows(vocabulary: Vocabulary, keys: list, texts: list[str], k: int, seed: int):
-    """``segment`` for so many texts at a time as make up ``CHARACTERS`` characters."""
+def _rows(vocabulary: Vocabulary, keys: list, texts: list[str], k: int, seed: int, characters: int = CHARACTERS):
+    """``segment`` for so many texts at a time as make up ``characters`` characters."""
     begin = 0
     while begin < len(texts):
         end, size = begin, 0
-        while end < len(texts) and (end == begin or size + len(texts[end]) <= CHARACTERS):
+        while end < len(texts) and (end == begin or size + len(texts[end]) <= characters):
             size += len(texts[end])
             end += 1
         # many small objects and no cycles: the collector would walk them over and over
@@ -626,7 +626,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str | None = None) -> Da
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, n_samples int, sample_tokens array<long>, sample_sha256 array<string>, log_probs array<double>, log_inclusion array<double>, round_trip boolean"
 
 
-def _digest(model: str, k: int, alpha: float, seed: int):
+def _digest(model: str, k: int, alpha: float, seed: int, characters: int):
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_()]
     names = [x.split()[0] for x in DIGEST.split(", ")]
 
@@ -636,14 +636,15 @@ def _digest(model: str, k: int, alpha: float, seed: int):
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows = []
-            for key, (ids, found, kappa, same) in zip(keys, _rows(vocabulary, keys, texts, k, seed)):
+            for key, (ids, found, kappa, same) in zip(keys, _rows(vocabulary, keys, texts, k, seed, characters)):
                 rows.append((key, len(ids), sha(ids), len(found), [len(x) for x, _, _ in found], [sha(x) for x, _, _ in found], [p for _, p, _ in found], [inclusion(p, kappa) for _, p, _ in found], same))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
     return run
 
 
-def digest(docs: DataFrame, model: str | None = None, k: int = 3, alpha: float = 1.0, seed: int = 7) -> DataFrame:
+def digest(docs: DataFrame, model: str | None = None, k: int = 3, alpha: float = 1.0, seed: int = 7, characters: int = CHARACTERS) -> DataFrame:
     """``encode`` followed by ``decode`` in one map: token counts, SHA-256 of the ids (little-endian int32) of the encoding
-    and of every sample, log-probabilities, log inclusion scores, and whether all of them decode to the text."""
-    return _given(docs).mapInArrow(giving_back(_digest(model or default_model(), k, alpha, seed)), DIGEST)
+    and of every sample, log-probabilities, log inclusion scores, and whether all of them decode to the text. With
+    fewer ``characters`` at a time a worker holds less and takes some 7 percent longer; results are the same."""
+    return _given(docs).mapInArrow(giving_back(_digest(model or default_model(), k, alpha, seed, characters)), DIGEST)
