@@ -96,7 +96,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, digests of the ids and of the sampled segmentations, and whether they decode to the text."""
-    return pieces.digest(docs)
+    return pieces.digest(docs, characters=500_000)  # workers still hold memory of the stages before
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
