@@ -107,3 +107,39 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def _some_expression(spark, genes, holes):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2, genes, 8)).round(3)
+    v[0, 5] = v[0, 2]
+    v[0, 7] = 1.0
+    rows = [(d, g, [None if d in holes and g % 9 == 0 and i == g % 8 else float(x) for i, x in enumerate(v[d, g])]) for d in (0, 1) for g in range(genes)]
+    return rows, spark.createDataFrame(rows, "dataset_no int, gene_no long, v array<double>")
+
+
+def test_complete_rows_have_the_same_statistics():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 8)), rng.normal(size=(30, 8))
+    x[3], x[4], y[5, 1:], y[6] = y[2], 1.0, 2.0, -x[7]
+    want = correlation.pair_statistics(x, y)
+    got = correlation.complete_statistics(x, y, correlation.STATISTICS)
+    for k in correlation.STATISTICS:
+        assert np.allclose(want[k], got[k], atol=1e-7, equal_nan=True), k
+
+
+def test_large_blocks_keep_the_shuffle_small():
+    assert correlation.blocks_of(100_000, correlation.BLOCK) <= 50  # 391 copies of every vector with blocks of 256
+    assert correlation.blocks_of(2_000, correlation.BLOCK) == 8 and correlation.blocks_of(0, correlation.BLOCK) == 1
+
+
+def test_tiles_of_a_block(spark):
+    """Blocks of several tiles, with complete and incomplete rows: every pair once, with its own statistics."""
+    rows, df = _some_expression(spark, 300, {1})
+    got = {(r.dataset_no, r.g1, r.g2): (r.cor, r.n) for r in correlation.gene_pairs(df, ("cor", "n"), lambda found, _: found["cor"] >= 0.7, blocks=1).collect()}
+    want = {}
+    for d in (0, 1):
+        x = np.array([[np.nan if y is None else y for y in v] for k, _, v in rows if k == d])
+        s = correlation.pair_statistics(x, x, ("cor",))
+        want |= {(d, i, j): (s["cor"][i, j], s["n"][i, j]) for i, j in zip(*np.nonzero(s["cor"] >= 0.7)) if i < j}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
