@@ -71,7 +71,7 @@ def euclidean(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c5_difference_spread", f"WITH {PAIR}, l AS (SELECT dataset_no, g1, g2, unnest(v1) - unnest(v2) AS x FROM pr), s AS (SELECT dataset_no, var_samp(x) AS v, avg(x) AS m FROM l GROUP BY dataset_no, g1, g2) SELECT dataset_no, round(avg(v), 6) AS variance, round(max(m), 6) AS largest_mean FROM s GROUP BY dataset_no")
 def difference_spread(spark: SparkSession, d: str) -> DataFrame:
-    s = C.pair_summary(A.expression(spark, d), ("variance", "mean"))
+    s = C.spread_of_differences(A.expression(spark, d))
     return s.select("dataset_no", F.round(F.col("variance_sum") / F.col("pairs"), 6).alias("variance"), F.round("mean_max", 6).alias("largest_mean"))
 
 

@@ -143,3 +143,15 @@ def test_tiles_of_a_block(spark):
         s = correlation.pair_statistics(x, x, ("cor",))
         want |= {(d, i, j): (s["cor"][i, j], s["n"][i, j]) for i, j in zip(*np.nonzero(s["cor"] >= 0.7)) if i < j}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("holes", [set(), {1}])
+def test_differences_without_pairs(spark, monkeypatch, holes):
+    """As over all pairs; only a dataset with missing values may form them."""
+    rows, df = _some_expression(spark, 120, holes)
+    want = {r.dataset_no: (r.pairs, r.variance_sum, r.mean_max) for r in correlation.pair_summary(df, ("variance", "mean")).collect()}
+    met, by_blocks = [], correlation._by_blocks
+    monkeypatch.setattr(correlation, "_by_blocks", lambda e, *rest: met.append({r[0] for r in e.select("dataset_no").distinct().collect()}) or by_blocks(e, *rest))
+    got = {r.dataset_no: (r.pairs, r.variance_sum, r.mean_max) for r in correlation.spread_of_differences(df).collect()}
+    assert met == ([holes] if holes else []) and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
