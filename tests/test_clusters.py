@@ -226,3 +226,21 @@ def test_candidates_join_biclusters(spark):
     got = biclusters.grown(f, mats, cands.repartition(3), "go", "id", "v", 0.8, 0.2).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
     assert biclusters.grown(f.limit(0), mats, cands, "go", "id", "v").count() == 0
+
+
+def test_matrices_form_only_pairs_of_a_function(spark, sf, monkeypatch):
+    """As from the edges of the whole graph, which are no longer written for it; also with missing values."""
+    from netweft.plans import adapters, clusters
+
+    whole = adapters.expression(spark, sf)
+    holes = whole.withColumn("v", F.transform("v", lambda x: F.when((F.col("gene_no") % 7 > 0) | (x > 0), x)))
+    functions = clusters.deep_functions(spark, sf)
+    for x in (whole, holes):
+        monkeypatch.setattr(adapters, "expression", lambda *_: x)
+        want = matrices.function_matrices(clusters.edge_vectors(spark, sf), functions, clusters.MISSING, clusters.EDGES)
+        with monkeypatch.context() as m:
+            m.setattr(clusters, "edge_vectors", None)
+            got = clusters.function_matrices(spark, sf)
+        rows = [sorted((r["go_no"], r["g1"], r["g2"], r["v"]) for r in df.collect()) for df in (want, got)]
+        assert rows[0] and [r[:3] for r in rows[0]] == [r[:3] for r in rows[1]]
+        assert [r[3] for r in rows[0]] == [r[3] for r in rows[1]]
