@@ -147,3 +147,12 @@ def test_fuzzy_cores(spark):
     edges = spark.createDataFrame(rows, "mcl_id int, dataset_no int, g1 int, g2 int")
     recurrent = spark.createDataFrame([(0, 1), (0, 2), (0, 4)], "mcl_id int, dataset_no int")
     assert [tuple(r) for r in kernels.fuzzy_cores(edges, recurrent).collect()] == [(0, [1, 2, 3, 4], [1, 2, 3])]
+
+
+def test_many_contexts_of_a_gene(spark):
+    """300 functions with 1,000 genes each: folded without rewriting the groups at every item."""
+    rows = spark.range(300).selectExpr("1 AS gene_no", "cast(id AS int) AS go_no", "sequence(cast(id * 400 AS int), cast(id * 400 + 999 AS int)) AS context", "1 AS is_correct")
+    plan = scoring.merge_contexts(rows, 0.3)
+    assert "aggregate(" not in plan._jdf.queryExecution().toString()
+    got = plan.selectExpr("go_no", "size(members) AS n", "size(context) AS c").collect()
+    assert sorted(map(tuple, got)) == [(i, 1, 1000) for i in range(300)]
