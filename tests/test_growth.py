@@ -148,3 +148,20 @@ def test_growth_query_matches_sql(spark, sf, name):
     from tests.test_library import test_query_matches_sql
 
     test_query_matches_sql(spark, sf, name)
+
+
+def test_cliques_from_vectors(spark):
+    """As by joins of edges, in one block and in several, with missing values; counted and listed."""
+    import numpy as np
+
+    from netweft.operators import cliques, correlation, graphs
+
+    rng = np.random.default_rng(6)
+    rows = [(d, g, [None if g % 11 == 0 and i == 2 else float(x) for i, x in enumerate(rng.normal(size=8))]) for d in range(3) for g in range(60)]
+    x = spark.createDataFrame(rows, "dataset_no int, gene_no long, v array<double>")
+    edges = correlation.gene_pairs(x, ("cor",), lambda found, _: (found["cor"].round(9) >= 0.3) & (found["cor"] <= 1)).select("dataset_no", "g1", "g2")
+    want = Counter((r.a, r.b, r.c) for r in graphs.triangles(edges, ["dataset_no"]).collect())
+    for blocks in (1, 3):
+        got = cliques.cliques(x, [0, 1, 2], 0.3, blocks).collect()
+        assert len(got) == len(want) > 100 and {(r.a, r.b, r.c): r.freq for r in got} == want
+        assert {r.freq: r["rows"] for r in cliques.clique_counts(x, [0, 1, 2], 0.3, blocks).collect()} == Counter(want.values())
