@@ -16,16 +16,18 @@ def accuracy(correct: Column) -> Column:
 def edge_classes(edges: DataFrame, associations: DataFrame, known: DataFrame) -> DataFrame:
     """go_no and the edges of six classes by their ends: 0 has the function, 1 has another one, 2 is unknown.
 
-    Only ends that have the function are exploded; the classes without one follow from totals.
+    Only ends that have the function are exploded, from the functions of both ends in one row of the edge, so that nothing but
+    counts is shuffled by function; the classes without one follow from totals.
     """
-    k = known.select("gene_no", F.col("known").cast("int").alias("k"))
-    e = edges.select("g1", "g2").join(k.select(F.col("gene_no").alias("g1"), F.col("k").alias("k1")), "g1").join(k.select(F.col("gene_no").alias("g2"), F.col("k").alias("k2")), "g2")
-    ends = e.select("g1", "g2", "k1", "k2")
-    has = associations.select("gene_no", "go_no").distinct()
-    one = ends.join(has.withColumnRenamed("gene_no", "g1"), "g1").select("go_no", "g1", "g2", F.lit(1).alias("h1"), F.lit(0).alias("h2"), F.col("k2").alias("ok"))
-    two = ends.join(has.withColumnRenamed("gene_no", "g2"), "g2").select("go_no", "g1", "g2", F.lit(0).alias("h1"), F.lit(1).alias("h2"), F.col("k1").alias("ok"))
-    per = one.unionByName(two).groupBy("go_no", "g1", "g2").agg(F.sum(F.col("h1") + F.col("h2")).alias("h"), F.min("ok").alias("ok"))
-    counts = per.groupBy("go_no").agg(
+    own = associations.groupBy("gene_no").agg(F.collect_set("go_no").alias("f"))
+    k = known.select("gene_no", F.col("known").cast("int").alias("k")).join(own, "gene_no", "left")
+    none = F.array().cast(own.schema["f"].dataType)
+    k = k.withColumn("f", F.coalesce("f", none))
+    end = lambda i: k.select(F.col("gene_no").alias(f"g{i}"), F.col("k").alias(f"k{i}"), F.col("f").alias(f"f{i}"))
+    ends = edges.select("g1", "g2").join(end(1), "g1").join(end(2), "g2").select("k1", "k2", "f1", "f2")
+    has = lambda found, h, ok: F.transform(found, lambda g: F.struct(g.alias("go_no"), F.lit(h).alias("h"), ok.alias("ok")))
+    each = F.concat(has(F.array_intersect("f1", "f2"), 2, F.lit(1)), has(F.array_except("f1", "f2"), 1, F.col("k2")), has(F.array_except("f2", "f1"), 1, F.col("k1")))
+    counts = ends.select(F.explode(each).alias("e")).select("e.*").groupBy("go_no").agg(
         F.count_if(F.col("h") == 2).alias("c00"),
         F.count_if((F.col("h") == 1) & (F.col("ok") == 1)).alias("c01"),
         F.count_if((F.col("h") == 1) & (F.col("ok") == 0)).alias("c02"),

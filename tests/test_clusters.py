@@ -244,3 +244,17 @@ def test_matrices_form_only_pairs_of_a_function(spark, sf, monkeypatch):
         rows = [sorted((r["go_no"], r["g1"], r["g2"], r["v"]) for r in df.collect()) for df in (want, got)]
         assert rows[0] and [r[:3] for r in rows[0]] == [r[:3] for r in rows[1]]
         assert [r[3] for r in rows[0]] == [r[3] for r in rows[1]]
+
+
+def test_edge_classes_shuffle_no_edge_by_function(spark):
+    """By hand, and without grouping edges by (function, edge)."""
+    import re
+
+    from netweft.operators import annotation
+
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "g1 int, g2 int")
+    known = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False), (5, False)], "gene_no int, known boolean")
+    functions = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, 9)], "gene_no int, go_no int")
+    found = annotation.edge_classes(edges, functions, known)
+    assert sorted(map(tuple, found.collect())) == [(7, 1, 1, 1, 0, 1, 1), (8, 0, 2, 0, 0, 2, 1), (9, 0, 1, 1, 1, 1, 1)]
+    assert not re.search(r"keys=\[go_no#\d+L?, g1", found._jdf.queryExecution().executedPlan().toString())
