@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netweft.operators import annotation, growth, sampling
+from netweft.operators import annotation, growth, sampling, tables
 from netweft.operators import ontology as O
 
 
@@ -165,3 +165,25 @@ def test_cliques_from_vectors(spark):
         got = cliques.cliques(x, [0, 1, 2], 0.3, blocks).collect()
         assert len(got) == len(want) > 100 and {(r.a, r.b, r.c): r.freq for r in got} == want
         assert {r.freq: r["rows"] for r in cliques.clique_counts(x, [0, 1, 2], 0.3, blocks).collect()} == Counter(want.values())
+
+
+def test_tasks_grow_with_the_table(spark):
+    """A table of ten times the rows is dealt to more tasks, not to larger ones; equal keys stay together."""
+    df = spark.range(10_000).select((F.col("id") % 500).alias("k"), "id")
+    dealt = tables.dealt(df, "k", rows=10_000, within=250)
+    assert dealt.rdd.getNumPartitions() == 40
+    assert tables.dealt(df, "k", rows=0).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert dealt.select("k", F.spark_partition_id().alias("p")).distinct().count() == 500
+
+
+def test_growth_deals_the_links_that_it_meets(spark, monkeypatch):
+    """Repeated and turned edges count once, and the links met are dealt by their exact number before they are counted."""
+    edges = random_graph(5, 30, 120)
+    rows = [e for e in sorted(edges) for _ in range(2)] + [(b, a) for a, b in edges] + [(4, 4), (None, 1)]
+    seeds = spark.createDataFrame([(s, g) for s in range(3) for g in range(s, 30, 3)], "s int, gene long")
+    met, deal = [], growth.dealt
+    monkeypatch.setattr(growth, "dealt", lambda df, *keys, **how: met.append((keys, how.get("rows"))) or deal(df, *keys, **how))
+    got = growth.grown(seeds, spark.createDataFrame(rows, "g1 long, g2 long"), ["s"], 2, 0.1, 0.3, 1, pairs=len(rows))
+    want = growth.grown(seeds, spark.createDataFrame(sorted(edges), "g1 long, g2 long"), ["s"], 2, 0.1, 0.3, 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert (("s", "gene"), 2 * len(edges)) in met and (("g1", "g2"), len(rows)) in met
