@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweft.operators.ranking import running_sums
+from netweft.operators.tables import dealt
 
 HALF_LOG_TAU = 0.9189385332046727
 
@@ -66,10 +67,14 @@ def binomial_log_tail(x: Column, n: Column, p: Column) -> Column:
 
 
 def with_tail(rows: DataFrame, total: int, x: str = "x", m: str = "m", k: str = "k") -> DataFrame:
-    """``rows`` with p, the hypergeometric tail: computed once for each of the few distinct (x, m, k)."""
-    distinct = rows.select(x, m, k).distinct()
-    tail = hypergeometric_tail(F.col(x), F.col(m), F.col(k), F.lit(total).cast("long"))
-    return rows.join(distinct.withColumn("p", tail), [x, m, k])
+    """``rows`` with p, the hypergeometric tail: computed once for each of the few distinct (x, m, k).
+
+    It reads aggregated copies of the three: a filter on p that read the keys themselves would be moved below the grouping by the
+    optimiser and compute a tail for each row. They are few bytes but dear, so they are dealt to all cores.
+    """
+    distinct = dealt(rows.select(x, m, k).distinct(), x, m, k, rows=0).groupBy(x, m, k).agg(*[F.max(c).alias(f"__{i}") for i, c in enumerate((x, m, k))])
+    tail = hypergeometric_tail(*[F.col(f"__{i}") for i in range(3)], F.lit(total).cast("long"))
+    return rows.join(distinct.select(x, m, k, tail.alias("p")), [x, m, k])
 
 
 def binomial_log_density(x: Column, n: Column, p: Column) -> Column:

@@ -156,3 +156,14 @@ def test_many_contexts_of_a_gene(spark):
     assert "aggregate(" not in plan._jdf.queryExecution().toString()
     got = plan.selectExpr("go_no", "size(members) AS n", "size(context) AS c").collect()
     assert sorted(map(tuple, got)) == [(i, 1, 1000) for i in range(300)]
+
+
+def test_tails_are_computed_after_the_grouping(spark):
+    """A filter on the tails isn't moved below the grouping, where it would compute one for each row."""
+    rows = spark.range(50).selectExpr("id AS c", "id % 3 AS x", "5L AS m", "4L AS k")
+    found = T.with_tail(rows, 20).where("p <= 0.9")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Aggregate [x", 1)  # below: what the grouping reads
+    assert "greatest(" in above and "greatest(" not in below
+    got, x1 = found.collect(), 1 - math.comb(15, 4) / math.comb(20, 4)
+    assert len(got) == 33 and all(math.isclose(r.p, x1 if r.x == 1 else x1 - 5 * math.comb(15, 3) / math.comb(20, 4)) for r in got)
