@@ -14,6 +14,9 @@ from netweft.plans.registry import query
 from netweft.sources import formats, writers
 
 
+LINES_A_FILE = 500_000  # fixed value: line items whose entries one file that can't be split holds, some 40 MB
+
+
 def put(lines: DataFrame, name: str) -> str:
     """The folder that the lines (column ``value``) are written to."""
     path = new_path(lines.sparkSession, f"lines-{name}")
@@ -223,7 +226,8 @@ def interaction_entries(spark: SparkSession, d: str) -> DataFrame:
     lines = own.select(F.concat(F.lit("<entry><interactionList><interaction id='i"), o.cast("string"), F.lit("'><experimentRef>e"), (o % 50).cast("string"), F.lit("</experimentRef><participantList>"), "body", F.lit("</participantList></interaction></interactionList></entry>")).alias("value"))
     s = A.table(spark, d, "supplier").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("protein"), F.col("s_suppkey").alias("gene_no"))
     twice = s.where("gene_no % 7 = 0").withColumn("gene_no", F.col("gene_no") + 100_000)
-    return formats.interactions(spark, put(writers.whole_documents(lines, "<entrySet>", "</entrySet>"), "entries"), s.unionByName(twice))
+    files = max(8, -(-A.table(spark, d, "lineitem").count() // LINES_A_FILE))  # a document is read by one task
+    return formats.interactions(spark, put(writers.whole_documents(lines, "<entrySet>", "</entrySet>", files), "entries"), s.unionByName(twice))
 
 
 @query("s16_term_blocks", f"WITH {A.TERMS} SELECT 'T:' || term AS id, 'term ' || term AS name, coalesce(string_agg('T:' || parent, ' ' ORDER BY parent), '') AS parents FROM tm LEFT JOIN t2t ON child = term GROUP BY term")
