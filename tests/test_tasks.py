@@ -25,3 +25,15 @@ def test_documents_grow_in_number(spark, sf, monkeypatch):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert formats.interaction_entries(spark, sf).count() > 0
     assert len(spark.read.text(found[0]).inputFiles()) == -(-lines // 300) > 8
+
+
+def test_judging_makes_no_row_for_each_ancestor(spark):
+    """What two functions have in common is found once for the pair, not for each prediction and each ancestor."""
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 8), (3, 9)], "parent int, child int")
+    predicted = spark.createDataFrame([(g, t) for g in range(6) for t in (4, 8, 9)] + [(7, None), (9, 4)], "gene_no int, go_no int")
+    known = spark.createDataFrame([(g, t) for g in range(6) for t in (8, 9)] + [(7, 2)], "gene_no int, go_no int")
+    got = O.judge(predicted, known, O.all_paths(edges, 1), 3)
+    assert "Generate" not in plan_of(got)
+    rows = {(r.gene_no, r.go_no): (r.is_correct, r.is_correct_l1, r.is_correct_lca, r.lca) for r in got.collect()}
+    assert len(rows) == 20 and rows[9, 4] == (-1, -1, -1, []) and rows[7, None] == (0, 0, 0, [])
+    assert rows[0, 8] == (1, 1, 1, [8]) and rows[0, 4] == (0, 1, 1, [4]) and rows[0, 9] == (1, 1, 1, [9])
