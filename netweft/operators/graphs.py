@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweft.operators.tables import cut
+from netweft.operators.tables import cut, dealt
 
 
 def canonical(edges: DataFrame, a: str = "g1", b: str = "g2") -> DataFrame:
@@ -77,6 +77,21 @@ def cluster_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "g1").join(b, ["mcl_id", "g2"])
 
 
+def shared_pairs(groups: DataFrame, classes: DataFrame, by: str, label: str, rows: int) -> DataFrame:
+    """``label``, g1 < g2, n: pairs of genes that meet in a group (``by``, gene_no) and are of one class (gene_no, ``label``), once
+    each, with n the product of the times that the class lists either.
+
+    Classes are joined to the genes of a group before pairs are formed, so that a pair without a common class is never made, let
+    alone shuffled. ``rows`` is about the number of rows of groups with a class, by which they are dealt to tasks.
+    """
+    times = classes.groupBy("gene_no", label).agg(F.count("*").alias("n"))
+    own = groups.join(times, "gene_no").where(F.col(by).isNotNull() & F.col(label).isNotNull())
+    own = dealt(own, by, label, rows=rows)
+    end = lambda i: own.select(by, label, F.col("gene_no").alias(f"g{i}"), F.col("n").alias(f"n{i}"))
+    pairs = end(1).join(end(2), [by, label]).where("g1 < g2")
+    return pairs.groupBy(label, "g1", "g2").agg(F.max(F.col("n1") * F.col("n2")).alias("n"))
+
+
 def connectivity(members: DataFrame, edges: DataFrame) -> DataFrame:
     """mcl_id, vertices, edges, connectivity of the sub-graph that the members induce."""
     inside = cluster_edges(members, edges).groupBy("mcl_id").agg(F.count("*").alias("edges"))

@@ -37,3 +37,15 @@ def test_judging_makes_no_row_for_each_ancestor(spark):
     rows = {(r.gene_no, r.go_no): (r.is_correct, r.is_correct_l1, r.is_correct_lca, r.lca) for r in got.collect()}
     assert len(rows) == 20 and rows[9, 4] == (-1, -1, -1, []) and rows[7, None] == (0, 0, 0, [])
     assert rows[0, 8] == (1, 1, 1, [8]) and rows[0, 4] == (0, 1, 1, [4]) and rows[0, 9] == (1, 1, 1, [9])
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_pairs_of_one_class(spark, twice):
+    """Links of a class against brute force; a pair is linked once however often it meets, and counts as often as it is listed."""
+    groups = [(o, (o * 7 + i * i) % 11) for o in range(12) for i in range(4)] + [(3, 5), (3, 5), (None, 2), (None, 4)]
+    classes = [(g, g % 3) for g in range(11)] + [(g, 9) for g in range(0, 11, 2)] + [(1, None)] + ([(4, 9)] if twice else [])
+    got = graphs.shared_pairs(spark.createDataFrame(groups, "o int, gene_no int"), spark.createDataFrame(classes, "gene_no int, c int"), "o", "c", 100)
+    links = {p for o in range(12) for p in combinations(sorted({g for k, g in groups if k == o}), 2)}
+    n = Counter(classes)
+    want = {(c, a, b): n[a, c] * n[b, c] for a, b in links for c in (0, 1, 2, 9) if n[a, c] and n[b, c]}
+    assert {(r.c, r.g1, r.g2): r.n for r in got.collect()} == want and len(want) > 20
