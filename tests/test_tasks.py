@@ -49,3 +49,9 @@ def test_pairs_of_one_class(spark, twice):
     n = Counter(classes)
     want = {(c, a, b): n[a, c] * n[b, c] for a, b in links for c in (0, 1, 2, 9) if n[a, c] and n[b, c]}
     assert {(r.c, r.g1, r.g2): r.n for r in got.collect()} == want and len(want) > 20
+
+
+def test_links_are_made_inside_a_function_only(spark, sf):
+    """The pairs of an order are joined by function too, so that links without a common one are never made."""
+    joins = [line for line in plan_of(annotation.common_functions(spark, sf)).splitlines() if "Join Inner" in line and "l_orderkey" in line]
+    assert len(joins) == 1 and "go_no" in joins[0]
