@@ -55,3 +55,9 @@ def test_links_are_made_inside_a_function_only(spark, sf):
     """The pairs of an order are joined by function too, so that links without a common one are never made."""
     joins = [line for line in plan_of(annotation.common_functions(spark, sf)).splitlines() if "Join Inner" in line and "l_orderkey" in line]
     assert len(joins) == 1 and "go_no" in joins[0]
+
+
+def test_relations_are_joined_once(spark, sf):
+    """Predictions meet one table of related terms; both sides are dealt by gene."""
+    plan = plan_of(scoring.judged_by_relation(spark, sf))
+    assert plan.count("LeftOuter") == 2 and plan.count("RepartitionByExpression [gene_no") + plan.count("RepartitionByExpression [probe") >= 2
