@@ -61,3 +61,8 @@ def test_relations_are_joined_once(spark, sf):
     """Predictions meet one table of related terms; both sides are dealt by gene."""
     plan = plan_of(scoring.judged_by_relation(spark, sf))
     assert plan.count("LeftOuter") == 2 and plan.count("RepartitionByExpression [gene_no") + plan.count("RepartitionByExpression [probe") >= 2
+
+
+def test_least_p_needs_no_window(spark, sf):
+    plan = plan_of(annotation.least_p(spark, sf))
+    assert "Window" not in plan and "RepartitionByExpression [mcl_id" in plan
