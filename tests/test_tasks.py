@@ -66,3 +66,10 @@ def test_relations_are_joined_once(spark, sf):
 def test_least_p_needs_no_window(spark, sf):
     plan = plan_of(annotation.least_p(spark, sf))
     assert "Window" not in plan and "RepartitionByExpression [mcl_id" in plan
+
+
+def test_patterns_are_made_once(spark, sf):
+    """The edges of the patterns, made of all line items, are written once and read by the steps that follow."""
+    edges, _, functions, _ = scoring.around(spark, sf)
+    assert edges.inputFiles() and all("pattern-edges-" in f for f in edges.inputFiles())
+    assert functions.inputFiles() and all("functions-" in f for f in functions.inputFiles())
