@@ -73,3 +73,12 @@ def test_patterns_are_made_once(spark, sf):
     edges, _, functions, _ = scoring.around(spark, sf)
     assert edges.inputFiles() and all("pattern-edges-" in f for f in edges.inputFiles())
     assert functions.inputFiles() and all("functions-" in f for f in functions.inputFiles())
+
+
+def test_parents_are_dropped_by_one_grouping(spark):
+    edges = [(1, 2), (2, 4), (2, 6), (3, 6), (5, 10)]
+    own = [(1, 2), (1, 4), (1, 3), (2, 6), (2, 3), (2, 5), (3, None), (3, 2), (None, 2), (None, 4), (4, 10), (4, 1)]
+    got = O.without_parents(spark.createDataFrame(own, "probe int, go_no int"), spark.createDataFrame(edges, "parent int, child int"), "probe")
+    want = [(p, t) for p, t in own if p is None or not any(a == t and (p, c) in own for a, c in edges)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert "LeftAnti" not in plan_of(got)
