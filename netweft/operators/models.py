@@ -11,7 +11,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweft.operators.tables import drop, new_path
+from netweft.operators.tables import dealt, drop, new_path
+
+BAGGED_ROWS = 200_000  # fixed value: rows of a partition that a forest's training caches, each with a count for every tree
 
 
 def _rows(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -146,7 +148,11 @@ def forest_accuracy(df: DataFrame, key: str, features: list[str], label: str, sh
     """predicted, rows, correct of a forest on the rows held out, which are drawn by a hash of their key."""
     test = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) < int(1000 * share)
     known = df.select(key, *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias(label)).dropna()
-    said = forest(features, label, seed).fit(known.where(~test)).transform(known.where(test))
+    train = known.where(~test)
+    rows = train.count()
+    if rows > BAGGED_ROWS * train.rdd.getNumPartitions():  # only then: the draws of the trees go by partition
+        train = dealt(train, key, rows=rows, within=BAGGED_ROWS).sortWithinPartitions(key, *features)
+    said = forest(features, label, seed).fit(train).transform(known.where(test))
     return said.groupBy(F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("rows"), F.count_if(F.col("prediction") == F.col(label)).alias("correct"))
 
 

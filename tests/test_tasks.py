@@ -82,3 +82,16 @@ def test_parents_are_dropped_by_one_grouping(spark):
     want = [(p, t) for p, t in own if p is None or not any(a == t and (p, c) in own for a, c in edges)]
     assert Counter(map(tuple, got.collect())) == Counter(want)
     assert "LeftAnti" not in plan_of(got)
+
+
+def test_training_rows_are_dealt_when_there_are_many(spark, monkeypatch):
+    """Each row is cached with a count for every tree, so a partition holds a bounded number of them; few rows stay as they are."""
+    df = spark.range(0, 4_000, 1, 2).selectExpr("id", "id % 7 AS x", "id % 5 AS z", "CAST(id % 7 > 3 AS int) AS y")
+    said, deal = [], models.dealt
+    monkeypatch.setattr(models, "dealt", lambda d, *k, **how: said.append(how) or deal(d, *k, **how))
+    few = models.forest_accuracy(df, "id", ["x", "z"], "y").collect()
+    assert not said
+    monkeypatch.setattr(models, "BAGGED_ROWS", 100)
+    many = models.forest_accuracy(df, "id", ["x", "z"], "y").collect()
+    assert said[0]["rows"] > 3_000 and said[0]["within"] == 100
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many))
