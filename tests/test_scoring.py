@@ -106,6 +106,34 @@ def test_merged_contexts(spark):
     assert got == want
 
 
+def test_merged_contexts_of_all_predictions(spark, sf):
+    """Predictions of unknown correctness and those of every cluster count; against brute force over the tables."""
+    from netweft.plans import adapters as A
+    from netweft.plans.scoring import merged_contexts
+
+    clusters, own = {}, {}
+    for r in A.members(spark, sf).collect():
+        clusters.setdefault(r.mcl_id, set()).add(r.gene_no)
+    for r in A.predictions(spark, sf).collect():
+        if r.mcl_id in clusters:
+            c, ok = own.get((r.gene_no, r.go_no), (set(), 1))
+            own[r.gene_no, r.go_no] = c | clusters[r.mcl_id], min(ok, r.is_correct)
+    want = {}
+    for g in {g for g, _ in own}:
+        groups = []
+        for go in sorted(t for x, t in own if x == g):
+            c, ok = own[g, go]
+            hit = next((x for x in groups if 1 - len(c & x[1]) / len(x[1]) < 0.5 or 1 - len(c & x[1]) / len(c) < 0.5), None)
+            if hit:
+                hit[0].append(go)
+                hit[1], hit[2] = hit[1] | c, hit[2] * ok
+            else:
+                groups.append([[go], c, ok])
+        want |= {(g, m[0]): (m, len(c), ok) for m, c, ok in groups}
+    got = {(r.gene_no, r.go_no): ([int(x) for x in r.members.split()], r.genes, r.is_correct) for r in merged_contexts(spark, sf).collect()}
+    assert got == want and any(ok == -1 for _, _, ok in want.values())
+
+
 def test_gradients_by_hand(spark):
     """A star with one edge between its leaves: gene 1 in the middle, 2 and 3 have function 7, 4 has another one, 5 is unknown."""
     edges = spark.createDataFrame([(0, 1, 2), (0, 1, 3), (0, 1, 4), (0, 2, 3), (0, 4, 5)], "mcl_id int, g1 int, g2 int")
