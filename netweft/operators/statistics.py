@@ -81,13 +81,23 @@ def binomial_log_density(x: Column, n: Column, p: Column) -> Column:
     return log_choose(n, x) + x * F.log(p) + (n - x) * F.log(1 - p)
 
 
-def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided exact p-value of a 2x2 table: probabilities not above that of the table are added."""
-    n, row, col = a + b + c + d, a + b, a + c
-    p = lambda i: log_choose(row, i) + log_choose(n - row, col - i) - log_choose(n, col)
-    low, high = F.greatest(F.lit(0), col - (n - row)).cast("int"), F.least(row, col).cast("int")
-    own = p(a) + math.log(1 + 1e-7)
-    return F.least(F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0.0), lambda s, i: s + F.when(p(i) <= own, F.exp(p(i))).otherwise(0.0)), F.lit(1.0))
+def fisher_two_sided(tables: DataFrame, keys: list[str], within: int = 5_000) -> DataFrame:
+    """``keys``, p: two-sided exact p-values of 2x2 tables (a, b, c, d; one a key): probabilities not above that of the table are added.
+
+    A table has as many terms as its counts are large, so they are cut into pieces of ``within`` terms, which are dealt to tasks.
+    """
+    a, n, row, col = F.col("a"), F.col("a") + F.col("b") + F.col("c") + F.col("d"), F.col("a") + F.col("b"), F.col("a") + F.col("c")
+    # what all terms of a table have in common is found once, which keeps the expression of a term small enough to be compiled
+    same = log_factorial(row) + log_factorial(n - row) + log_factorial(col) + log_factorial(n - col) - log_factorial(n)
+    sides = tables.select(*keys, a.alias("__a"), n.alias("__n"), row.alias("__row"), col.alias("__col"), same.alias("__same"))
+    n, row, col = (F.col(f"__{k}") for k in ("n", "row", "col"))
+    p = lambda i: F.col("__same") - log_factorial(i) - log_factorial(row - i) - log_factorial(col - i) - log_factorial(n - row - col + i)
+    own = (p(F.col("__a")) + math.log(1 + 1e-7)).alias("__own")
+    starts = F.explode(F.sequence(F.greatest(F.lit(0), col - (n - row)), F.least(row, col), F.lit(within).cast("long"))).alias("__from")
+    pieces = dealt(sides.select(*keys, "__n", "__row", "__col", "__same", own, starts), *keys, "__from", rows=0)
+    terms = pieces.select("*", F.explode(F.sequence("__from", F.least(F.col("__from") + (within - 1), row, col))).alias("__i"))
+    added = F.sum(F.when(p(F.col("__i")) <= F.col("__own"), F.exp(p(F.col("__i")))).otherwise(0.0))
+    return terms.groupBy(*keys).agg(F.least(added, F.lit(1.0)).alias("p"))
 
 
 def enrichment(members: DataFrame, associations: DataFrame, total: int, leave_one_out: bool = True) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from netweft.operators import graphs, models
+from netweft.operators import graphs, models, statistics
 from netweft.operators import ontology as O
 from netweft.plans import annotation, formats, ontology, scoring
 
@@ -95,3 +96,18 @@ def test_training_rows_are_dealt_when_there_are_many(spark, monkeypatch):
     many = models.forest_accuracy(df, "id", ["x", "z"], "y").collect()
     assert said[0]["rows"] > 3_000 and said[0]["within"] == 100
     assert sorted(map(tuple, few)) == sorted(map(tuple, many))
+
+
+def test_terms_of_a_fisher_test_are_dealt(spark):
+    """Against sums of whole numbers; a table with large counts is the work of several tasks, not of one expression."""
+    tables = {1: (8, 2, 1, 5), 2: (0, 0, 0, 0), 3: (3, 0, 4, 0), 4: (90, 130, 160, 95), 5: (40, 40, 40, 40), 6: (0, 7, 9, 0)}
+    df = spark.createDataFrame([(k, *t) for k, t in tables.items()], "k int, a long, b long, c long, d long")
+    got = {r.k: r.p for r in statistics.fisher_two_sided(df, ["k"], within=3).collect()}
+    assert got.keys() == tables.keys()
+    for k, (a, b, c, d) in tables.items():
+        n, row, col = a + b + c + d, a + b, a + c
+        ways = [math.comb(row, i) * math.comb(n - row, col - i) for i in range(max(0, col - (n - row)), min(row, col) + 1)]
+        own = math.comb(row, a) * math.comb(n - row, col - a)
+        assert abs(got[k] - sum(w for w in ways if w <= own) / math.comb(n, col)) < 1e-9
+    many = statistics.fisher_two_sided(spark.createDataFrame([(1, 50_000, 70_000, 60_000, 80_000)], "k int, a long, b long, c long, d long"), ["k"])
+    assert "RepartitionByExpression [k" in plan_of(many) and 0 < many.first()["p"] < 1e-9
