@@ -130,6 +130,7 @@ def test_complete_rows_have_the_same_statistics():
 
 def test_large_blocks_keep_the_shuffle_small():
     assert correlation.blocks_of(100_000, correlation.BLOCK) <= 50  # 391 copies of every vector with blocks of 256
+    assert correlation.blocks_of(615_000, correlation.BLOCK) <= 20  # 301 copies with blocks of 2,048
     assert correlation.blocks_of(2_000, correlation.BLOCK) == 8 and correlation.blocks_of(0, correlation.BLOCK) == 1
 
 
@@ -155,3 +156,11 @@ def test_differences_without_pairs(spark, monkeypatch, holes):
     got = {r.dataset_no: (r.pairs, r.variance_sum, r.mean_max) for r in correlation.spread_of_differences(df).collect()}
     assert met == ([holes] if holes else []) and got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
+def test_results_of_a_block_leave_in_batches(spark, monkeypatch):
+    """A large block's pairs are returned some at a time, and are the same whatever the size of a batch."""
+    monkeypatch.setattr(correlation, "BATCH", 50)
+    parts = [{"a": np.arange(k), "v": np.arange(k) / 2} for k in (30, 0, 30, 200, 7)]
+    got = list(correlation._batches(iter(parts), {"a": "long", "v": "double"}))
+    assert [b.num_rows for b in got] == [60, 200, 7] and sum(b.column(0).to_pylist()[-1] for b in got) == 29 + 199 + 6
