@@ -258,3 +258,31 @@ def test_edge_classes_shuffle_no_edge_by_function(spark):
     found = annotation.edge_classes(edges, functions, known)
     assert sorted(map(tuple, found.collect())) == [(7, 1, 1, 1, 0, 1, 1), (8, 0, 2, 0, 0, 2, 1), (9, 0, 1, 1, 1, 1, 1)]
     assert not re.search(r"keys=\[go_no#\d+L?, g1", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_function_matrices_are_not_written(spark, sf, monkeypatch):
+    """Their pairs are formed again by each step; only genes, counts and the most spread edges are written."""
+    from netweft.plans import clusters
+
+    names = []
+    for module in (clusters, tight):
+        monkeypatch.setattr(module, "cut", lambda df, name, *how, write=module.cut: names.append(name) or write(df, name, *how))
+    assert clusters.core_sets(spark, sf).count() and clusters.spread_columns(spark, sf).count()
+    assert set(names) == {"function-genes"}
+    assert clusters.described_datasets(spark, sf).count() and set(names) == {"function-genes", "most-spread"}
+    got, want = (sorted((r["go_no"], r["g1"], r["g2"], r["v"]) for r in df.collect()) for df in (clusters.most_spread(spark, sf), matrices.most_spread(clusters.function_matrices(spark, sf), at_least=40).drop("spread")))
+    assert got == want and got
+
+
+def test_signatures_of_few_wide_rows(spark):
+    """As those of the transpose, of which no row is held whole."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(400, 1000, (3, 60, 8))
+    holes = rng.random(x.shape) < 0.3
+    holes[2, :, 5] = True
+    v = [[[None if h else int(e) for e, h in zip(*r)] for r in zip(*g)] for g in zip(x, holes)]
+    tall = spark.createDataFrame([(g, r) for g in range(3) for r in v[g]], "g int, v array<int>")
+    wide = spark.createDataFrame([(g, i, [r[i] for r in v[g]]) for g in range(3) for i in range(8)], "g int, id long, v array<int>")
+    want = tight.signatures(tight.rows_of(wide, "g", "id", "v", 1.0, 2, 0.7, 5), [2, 3, 4], 2, 3, 5).collect()
+    got = tight.wide_signatures(tall.repartition(4), "g", [2, 3, 4], 2, 3, 0.7, 5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 30
