@@ -187,3 +187,32 @@ def test_growth_deals_the_links_that_it_meets(spark, monkeypatch):
     want = growth.grown(seeds, spark.createDataFrame(sorted(edges), "g1 long, g2 long"), ["s"], 2, 0.1, 0.3, 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert (("s", "gene"), 2 * len(edges)) in met and (("g1", "g2"), len(rows)) in met
+
+
+def test_digests_of_many_texts():
+    """Against hashlib: draws of one and two digits, numbers of all lengths."""
+    import hashlib
+
+    from netweft.functions import digest
+
+    rng = np.random.default_rng(5)
+    ids = np.unique(10 ** rng.integers(0, 9, 60) + rng.integers(0, 9, 60))
+    names = np.sort(rng.integers(0, len(ids), (300, 3)), axis=1)
+    text, sizes = digest.digits_of(ids)
+    bounds = rng.integers(0, 2**32, len(names)).astype(np.uint32)
+    got = {(d, i) for d, at in digest.near(names, text, sizes, bounds, 11, 12, 40) for i in at.tolist()}
+    head = lambda d, i: int(hashlib.md5(f"11:{d}:{':'.join(str(x) for x in ids[names[i]])}".encode()).hexdigest()[:8], 16)
+    assert got == {(d, i) for d in range(12) for i in range(300) if head(d, i) <= bounds[i]} and len(got) > 1_000
+
+
+def test_triangles_near_a_draw(spark, sf, monkeypatch):
+    """The same draws whether the kernel or Spark looks at the triangles; few leave the kernel."""
+    from netweft.operators import cliques
+    from netweft.plans import adapters
+
+    x = adapters.expression(spark, sf).where("gene_no < 130")
+    rows, counts = cliques.cliques(x, list(range(8)), 0.55), cliques.clique_counts(x, list(range(8)), 0.55)
+    near = lambda bounds, draws, seed: cliques.near_cliques(x, list(range(8)), 0.55, bounds, draws, seed)
+    want, got = (sampling.repeated_draws(rows, "freq", ["a", "b", "c"], 12, 40, 11, counts, n) for n in (None, lambda b: near(b, 12, 11)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert near({1: 2**28}, 12, 11).count() < rows.count()
