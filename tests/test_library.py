@@ -164,3 +164,24 @@ def test_results_of_a_block_leave_in_batches(spark, monkeypatch):
     parts = [{"a": np.arange(k), "v": np.arange(k) / 2} for k in (30, 0, 30, 200, 7)]
     got = list(correlation._batches(iter(parts), {"a": "long", "v": "double"}))
     assert [b.num_rows for b in got] == [60, 200, 7] and sum(b.column(0).to_pylist()[-1] for b in got) == 29 + 199 + 6
+
+
+def test_floors_lose_no_correlation(spark, monkeypatch):
+    """The kernel that drops pairs early agrees with the whole one from the floor on; also with outliers and flat remainders."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 8))
+    x[::9, 3] += 40
+    x[5::30] = 0.0
+    x[5::30, 6] = 1.0
+    want = correlation.complete_statistics(x, x, ("min_cor",))["min_cor"]
+    for floor in (0.2, 0.5, 0.9):
+        got = correlation.at_least(x, x, floor)
+        on = np.abs(want) >= floor
+        assert on.sum() > 100 and np.abs(got[on] - want[on]).max() < 1e-9 and (np.abs(got[~on & ~np.isnan(got)]) >= floor - 1e-8).all()
+
+
+def test_top_correlations_are_not_written(spark, sf, monkeypatch):
+    from netweft.plans import expression
+
+    monkeypatch.setattr(correlation, "cut", None)
+    assert expression.correlation_graph(spark, sf).count() == 8 * (500 * 500 // 100)
